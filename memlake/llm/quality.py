@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import WORD
-
-#: Buckets of the hashed unigrams and bigrams, and the labelled documents that the target is counted on at most
+#: Buckets of the hashed words and word pairs, and the labelled documents that the target is counted on at most
 #: (those of the smallest hashes of their ids; a bound on what is broadcast).
 BUCKETS, TARGET_DOCS = 1 << 14, 200_000
 #: A document is kept if its mean log-likelihood ratio over its n-grams is at least this.
-THRESHOLD = -0.5
+THRESHOLD = -0.12
+
+#: Separators of words: space and U+0009 to U+000D.
+BLANK = " \t\n\x0b\f\r"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def buckets(w: Column, n: int = BUCKETS) -> Column:
-    """Bucket of each lower-cased word, then of each pair of neighbours."""
-    h = F.transform(w, lambda x: F.xxhash64(F.lower(x)))
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h)), lambda a, b: F.xxhash64(a, b)))
-    return F.transform(F.concat(h, F.coalesce(pairs, F.array().cast("array<bigint>"))), lambda x: F.pmod(x, F.lit(n)).cast("int"))
+def with_hashes(docs: DataFrame) -> DataFrame:
+    """`docs` with _w, its words, and _h, their hashes."""
+    return docs.withColumn("_w", words(F.col("text"))).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
 
 
 def learn_weights(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, most: int = TARGET_DOCS) -> DataFrame:
@@ -37,21 +37,46 @@ def learn_weights(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, most: in
         .select(F.col("doc_id").alias("_id")).distinct()
         .orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn("_t", F.lit(1))
     )
+    # TARGET_DOCS ids of 8 bytes at most are broadcast
+    seen = with_hashes(docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("_id"), "left"))
+    pairs = F.expr(f"transform(_h, (x, i) -> cast(pmod(if(i = 0, x, xxhash64(x, _h[i - 1])), {n}) as int))")
+    singles = F.expr(f"transform(slice(_h, 2, size(_h)), x -> cast(pmod(x, {n}) as int))")
     counted = (
-        docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("_id"), "left")
-        .select("_t", F.explode(buckets(words(F.col("text")), n)).alias("b"))
+        seen.select("_t", F.explode(F.concat(pairs, singles)).alias("b"))
         .groupBy("b").agg(F.count("*").alias("r"), F.count("_t").alias("t"))
     )
-    # one row per bucket, n at most: small enough for one row of arrays
-    row = counted.agg(
-        F.map_from_entries(F.collect_list(F.struct("b", F.struct("r", "t")))).alias("m"), F.sum("r").alias("R"), F.sum("t").alias("T")
-    )
-    ratio = f"ln((coalesce(m[b].t, 0) + 1) / (T + {n})) - ln((coalesce(m[b].r, 0) + 1) / (R + {n}))"
-    return row.select(
-        F.expr(f"if(coalesce(T, 0) = 0, array_repeat(0D, {n}), transform(sequence(0, {n - 1}), b -> {ratio}))").alias("w")
+    # one row per bucket, n in all: small enough for one row of arrays
+    filled = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left")
+    row = filled.agg(F.collect_list(F.struct("b", "r", "t")).alias("m"), F.sum("r").alias("R"), F.sum("t").alias("T"))
+    ratio = f"if(coalesce(T, 0) = 0, 0D, ln((coalesce(x.t, 0) + 1) / (T + {n})) - ln((coalesce(x.r, 0) + 1) / (R + {n})))"
+    return row.select(F.expr(f"transform(array_sort(m), x -> {ratio})").alias("w"))
+
+
+def _holds(values: str, x: str) -> str:
+    """Whether the sorted array `values` holds x, by halving what is left in 32 steps at most."""
+    return (
+        f"aggregate(sequence(1, cast(ceil(log2(size({values}) + 1)) as int) + 1), named_struct('lo', 0, 'hi', size({values}) - 1), (s, j) -> "
+        f"if(s.lo >= s.hi, s, if({values}[cast((s.lo + s.hi) / 2 as int)] >= {x}, "
+        "named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) / 2 as int)), named_struct('lo', cast((s.lo + s.hi) / 2 as int) + 1, 'hi', s.hi))), "
+        f"s -> {values}[s.lo] = {x})"
     )
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """`body` where `name` stands for `value`, which is computed once also where the optimizer moves the expression."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+#: From the hashes of the words: hashes of the windows of five words; those that come twice or more, sorted, once each (most
+#: texts have none); the starts of their windows, in order. Each start covers five words, less what the one before covers.
+_REPEATED = _let("hs", "_h", _let(
+    "gs", "transform(slice(hs, 1, greatest(size(hs) - 4, 0)), (x, i) -> xxhash64(x, hs[i + 1], hs[i + 2], hs[i + 3], hs[i + 4]))",
+    "if(size(array_distinct(gs)) = size(gs), 0L, " + _let(
+        "twice", _let("sorted", "array_sort(gs)", "array_distinct(filter(sorted, (x, i) -> i > 0 and get(sorted, i - 1) = x))"),
+        _let("starts", f"filter(transform(gs, (x, i) -> if({_holds('twice', 'x')}, i, -1)), i -> i >= 0)",
+             "aggregate(transform(starts, (x, k) -> if(k = 0, 5, least(5, x - get(starts, k - 1)))), 0L, (a, x) -> a + x)")) + ")"))
+
+
 def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS) -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, score, kept.
 
@@ -61,32 +86,25 @@ def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     weights = learn_weights(docs, labels, n)
     text = F.coalesce(F.col("text"), F.lit(""))
-    blank = " \t\n\x0b\f\r"
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, blank, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != "")
+    window = "xxhash64(x, _h[i + 1], _h[i + 2], _h[i + 3], _h[i + 4])"
     out = (
-        docs.drop(*made).withColumn("_w", words(F.col("text")))
-        # windows of five words by the hashes of their words
-        .withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-        .withColumn("_s", F.expr(
-            "if(size(_h) < 6, cast(array() as array<struct<h:bigint,i:int>>), array_sort(transform(sequence(0, size(_h) - 5), "
-            "i -> struct(xxhash64(_h[i], _h[i + 1], _h[i + 2], _h[i + 3], _h[i + 4]) as h, i as i))))"))
-        # starts of the windows that come twice or more, in order
-        .withColumn("_p", F.expr(
-            "array_sort(transform(filter(_s, (x, k) -> get(_s, k - 1).h <=> x.h or get(_s, k + 1).h <=> x.h), x -> x.i))"))
-        .withColumn("n_repeat_words", F.expr(
-            "aggregate(transform(_p, (x, k) -> least(5, coalesce(get(_p, k + 1) - x, 5))), 0L, (a, x) -> a + x)"))
+        with_hashes(docs.drop(*made))
+        .withColumn("n_repeat_words", F.expr(_REPEATED))
         .withColumn("n_words", F.size("_w").cast("long"))
-        .withColumn("word_chars", F.length(F.translate(text, blank, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
+        .withColumn("word_chars", F.aggregate("_w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
+        .withColumn("n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
         .withColumn("_l", lines)
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
         .withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
-        .withColumn("_b", buckets(F.col("_w"), n))
     )
-    total = F.aggregate("_b", F.lit(0.0), lambda a, b: a + F.get(F.col("_ratios"), b))
+    ratios = f"_r[cast(pmod(x, {n}) as int)]"
+    total = F.expr(
+        f"aggregate(transform(_h, (x, i) -> {ratios} + if(i = 0, 0D, _r[cast(pmod(xxhash64(x, _h[i - 1]), {n}) as int)])), 0D, (a, x) -> a + x)"
+    )
     return (
-        out.withColumn("_ratios", weights.scalar())
-        .withColumn("score", F.when(F.size("_b") > 0, total / F.size("_b")))
+        out.withColumn("_r", weights.scalar())
+        .withColumn("score", F.when(F.size("_h") > 0, total / (2 * F.size("_h") - 1)))
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
-        .drop("_w", "_h", "_s", "_p", "_l", "_b", "_ratios")
+        .drop("_w", "_h", "_l", "_r")
     )
