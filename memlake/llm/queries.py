@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, langid, packing, quality, secrets, sharding
+from memlake.llm import bpe, langid, packing, quality, secrets, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.with_quality(docs, _table(spark, sf_dir, "labels")).drop("text")
@@ -59,6 +64,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op7_quality_rules, op9_byte_bpe, op10_sharding)
+    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op6_substring_dedup, op7_quality_rules, op9_byte_bpe, op10_sharding)
 }
 SQL: dict[str, str] = {}
