@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, jaccard, langid, packing, quality, secrets, sharding, substrings
+from memlake.llm import bpe, jaccard, kneser_ney, langid, packing, quality, secrets, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = kneser_ney.score(docs, kneser_ney.train(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup_substrings(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -68,6 +75,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op6_substring_dedup, op7_quality_rules, op8_ngram_jaccard_join, op9_byte_bpe, op10_sharding)
+    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op5_lm_scoring, op6_substring_dedup, op7_quality_rules, op8_ngram_jaccard_join, op9_byte_bpe, op10_sharding)
 }
 SQL: dict[str, str] = {}
