@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, jaccard, kneser_ney, langid, packing, quality, secrets, sharding, substrings
+from memlake.llm import bpe, embeddings, jaccard, kneser_ney, langid, packing, quality, secrets, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
@@ -75,6 +79,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op5_lm_scoring, op6_substring_dedup, op7_quality_rules, op8_ngram_jaccard_join, op9_byte_bpe, op10_sharding)
+    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op4_embedding_near_dedup, op5_lm_scoring, op6_substring_dedup, op7_quality_rules, op8_ngram_jaccard_join, op9_byte_bpe, op10_sharding)
 }
 SQL: dict[str, str] = {}
