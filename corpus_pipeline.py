@@ -1,14 +1,69 @@
-"""The corpus pipeline: its stages in order, each over all that the one before kept."""
+"""The corpus pipeline: its stages in order, each over all that the one before kept.
+
+quality rules reject documents; of each group of near-duplicates one document
+stays; passages that stand earlier elsewhere are cut out; secrets are masked;
+what is left is packed into training sequences. All stages but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from memlake.llm import jaccard, packing, quality, secrets, substrings
 from memlake.llm.common import materialize
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Words of a shingle and similarity in percent of near-duplicates; words of a passage that may stand once.
+SHINGLE, PERCENT, PASSAGE = 5, 80, 50
+
+
+def _with_text(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """The columns of `docs` with the text of `made`, and n_chars, where there is one, as it is now."""
+    columns = [F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    return made.select(*columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality.with_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # a row goes on as often as its verdict says; unlike a filter, this is not moved below and judged twice
+    return judged.withColumn("_once", F.explode(F.expr("if(kept, array(1), cast(array() as array<int>))"))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group; rows without doc_id stay."""
+    found = jaccard.jaccard_components(docs, SHINGLE, PERCENT)
+    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that stand earlier; documents of which nothing is left go."""
+    found = substrings.dedup_substrings(docs, PASSAGE)
+    return _with_text(docs, found.where("n_removed = 0 or n_removed < n_words"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with a mark in the place of each secret."""
+    return _with_text(docs, secrets.redacted(secrets.with_secrets(docs)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their places in the training sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", drop_low_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack),
+]
 
 #: Packing, entropy and hashed n-gram ratios have no SQL form.
 ORACLE_SQL = None
@@ -16,6 +71,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,12 +16,14 @@ one task. They are counted first, and their windows are dealt by their own hash.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.llm.common import Hashes, raw, slices
 
@@ -228,36 +230,64 @@ def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(int(a), int(z) + window) for a, z in zip(starts[begin], starts[np.append(begin, len(starts))[1:] - 1], strict=True)]
 
 
+def _cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without these spans of words and the white space after them."""
+    at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    out, last = [], 0
+    for a, z in spans:
+        out.append(text[last : at[a]])
+        last = at[z]
+    return b"".join([*out, text[last:]])
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+MADE = T.StructType([
+    T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)),
+    T.StructField("kept", T.StringType()),
+])
+
+
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed (long), spans (array<struct<start, end>> of words), kept (string: the kept words joined by one space).
+    """`docs` with n_words, n_removed (long), spans (array<struct<start, end>> of words), kept (string: the kept words joined by one space).
 
     A word goes if a window of `window` words over it also starts earlier: in
-    a smaller doc_id or before in the same document. A null or empty text has
-    no words. Rows that repeat a doc_id are positions of one document: none is
-    earlier than its repeat. Rows without doc_id neither lose words nor cost
-    others theirs. Other columns of `docs` are not read.
+    a smaller doc_id or before in the same document. text becomes what is left
+    of it, as it was spaced. A null or empty text has no words. Rows that
+    repeat a doc_id are positions of one document: none is earlier than its
+    repeat. Rows without doc_id neither lose words nor cost others theirs.
+    Columns of `docs` with the names above are replaced.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = duplicate_windows(docs, window).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    docs = docs.drop(*MADE.names)
+    key = F.col("doc_id").cast("long")
+    found = duplicate_windows(docs.select(key.alias("doc_id"), "text"), window).groupBy("doc_id").agg(F.collect_list("starts").alias("_starts"))
+    found = found.withColumnRenamed("doc_id", "_id")
+    place, names = docs.columns.index("text"), [*docs.columns, *MADE.names]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             counts, removed, spans, kept = [], [], [], []
-            for text, starts in zip(raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = text.split()
+            texts = batch.column(place).cast(pa.binary()).to_pylist()
+            for k, (text, starts) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                words = (text or b"").split()
                 own = factors(np.frombuffer(b"".join(starts), "<u4"), window) if starts else []
                 left, at = [], 0
                 for a, z in own:
                     left += words[at:a]
                     at = z
                 left += words[at:]
+                if own:
+                    texts[k] = _cut_out(text, own)
                 counts.append(len(words))
                 removed.append(len(words) - len(left))
                 spans.append([{"start": a, "end": z} for a, z in own])
-                kept.append(b" ".join(left).decode())
+                kept.append(b" ".join(left))
+            columns = batch.columns[:-1]
+            columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "spans", "kept"])
+            columns += [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = docs.join(found, "doc_id", "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept string")
+    joined = docs.join(found, key == F.col("_id"), "left").select(*docs.columns, "_starts")
+    return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *MADE.fields]))
