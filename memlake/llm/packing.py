@@ -14,6 +14,8 @@ its rank among the pieces of that length: no sequence is gathered anywhere.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.llm.bpe import byte_chars
 from memlake.llm.common import CACHED, materialize, raw, slices
 
 SIZE = 2048
@@ -35,6 +38,12 @@ ROWS_PER_BLOCK, FEWEST_BLOCKS = 200_000, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Words that only the whole tokenizer takes apart: with an apostrophe, a special token's start, or a character that is not
+#: plain Latin text. The others are lower-cased and cut into runs of letters, digits and runs of other characters.
+_HARD = re.compile("['\\x00-\\x1f\\x7f-\\xa0\u00b2\u00b3\u00b9\u00bc-\u00be\u0130\u0250-\U0010ffff]|<\\|")
+_PARTS = re.compile(r"[^\W\d_]+|\d|(?:\W|_)+")
+
+
 class _Ids(dict):
     """Ids of each word as bytes (little-endian, 32 bits), kept for the words that come again.
 
@@ -47,13 +56,36 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.char = byte_chars()
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            shown = part if part.isascii() else "".join(self.char[b] for b in part.encode())
+            self.parts[part] = found = _bytes([t.id for t in self.model.tokenize(shown)])
+        return found
 
     def learn(self, words: list[bytes]) -> None:
         if len(self) >= CACHED:
             self.clear()
-        new = [w for w in set(words) if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.parts) >= CACHED:
+            self.parts.clear()
+        hard = []
+        for w in set(words):
+            if w not in self:
+                text = w.decode()
+                if _HARD.search(text):
+                    hard.append(w)
+                else:
+                    self[w] = b"".join(map(self._part, _PARTS.findall(text.lower())))
+        for w, e in zip(hard, self.tokenizer.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False), strict=True):
+            self[w] = _bytes(e.ids)
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _held: dict[str, _Ids] = {}
