@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Buckets of the hashed words and word pairs, and the labelled documents that the target is counted on at most
 #: (those of the smallest hashes of their ids; a bound on what is broadcast).
 BUCKETS, TARGET_DOCS = 1 << 14, 200_000
+PRIOR = 8
 #: A document is kept if its mean log-likelihood ratio over its n-grams is at least this.
 THRESHOLD = -0.12
 
@@ -29,8 +30,9 @@ def learn_weights(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, most: in
     """One row with w: array<double> of n log-likelihood ratios, by bucket.
 
     Counts cover all documents (raw) and those labelled quality 1 and not
-    toxic (target), in one pass; add-one smoothing. Without target documents
-    every ratio is 0.
+    toxic (target), in one pass. The target's shares start from the raw ones
+    with a weight of PRIOR counts a bucket, so that little evidence moves
+    them little; without target documents every ratio is 0.
     """
     target = (
         labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
@@ -48,7 +50,8 @@ def learn_weights(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, most: in
     # one row per bucket, n in all: small enough for one row of arrays
     filled = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left")
     row = filled.agg(F.collect_list(F.struct("b", "r", "t")).alias("m"), F.sum("r").alias("R"), F.sum("t").alias("T"))
-    ratio = f"if(coalesce(T, 0) = 0, 0D, ln((coalesce(x.t, 0) + 1) / (T + {n})) - ln((coalesce(x.r, 0) + 1) / (R + {n})))"
+    share = f"((coalesce(x.r, 0) + 1) / (coalesce(R, 0) + {n}))"
+    ratio = f"ln((coalesce(x.t, 0) + {PRIOR * n} * {share}) / (coalesce(T, 0) + {PRIOR * n})) - ln({share})"
     return row.select(F.expr(f"transform(array_sort(m), x -> {ratio})").alias("w"))
 
 
