@@ -1,59 +1,93 @@
-"""Language identification by rank-order profiles of character n-grams."""
+"""Language identification by rank-order profiles of character n-grams.
+
+N-grams are runs of one to three letters of a word, lower-cased, with an edge
+mark on either side of the word. A task turns a text into numbers, one for each
+n-gram (21 bits a character), and counts them by sorting.
+"""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import CACHED, slices
+from memlake.llm.common import slices
+
+#: N-grams in a profile, parts that a language's n-grams are ranked in before they meet, and n-grams of texts counted at a time.
+PROFILE, PARTS, BLOCK = 400, 64, 1 << 22
+EDGE = ord("_")
+
+
+@cache
+def _tables() -> np.ndarray:
+    """For each character of the basic plane its lower-case letter, or the edge mark if it is no letter."""
+    return np.array([_letter(k) for k in range(1 << 16)], dtype=np.int64)
+
+
+def _letter(k: int) -> int:
+    c = chr(k)
+    low = c.lower() if c.isalpha() else "_"
+    return ord(low) if len(low) == 1 else k
+
+
+def grams(text: str) -> np.ndarray:
+    """The n-grams of a text as numbers, in no order."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    high = codes >= 1 << 16
+    letters = _tables()[np.where(high, 0, codes)]
+    if high.any():
+        found, back = np.unique(codes[high], return_inverse=True)
+        letters[high] = np.array([_letter(int(k)) for k in found], dtype=np.int64)[back]
+    x = np.concatenate([[EDGE], letters, [EDGE]])
+    edge = x == EDGE
+    keep = np.ones(len(x), dtype=bool)
+    keep[1:] = ~(edge[1:] & edge[:-1])  # one mark between words
+    x, edge = x[keep], edge[keep]
+    if len(x) < 3:
+        return np.zeros(0, np.int64)
+    two = x[:-1] << 21 | x[1:]
+    return np.concatenate([x[~edge], two, (two[:-1] << 21 | x[2:])[~edge[1:-1]]])
 
-#: Longest n-gram, n-grams in a profile, and parts that a language's n-grams are ranked in before they meet.
-LONGEST, PROFILE, PARTS = 3, 400, 64
-#: Distinct words after which a task hands on what it has counted.
-FLUSH = 100_000
 
+def shown(gram: int) -> str:
+    return "".join(chr(c) for k in (42, 21, 0) if (c := gram >> k & (1 << 21) - 1))
 
-def grams(word: str) -> list[str]:
-    """N-grams of each run of letters in a word, with an edge mark on either side."""
-    runs = "".join(c if c.isalpha() else " " for c in word).split()
-    return [g for run in (f"_{r}_" for r in runs) for n in range(1, LONGEST + 1) for k in range(len(run) - n + 1) if (g := run[k : k + n]) != "_"]
+
+def counted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = np.sort(found)
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, int)
+    return found[first], np.diff(np.append(first, len(found)))
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
-    """lang, gram, n, rank (int, from 0): the most frequent n-grams of each language, counted over all rows with a lang.
+    """lang, gram (long; see `shown`), n, rank (int, from 0): the most frequent n-grams of each language, counted over all rows with a lang.
 
-    Ties go to the smaller n-gram. Rows with a null text or lang give nothing.
+    Ties go to the smaller number. Rows with a null text or lang give nothing.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-
-        def out() -> pa.RecordBatch:
-            rows: list[tuple] = []
-            for lang, seen in words.items():
-                made: Counter = Counter()
-                for w, n in seen.items():
-                    for g in grams(w):
-                        made[g] += n
-                rows += [(lang, g, n) for g, n in made.items()]
-            words.clear()
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
+        held: dict[str, list[np.ndarray]] = {}
+        n = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                found, times = counted(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(times, pa.int64())], names=["lang", "gram", "n"])
 
         for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(text.lower().split())
-            if sum(map(len, words.values())) >= FLUSH:
-                yield out()
-        yield out()
-
-    counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
+                held.setdefault(lang, []).append(grams(text))
+                n += len(held[lang][-1])
+                if n >= BLOCK:
+                    yield from out()
+                    held, n = {}, 0
+        yield from out()
+
+    counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # first within parts of a language, then among their best
     best = Window.partitionBy("lang", "_part").orderBy(F.desc("n"), "gram")
@@ -73,53 +107,30 @@ def predict(docs: DataFrame, profiles: DataFrame, size: int = PROFILE) -> DataFr
     """
     rows = profiles.select("lang", "gram", "rank").collect()  # `size` rows for each language
     langs = sorted({r["lang"] for r in rows})
-    known = sorted({r["gram"] for r in rows}, key=_hash)
-    index, column = {g: k for k, g in enumerate(known)}, {x: k for k, x in enumerate(langs)}
-    hashes = np.array([_hash(g) for g in known], dtype=np.uint64)
+    known = np.array(sorted({r["gram"] for r in rows}), dtype=np.int64)
+    index, column = {int(g): k for k, g in enumerate(known)}, {x: k for k, x in enumerate(langs)}
     places = np.full((len(known) + 1, len(langs)), 1 << 30, dtype=np.int64)  # the last row: of n-grams in no profile
     for r in rows:
         places[index[r["gram"]], column[r["lang"]]] = r["rank"]
 
-    def one(text: str, table: "_Grams") -> tuple[str, float]:
-        words = Counter(text.lower().split())
-        found = [table[w] for w in words]
-        ids = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        if not len(ids) or not langs:
+    def one(text: str) -> tuple[str, float]:
+        found, times = counted(grams(text))
+        if not len(found) or not langs:
             return "und", 0.0
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        times = np.add.reduceat(np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(f) for f in found])[order], first)
-        ids = ids[first]
-        if len(ids) > size:
+        if len(found) > size:
             least = np.partition(times, len(times) - size)[len(times) - size]
-            ids, times = ids[times >= least], times[times >= least]
-        top = ids[np.lexsort((ids, -times))[:size]]
-        at = np.searchsorted(hashes, top)
-        at = np.where((at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == top), at, len(known))
+            found, times = found[times >= least], times[times >= least]
+        top = found[np.lexsort((found, -times))[:size]]
+        at = np.minimum(np.searchsorted(known, top), len(known) - 1)
+        at = np.where(known[at] == top, at, len(known))
         apart = np.minimum(np.abs(places[at] - np.arange(len(top))[:, None]), size).sum(axis=0)
         best = int(np.argmin(apart))
         return langs[best], float(1 - apart[best] / (size * len(top)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Grams()
         for batch in slices(batches):
-            made = [one(text or "", table) for text in batch.column(1).to_pylist()]
+            made = [one(text or "") for text in batch.column(1).to_pylist()]
             columns = [batch.column(0).cast(pa.int64()), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-
-
-def _hash(gram: str) -> int:
-    return xxhash.xxh3_64_intdigest(gram.encode())
-
-
-class _Grams(dict):
-    """Hashes of a word's n-grams, kept for the words that come again."""
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= CACHED // 4:
-            self.clear()
-        self[word] = made = np.array([_hash(g) for g in grams(word)], dtype=np.uint64)
-        return made
