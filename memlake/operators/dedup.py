@@ -29,7 +29,8 @@ def near_pairs(df: DataFrame, key: str, bits: str, scope: list[str], most: int =
     Two such values share one of four bands of 16 bits, so that the join is by band.
     """
     bands = F.array(*(F.shiftrightunsigned(bits, 16 * k).bitwiseAND(0xFFFF) for k in range(4)))
-    banded = df.select(key, bits, *scope, F.posexplode(bands).alias("band", "value"))
-    other = banded.select(F.col(key).alias("b"), F.col(bits).alias("other"), *scope, "band", "value")
-    apart = F.bit_count(F.col(bits).bitwiseXOR(F.col("other")))
-    return banded.withColumnRenamed(key, "a").join(other, [*scope, "band", "value"]).where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b").distinct()
+    banded = df.select(F.col(key).alias("_a"), F.col(bits).alias("_x"), *scope, F.posexplode(bands).alias("_band", "_value"))
+    other = banded.select(F.col("_a").alias("_b"), F.col("_x").alias("_y"), *scope, "_band", "_value")
+    apart = F.bit_count(F.col("_x").bitwiseXOR(F.col("_y")))
+    pairs = banded.join(other, [*scope, "_band", "_value"]).where((F.col("_a") < F.col("_b")) & (apart <= most))
+    return pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()

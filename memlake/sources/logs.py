@@ -46,14 +46,14 @@ def carried(df: DataFrame, scope: str, order: str, *columns: str) -> DataFrame:
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """file, kind (by folder), title (first heading), content of Markdown files."""
-    notes = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    notes = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     kind = F.when(F.col("file").contains("/docs/"), "docs").when(F.col("file").rlike(r"/(plans?|adr)/"), "decision").otherwise("note")
     return notes.select("file", kind.alias("kind"), F.nullif(F.regexp_extract("value", r"(?m)^#\s+(.+)$", 1), F.lit("")).alias("title"), F.col("value").alias("content"))
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """query, doc, grade of a JSON object {query: {doc: grade}}."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     outer = whole.select(F.explode(F.from_json("value", "map<string,map<string,int>>")).alias("query", "docs"))
     return outer.select("query", F.explode("docs").alias("doc", "grade"))
 
