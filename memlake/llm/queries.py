@@ -81,4 +81,34 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op4_embedding_near_dedup, op5_lm_scoring, op6_substring_dedup, op7_quality_rules, op8_ngram_jaccard_join, op9_byte_bpe, op10_sharding)
 }
-SQL: dict[str, str] = {}
+_COMPONENTS = """reach AS (SELECT id, id AS r FROM ids UNION SELECT reach.id, l.b FROM reach JOIN links l ON l.a = reach.r),
+component AS (SELECT id, MIN(r) AS component_id FROM reach GROUP BY 1)"""
+
+#: What the queries must return, where SQL can say it.
+SQL: dict[str, str] = {
+    "op4_embedding_near_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ids AS (SELECT vec_id AS id FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+{_COMPONENTS}
+SELECT e.vec_id, COALESCE(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN component c ON c.id = e.vec_id LEFT JOIN (SELECT a, COUNT(*) AS n FROM links GROUP BY 1) l ON l.a = e.vec_id""",
+    "op6_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS start FROM w WHERE len(ws) >= 20),
+d AS (SELECT doc_id, start FROM (SELECT doc_id, start, ROW_NUMBER() OVER (PARTITION BY array_to_string(ws[start : start + 19], ' ') ORDER BY doc_id, start) AS n FROM s) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS p FROM d),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, COUNT(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - COALESCE(n, 0))::BIGINT AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op8_ngram_jaccard_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 1, 2)), lambda i: array_to_string(ws[i : i + 2], ' '))) AS shingle FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS m FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+ids AS (SELECT doc_id AS id FROM documents),
+{_COMPONENTS}
+SELECT w.doc_id, COALESCE(n.n, 0) AS n_shingles, component_id FROM w JOIN component c ON c.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""",
+}
