@@ -112,7 +112,7 @@ def hashed_bits(df: DataFrame, key: str, text: str, width: int = 4) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "simhash": [of(list(t)) if len(t) else 0 for t in b["t"]]})
+            yield pd.DataFrame({key: b[key], "simhash": [of(list(t)) if t is not None and len(t) else 0 for t in b["t"]]})
 
     from memlake.functions.text import tokens as split
 
