@@ -177,3 +177,15 @@ def test_search_and_filters(spark):
     assert rows(df.where(filters.after_key([("t", False), ("id", True)], ["the red fox", 1])), "id") == [2]
     alias = spark.createDataFrame([(1, 3)], "old_id int, new_id int")
     assert rows(joins.resolve_aliases(df, alias, "id"), "id", "found") == [(1, 3), (2, 2), (3, 3)]
+
+
+def test_clusters(spark):
+    from memlake.operators import clusters
+
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (7, 8, 1.0)], "a long, b long, weight double")
+    got = {r["id"]: r["label"] for r in clusters.label_propagation(edges).collect()}
+    assert got[1] == got[2] == got[3] and got[7] in (7, 8) and got[1] not in (7, 8)
+    events = spark.createDataFrame([("k", 0), ("k", 1), ("k", 2), ("k", 2_000_000), ("j", 5)], "key string, us long")
+    assert rows(clusters.paced(events, "key", "us", 1.0, 2), "key", "us", "allowed") == [("j", 5, True), ("k", 0, True), ("k", 1, True), ("k", 2, False), ("k", 2_000_000, True)]
+    log = spark.createDataFrame([("f", 10), ("f", 30), ("g", 99)], "source string, at int")
+    assert rows(clusters.rewound(log, spark.createDataFrame([("f", 20)], "source string, end int"), "source", "at"), "source", "at") == [("f", 10), ("g", 99)]
