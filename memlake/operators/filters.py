@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Classes that are hidden unless asked for, and phrases of chatter about the system itself.
-HIDDEN_CONTENT, HIDDEN_SOURCES = ("operational", "test", "benchmark", "cold"), ("desktop", "brain-worker")
+HIDDEN_CONTENT, HIDDEN_SOURCES = ("operational", "test", "benchmark", "cold"), ("desktop", "background-worker")
 
 
 def equal_to(**values: object) -> Column:

@@ -18,7 +18,7 @@ def chunk_count(spark, d):
 
 @query("filtered_scan_visibility", f"""WITH {CHUNKS} SELECT chunk_id, session_id, content_type, project FROM chunks
 WHERE COALESCE(content_class, 'knowledge') NOT IN ('operational', 'test', 'benchmark', 'cold')
-  AND (source_class IS NULL OR source_class NOT IN ('desktop', 'brain-worker'))
+  AND (source_class IS NULL OR source_class NOT IN ('desktop', 'background-worker'))
   AND superseded_by IS NULL AND aggregated_into IS NULL AND archived_at IS NULL AND invalid_at IS NULL
   AND (project IN ('p1', 'p3') OR project IS NULL)""")
 def filtered_scan_visibility(spark, d):

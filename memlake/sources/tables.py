@@ -22,7 +22,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_id").alias("chunk_id"), F.col("user_id").alias("session_id"), F.col("ts").alias("created_at"), F.col("event_type").alias("content_type"),
         F.when(F.col("event_type") != "view", F.col("value") / 50).alias("importance"), "k", F.concat(F.lit("k"), F.col("k").cast("string")).alias("tag"),
         F.expr("case event_type when 'error' then 'operational' when 'signup' then 'test' when 'click' then null else 'knowledge' end").alias("content_class"),
-        F.expr("case when k < 5 then 'desktop' when k < 10 then 'brain-worker' when k < 50 then null else 'terminal' end").alias("source_class"),
+        F.expr("case when k < 5 then 'desktop' when k < 10 then 'background-worker' when k < 50 then null else 'terminal' end").alias("source_class"),
         F.expr("case when k < 80 then concat('p', cast(k div 10 as string)) end").alias("project"),
         F.when(F.col("value") > 100, F.col("ts")).alias("archived_at"),
         F.expr("case when event_type = 'error' and value > 50 then event_id end").alias("superseded_by"),
@@ -38,7 +38,7 @@ chunks AS (
   SELECT event_id AS chunk_id, user_id AS session_id, ts AS created_at, event_type AS content_type,
     CASE WHEN event_type <> 'view' THEN value / 50 END AS importance, k, 'k' || k AS tag,
     CASE event_type WHEN 'error' THEN 'operational' WHEN 'signup' THEN 'test' WHEN 'click' THEN NULL ELSE 'knowledge' END AS content_class,
-    CASE WHEN k < 5 THEN 'desktop' WHEN k < 10 THEN 'brain-worker' WHEN k < 50 THEN NULL ELSE 'terminal' END AS source_class,
+    CASE WHEN k < 5 THEN 'desktop' WHEN k < 10 THEN 'background-worker' WHEN k < 50 THEN NULL ELSE 'terminal' END AS source_class,
     CASE WHEN k < 80 THEN 'p' || (k // 10) END AS project,
     CASE WHEN value > 100 THEN ts END AS archived_at,
     CASE WHEN event_type = 'error' AND value > 50 THEN event_id END AS superseded_by,
