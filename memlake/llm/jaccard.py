@@ -8,10 +8,10 @@ a rare one, which is indexed alone, or only frequent ones, of which all
 combinations of `COMBINED` are indexed. Which tokens are frequent changes
 candidates, never results.
 
-An index entry carries the set's size and a 64-bit parity sketch. Each token of
-the symmetric difference flips one bit, so two sketches apart by more bits than
-the threshold allows cannot belong to similar sets: that and the sizes prune
-without loss. In each group every class is paired with the first class that it
+An index entry names the set's size and a sketch: how many tokens fall into each
+of a few cells. Each token of the symmetric difference moves one cell by one, so
+sets whose sketches are further apart than the threshold allows cannot be
+similar: that and the sizes prune without loss. In each group every class is paired with the first class that it
 could be similar to, so copies make a star and not all pairs. The pairs are
 verified on the whole texts. Then only pairs of one group that could be similar
 and are not yet connected are left; they are verified too.
@@ -20,7 +20,7 @@ and are not yet connected are left; they are verified too.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,9 @@ SHINGLE, PERCENT = 3, 90
 COMBINED = 2
 #: Frequent tokens at most, their least share of all tokens, and their least count in a block of BLOCK tokens.
 FREQUENT, SHARE, IN_BLOCK, BLOCK = 1 << 17, 1 / (1 << 20), 4, 1 << 20
-#: Buckets of index entries, members of a group compared at a time, and pairs verified with one copy of the first set.
-BUCKETS, AT_A_TIME, LEAVES = 4096, 2048, 256
+#: Fewest buckets of index entries and entries that one should have at most; members of a group compared at a time; parts of the
+#: pairs of one first class; texts to verify whose ids are broadcast at most (a row has 40 bytes), beyond which they are joined by a shuffle.
+BUCKETS, PER_BUCKET, AT_A_TIME, LEAVES, BROADCAST = 256, 1 << 20, 1024, 256, 500_000
 
 
 def shingles(text: bytes, table: Hashes, k: int) -> np.ndarray:
@@ -80,8 +81,8 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, class long")
 
 
-def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """The tokens that most documents have: FREQUENT of 8 bytes at most."""
+def frequent_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
+    """The tokens that most documents have (FREQUENT of 8 bytes at most), and the number of all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -107,43 +108,132 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
             total = r["n"]
         elif r["n"] >= max(2 * IN_BLOCK, SHARE * total):
             found.append(r["token"])
-    return np.array(sorted(np.array(found, dtype=np.int64).view(np.uint64)), dtype=np.uint64)
-
-
-def _near(size: np.ndarray, sketch: np.ndarray, k: int, percent: int) -> np.ndarray:
-    """Whether each member of a group could be similar to member k."""
-    return np.bitwise_count(sketch ^ sketch[k]).astype(np.int64) <= most_apart(size, size[k], percent)
-
-
-def _stars(member: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Each member (they are sorted) with the first that it could be similar to, among those that have none themselves."""
+    return np.sort(np.array(found, dtype=np.int64).view(np.uint64)), total
+
+
+def cells(size: np.ndarray | int) -> np.ndarray:
+    """Cells of the sketch of a set of that size: enough to tell sets apart that have nothing in common."""
+    return np.select([np.asarray(size) <= 400, np.asarray(size) <= 1000, np.asarray(size) <= 5000], [8, 16, 64], 256)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """How many tokens fall into each cell, modulo 256."""
+    return np.bincount((mixed(s) % np.uint64(cells(len(s)))).astype(np.int64), minlength=int(cells(len(s)))).astype(np.uint8)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least symmetric difference of the sets, row by row; the longer sketches are folded to the shorter."""
+    for _ in range(2):
+        if a.shape[-1] > b.shape[-1]:
+            a = a.reshape(*a.shape[:-1], -1, b.shape[-1]).sum(axis=-2, dtype=np.uint8)
+        a, b = b, a
+    d = a - b
+    return np.minimum(d, 0 - d).sum(axis=-1, dtype=np.int64)
+
+
+class _Members:
+    """Classes with their sizes and sketches, as a blob and back."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: bytes):
+        self.ids, self.sizes, self.data = ids, sizes.astype(np.int64), np.frombuffer(data, np.uint8)
+        self.cells = cells(self.sizes)
+        self.at = np.cumsum(self.cells) - self.cells
+
+    def rows(self, k: np.ndarray, n: int) -> np.ndarray:
+        return self.data[self.at[k][:, None] + np.arange(n)]
+
+    def near(self, k: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+        """Whether members k and other could be similar, pair by pair; True where nothing speaks against it."""
+        most = most_apart(self.sizes[k], self.sizes[other], percent)
+        out = most >= 0
+        kind = self.cells[k] * 1000 + self.cells[other]
+        for pair in np.unique(kind[out]).tolist():
+            m, n = divmod(pair, 1000)
+            every = np.flatnonzero(out & (kind == pair))
+            step = (1 << 22) // max(m, n)
+            for at in range(0, len(every), step):
+                own = every[at : at + step]
+                out[own] = apart(self.rows(k[own], m), self.rows(other[own], n)) <= most[own]
+        return out
+
+
+def _packed(member: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sketches: list[bytes], tokens: np.ndarray) -> bytes:
+    own, at = np.unique(member, return_inverse=True)
+    data = b"".join([sketches[k] for k in own])
+    head = np.array([len(own), len(tokens), len(data)], "<u4")
+    return b"".join([head.tobytes(), ids[own].astype("<i8").tobytes(), sizes[own].astype("<u4").tobytes(), tokens.astype("<u8").tobytes(), at.astype("<u4").tobytes(), data])
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[_Members, np.ndarray, np.ndarray]:
+    """Members, and for each entry its token and the member's place."""
+    ids, sizes, data, tokens, at, n = [], [], [], [], [], 0
+    for x in blobs:
+        m, e, z = np.frombuffer(x, "<u4", 3).tolist()
+        ids.append(np.frombuffer(x, "<i8", m, 12))
+        sizes.append(np.frombuffer(x, "<u4", m, 12 + 8 * m))
+        tokens.append(np.frombuffer(x, "<u8", e, 12 + 12 * m))
+        at.append(np.frombuffer(x, "<u4", e, 12 + 12 * m + 8 * e).astype(np.int64) + n)
+        data.append(x[len(x) - z :])
+        n += m
+    return _Members(np.concatenate(ids), np.concatenate(sizes), b"".join(data)), np.concatenate(tokens), np.concatenate(at)
+
+
+def _chains(members: _Members, tokens: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (token, member's place) in groups of one token whose sizes leave no gap, and where the groups begin; single ones go."""
+    if not len(tokens):
+        return tokens, at, at
+    order = np.lexsort((members.ids[at], members.sizes[at], tokens))
+    tokens, at = tokens[order], at[order]
+    same = np.concatenate([[False], (tokens[1:] == tokens[:-1]) & (members.ids[at[1:]] == members.ids[at[:-1]])])
+    tokens, at = tokens[~same], at[~same]  # a class may come from several tasks
+    sizes = members.sizes[at]
+    joins = np.concatenate([[False], (tokens[1:] == tokens[:-1]) & (most_apart(sizes[1:], sizes[:-1], percent) >= 0)])
+    keep = joins | np.append(joins[1:], False)
+    return tokens[keep], at[keep], np.flatnonzero(~joins[keep])
+
+
+def _within(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within each of these groups, many groups at a time."""
+    size = last - first
+    for n in np.unique(size).tolist():
+        i, j = np.triu_indices(n, 1)
+        step = max(1, (1 << 20) // len(i))
+        every = first[size == n]
+        for at in range(0, len(every), step):
+            own = every[at : at + step, None]
+            yield (own + i).ravel(), (own + j).ravel()
+
+
+def _stars(members: _Members, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Each of these members with the first, by id, that it could be similar to, among those that have none themselves."""
     pairs: list[tuple[int, int]] = []
-    rest = np.arange(len(member))
+    rest = at[np.argsort(members.ids[at], kind="stable")]
     while len(rest) > 1:
-        near = _near(size[rest], sketch[rest], 0, percent)
-        near[0] = True
-        pairs += [(int(member[rest[0]]), int(member[j])) for j in rest[near][1:]]
-        rest = rest[~near]
+        near = members.near(np.repeat(rest[:1], len(rest) - 1), rest[1:], percent)
+        pairs += [(int(members.ids[rest[0]]), int(j)) for j in members.ids[rest[1:][near]]]
+        rest = rest[1:][~near]
     return pairs
 
 
-_ENTRY = np.dtype([("token", "<u8"), ("member", "<i8"), ("sketch", "<u8"), ("size", "<u4")])
-
-
-def groups(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """token, members (binary: entries), pairs (binary: stars): the groups of classes with an index entry in common that could hold similar ones."""
+def groups(docs: DataFrame, frequent: np.ndarray, k: int, percent: int, buckets: int = BUCKETS) -> DataFrame:
+    """bucket, members (binary), pairs (binary: stars): the groups of classes with an index entry in common that could hold similar ones."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        sizes: list[int] = []
+        sketches: list[bytes] = []
         held: list[np.ndarray] = []
         n, seen = 0, set()
 
         def out() -> pa.RecordBatch:
-            entries = np.concatenate(held) if held else np.zeros(0, _ENTRY)
-            to = (mixed(entries["token"]) % np.uint64(BUCKETS)).astype(np.int32)
+            tokens = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            member = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            to = (mixed(tokens) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
-            entries, to = entries[order], to[order]
+            tokens, member, to = tokens[order], member[order], to[order]
             cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
-            blobs = [entries[a:z].tobytes() for a, z in zip(cut, np.append(cut, len(to))[1:], strict=True)]
+            own = np.array(ids, np.int64), np.array(sizes, np.int64)
+            blobs = [_packed(member[a:z], *own, sketches, tokens[a:z]) for a, z in zip(cut, np.append(cut, len(to))[1:], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(to[cut], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
         for _, s in _sets(batches, k):
@@ -151,60 +241,73 @@ def groups(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataF
             if not len(s) or c in seen:
                 continue
             seen.add(c)
-            often = np.isin(s, frequent) if len(frequent) else np.zeros(len(s), bool)
+            where = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
+            often = frequent[where] == s if len(frequent) else np.zeros(len(s), bool)
             size = len(s)
             prefix = min(size, size - -(-percent * size // 100) + COMBINED)
-            rare = s[~often][:prefix]
-            common = s[often][: prefix - len(rare)]
-            tokens = rare
+            tokens = s[~often][:prefix]
+            common = s[often][: prefix - len(tokens)]
             if len(common) >= COMBINED:
                 pairs = np.array(list(combinations(range(len(common)), COMBINED)))
                 combined = common[pairs[:, 0]]
                 for j in range(1, COMBINED):
                     combined = mixed(combined) + common[pairs[:, j]]
-                tokens = np.concatenate([rare, mixed(combined)])
-            entry = np.zeros(len(tokens), _ENTRY)
-            entry["token"], entry["member"], entry["size"] = tokens, c, size
-            flips = np.bincount((mixed(s) >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-            entry["sketch"] = int(sum(1 << b for b in np.flatnonzero(flips).tolist()))
-            held.append(entry)
-            n += len(entry)
-            if n >= BLOCK // 4:
+                tokens = np.concatenate([tokens, mixed(combined)])
+            ids.append(c)
+            sizes.append(size)
+            sketches.append(sketch(s).tobytes())
+            held.append(tokens)
+            n += len(tokens)
+            if n >= BLOCK // 2:
                 yield out()
-                held, n, seen = [], 0, set()
+                ids, sizes, sketches, held, n, seen = [], [], [], [], 0, set()
         yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(blobs: list[bytes]) -> pa.RecordBatch:
-            e = np.frombuffer(b"".join(blobs), _ENTRY)
-            e = e[np.lexsort((e["member"], e["token"]))]
-            same = np.concatenate([[False], (e["token"][1:] == e["token"][:-1]) & (e["member"][1:] == e["member"][:-1])])
-            e = e[~same]  # a class may come from several tasks
-            first = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1]]))
-            tokens, members, stars = [], [], []
-            for a, z in zip(first.tolist(), np.append(first, len(e))[1:].tolist(), strict=True):
-                if z - a > 1:
-                    g = e[a:z]
-                    pairs = _stars(g["member"], g["size"].astype(np.int64), g["sketch"], percent)
-                    if pairs:
-                        tokens.append(int(g["token"][0].view(np.int64)))
-                        members.append(g.tobytes())
-                        stars.append(np.array(pairs, "<i8").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(members, pa.binary()), pa.array(stars, pa.binary())], names=["token", "members", "pairs"])
+        def out(bucket: int, blobs: list[bytes]) -> pa.RecordBatch:
+            members, tokens, at = _unpacked(blobs)
+            tokens, at, first = _chains(members, tokens, at, percent)
+            last = np.append(first, len(at))[1:]
+            keep = np.zeros(len(at), bool)
+            stars = [np.zeros((0, 2), np.int64)]
+            few = last - first <= AT_A_TIME
+            for i, j in _within(first[few], last[few]):
+                near = members.near(at[i], at[j], percent)
+                i, j = i[near], j[near]
+                group = np.searchsorted(first, i, side="right") - 1
+                x, y = np.minimum(members.ids[at[i]], members.ids[at[j]]), np.maximum(members.ids[at[i]], members.ids[at[j]])
+                order = np.lexsort((x, y, group))  # each member with its first partner in the group
+                group, x, y = group[order], x[order], y[order]
+                new = np.concatenate([[True], (group[1:] != group[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
+                stars.append(np.unique(np.stack([x[new], y[new]], axis=1), axis=0))
+                for c in np.unique(group).tolist():
+                    keep[first[c] : last[c]] = True
+            for a, z in zip(first[~few].tolist(), last[~few].tolist(), strict=True):
+                found = _stars(members, at[a:z], percent)
+                keep[a:z] = bool(found)
+                stars.append(np.array(found, np.int64).reshape(-1, 2))
+            if not keep.any():
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["bucket", "members", "pairs"])
+            every = np.unique(np.concatenate(stars), axis=0)
+            own, back = np.unique(at[keep], return_inverse=True)
+            data = b"".join(members.rows(own[k : k + 1], int(members.cells[own[k]])).tobytes() for k in range(len(own)))
+            sketches = [data[x : x + y] for x, y in zip((np.cumsum(members.cells[own]) - members.cells[own]).tolist(), members.cells[own].tolist(), strict=True)]
+            blob = _packed(back, members.ids[own], members.sizes[own], sketches, tokens[keep])
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob]), pa.array([every.astype("<i8").tobytes()])], names=["bucket", "members", "pairs"])
 
         bucket, held = None, []
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != bucket and held:
-                    yield out(held)
+                    yield out(bucket, held)
                     held = []
                 bucket = b
                 held.append(blob)
         if held:
-            yield out(held)
+            yield out(bucket, held)
 
     dealt = docs.mapInArrow(index, "bucket int, entries binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "token long, members binary, pairs binary")
+    return dealt.mapInArrow(meet, "bucket int, members binary, pairs binary")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -220,50 +323,46 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def _unconnected(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: members of one group that could be similar and have different labels, once each."""
+    """a, b: members of one group that could be similar and have different labels, once each.
+
+    labels: id, component_id of the classes that have links. Each bucket gets
+    the labels of its members.
+    """
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = [np.frombuffer(x, _ENTRY) for x in batch.column(0).to_pylist()]
-            e = np.concatenate(e) if e else np.zeros(0, _ENTRY)
-            columns = [e["token"].view(np.int64), e["member"], e["sketch"].view(np.int64), e["size"].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["token", "member", "sketch", "size"])
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = _unpacked([x])[0].ids
+                yield pa.RecordBatch.from_arrays([pa.array([b] * len(ids), pa.int32()), pa.array(ids)], names=["bucket", "id"])
 
-    rows = found.select("members").mapInArrow(members, "token long, member long, sketch long, size long")
-    rows = rows.join(labels, rows.member == labels.id).select("token", "member", "sketch", "size", "component_id")
-    # groups that are connected already go before their rows are sent on
-    open_ = rows.groupBy("token").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo <> hi").select("token")
-    rows = rows.join(open_, "token", "left_semi")
+    wanted = found.select("bucket", "members").mapInArrow(names, "bucket int, id long")
+    named = wanted.join(labels, "id").groupBy("bucket").agg(F.collect_list(F.struct("id", "component_id")).alias("labels"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-            member, sketch, size, label = (np.concatenate(c) for c in columns)
-            sketch = sketch.view(np.uint64)
+        for batch in slices(batches, 1):
+            members, tokens, at = _unpacked(batch.column(0).to_pylist())
+            flat = pa.array(batch.column(1)).flatten()
+            ids, roots = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            order = np.argsort(ids)
+            where = np.minimum(np.searchsorted(ids[order], members.ids), max(0, len(ids) - 1))
+            label = np.where(ids[order][where] == members.ids, roots[order][where], members.ids) if len(ids) else members.ids
+            tokens, at, first = _chains(members, tokens, at, percent)
+            last = np.append(first, len(at))[1:]
             made = [np.zeros((0, 2), np.int64)]
-            for j in range(len(member) - 1):
-                near = np.bitwise_count(sketch[j + 1 :] ^ sketch[j]).astype(np.int64) <= most_apart(size[j + 1 :], size[j], percent)
-                other = member[j + 1 :][near & (label[j + 1 :] != label[j])]
-                if len(other):
-                    made.append(np.stack([np.minimum(other, member[j]), np.maximum(other, member[j])], axis=1))
-            p = np.concatenate(made)
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
-
-        token, held = None, [[], [], [], []]
-        for batch in batches:
-            tokens = batch.column(0).to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else []
-            columns = [batch.column(j).to_numpy(zero_copy_only=False) for j in (1, 2, 3, 4)]
-            for a, z in zip(cut, np.append(cut, len(tokens))[1:], strict=True):
-                if tokens[a] != token and held[0]:
-                    yield out(held)
-                    held = [[], [], [], []]
-                token = tokens[a]
-                for into, c in zip(held, columns, strict=True):
-                    into.append(c[a:z])
-        if held[0]:
-            yield out(held)
-
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(compare, "a long, b long").distinct()
+            few = last - first <= AT_A_TIME
+            rows_of = lambda a, z: ((np.full(z - k - 1, k), np.arange(k + 1, z)) for k in range(a, z - 1))
+            large = (p for a, z in zip(first[~few].tolist(), last[~few].tolist(), strict=True) for p in rows_of(a, z))
+            for i, j in chain(_within(first[few], last[few]), large):
+                x, y = at[i], at[j]
+                other = label[x] != label[y]
+                x, y = x[other], y[other]
+                near = members.near(x, y, percent)
+                made.append(np.unique(np.sort(np.stack([members.ids[x[near]], members.ids[y[near]]], axis=1), axis=1), axis=0))
+            p = np.unique(np.concatenate(made), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
+
+    rows = found.select("bucket", "members").join(named, "bucket", "left").select("members", F.coalesce("labels", F.array().cast("array<struct<id:bigint,component_id:bigint>>")).alias("labels"))
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -274,7 +373,9 @@ def verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent:
     second = named.select(F.col("second").alias("of"), "a", "part", F.col("b").alias("b"))
     first = named.select(F.col("first").alias("of"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
     wanted = first.union(second)
-    sent = docs.join(wanted, docs.doc_id == wanted.of).select("a", "part", "b", "text")
+    wanted = materialize(wanted, "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    sent = docs.join(few, docs.doc_id == few.of).select("a", "part", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, key, own = Hashes(), None, np.zeros(0, np.uint64)
@@ -310,7 +411,11 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     known = docs.where("doc_id is not null")
     of = materialize(classes(docs, k), "classes")
     reps = of.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    found = materialize(groups(known, frequent_tokens(known, k), k, percent), "groups")
+    frequent, total = frequent_tokens(known, k)
+    buckets = BUCKETS
+    while buckets * PER_BUCKET < total * (100 - percent) // 100:
+        buckets *= 2
+    found = materialize(groups(known, frequent, k, percent, buckets), "groups")
     nodes = reps.select(F.col("class").alias("id"))
     links = materialize(verify(known, reps, _pairs(found), k, percent), "links")
     labels = connected_components(nodes, links)
