@@ -66,19 +66,63 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int | Non
             yield doc, shingles(text, table, k)
 
 
-def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, class (long; null for an empty set) of each row."""
+def parity(s: np.ndarray, percent: int) -> bytes:
+    """Bits that each token flips one of: eight for each token of the largest symmetric difference of similar sets of that size, 64 at least.
+
+    Sets whose bits differ in more places than they may have tokens apart are not similar.
+    """
+    m = 64
+    while m < 8 * most_apart(np.array(len(s)), np.array(len(s)), percent):
+        m *= 2
+    flips = np.bincount((mixed(s + np.uint64(1)) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(flips.astype(bool), bitorder="little").tobytes()
+
+
+class _Parities:
+    """Parity bits of members, by length."""
+
+    def __init__(self, bits: list[bytes]):
+        self.words = np.array([len(b) // 8 for b in bits])
+        self.row = np.zeros(len(bits), dtype=np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words[self.words > 0]).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.row[own] = np.arange(len(own))
+            self.of[w] = np.frombuffer(b"".join([bits[k] for k in own]), "<u8").reshape(-1, w)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Least symmetric difference, pair by pair; longer bits are folded to the shorter; 0 where bits are missing."""
+        out = np.zeros(len(x), dtype=np.int64)
+        kind = self.words[x] * 1_000_000 + self.words[y]
+        for pair in np.unique(kind).tolist():
+            m, n = divmod(pair, 1_000_000)
+            every = np.flatnonzero(kind == pair) if m and n else []
+            step = max(1, (1 << 20) // max(m, n, 1))
+            for at in range(0, len(every), step):
+                own = every[at : at + step]
+                a, b = self.of[m][self.row[x[own]]], self.of[n][self.row[y[own]]]
+                while a.shape[1] != b.shape[1]:
+                    if a.shape[1] < b.shape[1]:
+                        a, b = b, a
+                    a = a[:, : a.shape[1] // 2] ^ a[:, a.shape[1] // 2 :]
+                out[own] = np.bitwise_count(a ^ b).sum(axis=1)
+        return out
+
+
+def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, class (long; null for an empty set), bits (see `parity`) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Hashes()
         for batch in slices(batches):
             made = [shingles(text, table, k) for text in raw(batch.column(1))]
-            n = pa.array([len(s) for s in made], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), n, pa.array([class_of(s) if len(s) else None for s in made], pa.int64())], names=["doc_id", "n_shingles", "class"]
-            )
+            columns = [
+                batch.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([class_of(s) if len(s) else None for s in made], pa.int64()),
+                pa.array([parity(s, percent) for s in made], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long, bits binary")
 
 
 def frequent_tokens(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
@@ -325,8 +369,8 @@ def _pairs(found: DataFrame) -> DataFrame:
 def _unconnected(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """a, b: members of one group that could be similar and have different labels, once each.
 
-    labels: id, component_id of the classes that have links. Each bucket gets
-    the labels of its members.
+    labels: id, component_id, bits of the classes. Each bucket gets those of
+    its members; the bits prune pairs that sizes and cells could not.
     """
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +380,7 @@ def _unconnected(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(ids), pa.int32()), pa.array(ids)], names=["bucket", "id"])
 
     wanted = found.select("bucket", "members").mapInArrow(names, "bucket int, id long")
-    named = wanted.join(labels, "id").groupBy("bucket").agg(F.collect_list(F.struct("id", "component_id")).alias("labels"))
+    named = wanted.join(labels, "id").groupBy("bucket").agg(F.collect_list(F.struct("id", "component_id", "bits")).alias("labels"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -345,7 +389,10 @@ def _unconnected(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame
             ids, roots = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             order = np.argsort(ids)
             where = np.minimum(np.searchsorted(ids[order], members.ids), max(0, len(ids) - 1))
-            label = np.where(ids[order][where] == members.ids, roots[order][where], members.ids) if len(ids) else members.ids
+            known = ids[order][where] == members.ids if len(ids) else np.zeros(len(members.ids), bool)
+            label = np.where(known, roots[order][where], members.ids) if len(ids) else members.ids
+            bits = flat.field(2).to_pylist()
+            parities = _Parities([bits[order[w]] if k else b"" for k, w in zip(known.tolist(), where.tolist(), strict=True)])
             tokens, at, first = _chains(members, tokens, at, percent)
             last = np.append(first, len(at))[1:]
             made = [np.zeros((0, 2), np.int64)]
@@ -357,11 +404,13 @@ def _unconnected(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame
                 other = label[x] != label[y]
                 x, y = x[other], y[other]
                 near = members.near(x, y, percent)
+                x, y = x[near], y[near]
+                near = parities.apart(x, y) <= most_apart(members.sizes[x], members.sizes[y], percent)
                 made.append(np.unique(np.sort(np.stack([members.ids[x[near]], members.ids[y[near]]], axis=1), axis=1), axis=0))
             p = np.unique(np.concatenate(made), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
 
-    rows = found.select("bucket", "members").join(named, "bucket", "left").select("members", F.coalesce("labels", F.array().cast("array<struct<id:bigint,component_id:bigint>>")).alias("labels"))
+    rows = found.select("bucket", "members").join(named, "bucket", "left").select("members", F.coalesce("labels", F.array().cast("array<struct<id:bigint,component_id:bigint,bits:binary>>")).alias("labels"))
     return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -409,8 +458,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id is not null")
-    of = materialize(classes(docs, k), "classes")
-    reps = of.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    of = materialize(classes(docs, k, percent), "classes")
+    named = of.where("class is not null and doc_id is not null")
+    reps, bits = named.groupBy("class").agg(F.min("doc_id").alias("doc_id")), named.groupBy("class").agg(F.min("bits").alias("bits"))
     frequent, total = frequent_tokens(known, k)
     buckets = BUCKETS
     while buckets * PER_BUCKET < total * (100 - percent) // 100:
@@ -419,11 +469,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     nodes = reps.select(F.col("class").alias("id"))
     links = materialize(verify(known, reps, _pairs(found), k, percent), "links")
     labels = connected_components(nodes, links)
-    more = materialize(verify(known, reps, _unconnected(found, labels, percent), k, percent), "links")
+    more = materialize(verify(known, reps, _unconnected(found, labels.join(bits, labels.id == bits["class"]).drop("class"), percent), k, percent), "links")
     if not more.isEmpty():
         labels = connected_components(nodes, links.union(more))
     labels = labels.withColumnRenamed("id", "class").withColumnRenamed("component_id", "_c")
     smallest = reps.join(labels, "class").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    named = labels.join(smallest, "_c").select("class", "component_id")
-    out = of.join(named, "class", "left")
+    out = of.join(labels.join(smallest, "_c").select("class", "component_id"), "class", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
