@@ -1,4 +1,4 @@
-"""Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus."""
+"""Quality rules: hashed n-gram log-likelihood ratios, of a trusted target against the raw corpus and of toxic documents against clean ones."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ BUCKETS, TARGET_DOCS = 1 << 14, 200_000
 PRIOR = 8
 #: A document is kept if its mean log-likelihood ratio over its n-grams is at least this.
 THRESHOLD = -0.12
+#: A word is strongly toxic if its log-likelihood ratio (share of the toxic documents that have it against share of the clean
+#: ones) is at least STRONG, and the likelihood of its counts is larger by EVIDENCE (as a logarithm) than were it as frequent
+#: in both. A document is toxic if the ratios of its strongly toxic words, once each, come to TOXIC.
+STRONG, EVIDENCE, TOXIC = 3.0, 12.0, 4.0
 
 #: Separators of words: space and U+0009 to U+000D.
 BLANK = " \t\n\x0b\f\r"
@@ -26,33 +30,68 @@ def with_hashes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_w", words(F.col("text"))).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
 
 
+def _labelled(labels: DataFrame, which: str, flag: str, most: int) -> DataFrame:
+    return (
+        labels.where(f"({which}) and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+        .orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn(flag, F.lit(1))
+    )
+
+
 def learn_weights(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, most: int = TARGET_DOCS) -> DataFrame:
-    """One row with w: array<double> of n log-likelihood ratios, by bucket.
+    """One row with w: array<double> of n log-likelihood ratios, by bucket; h, l: hash and ratio of the strongly toxic words, by bucket.
 
     Counts cover all documents (raw) and those labelled quality 1 and not
     toxic (target), in one pass. The target's shares start from the raw ones
     with a weight of PRIOR counts a bucket, so that little evidence moves
     them little; without target documents every ratio is 0.
+
+    The same pass counts, by whole hash, the documents labelled toxic and
+    those labelled otherwise that have a word; a document with both labels
+    is toxic. Of strongly toxic words in one bucket that of most evidence
+    stays. Without documents of both kinds no word is strongly toxic.
     """
-    target = (
-        labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null")
-        .select(F.col("doc_id").alias("_id")).distinct()
-        .orderBy(F.xxhash64("_id"), "_id").limit(most).withColumn("_t", F.lit(1))
+    parts = [
+        _labelled(labels, "quality = 1 and coalesce(toxic, 0) = 0", "_t", most),
+        _labelled(labels, "toxic = 1", "_x", most),
+        _labelled(labels, "coalesce(toxic, 0) = 0", "_c", most),
+    ]
+    flags = [p.select("_id", *(F.col(f) if f in p.columns else F.lit(None).cast("int").alias(f) for f in ("_t", "_x", "_c"))) for p in parts]
+    known = (
+        flags[0].unionByName(flags[1]).unionByName(flags[2]).groupBy("_id").agg(*(F.max(f).alias(f) for f in ("_t", "_x", "_c")))
+        .withColumn("_c", F.expr("if(_x is null, _c, null)"))
     )
-    # TARGET_DOCS ids of 8 bytes at most are broadcast
-    seen = with_hashes(docs.select("doc_id", "text").join(F.broadcast(target), F.col("doc_id") == F.col("_id"), "left"))
-    pairs = F.expr(f"transform(_h, (x, i) -> cast(pmod(if(i = 0, x, xxhash64(x, _h[i - 1])), {n}) as int))")
-    singles = F.expr(f"transform(slice(_h, 2, size(_h)), x -> cast(pmod(x, {n}) as int))")
+    # three times TARGET_DOCS ids of 8 bytes at most are broadcast
+    mark = lambda rows: rows.join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left")
+    seen = with_hashes(mark(docs.select("doc_id", "text")))
+    pairs = F.expr(f"transform(_h, (x, i) -> pmod(if(i = 0, x, xxhash64(x, _h[i - 1])), {n}L))")
+    singles = F.expr(f"transform(slice(_h, 2, size(_h)), x -> pmod(x, {n}L))")
+    # words by their whole hash, once a document; below n, where a hash is with a chance of 1e-15, are the buckets
+    own = F.expr("if(_x is null and _c is null, cast(array() as array<bigint>), array_distinct(_h))")
     counted = (
-        seen.select("_t", F.explode(F.concat(pairs, singles)).alias("b"))
-        .groupBy("b").agg(F.count("*").alias("r"), F.count("_t").alias("t"))
+        seen.select("_t", "_x", "_c", F.explode(F.concat(pairs, singles, own)).alias("b"))
+        .groupBy("b").agg(F.count("*").alias("r"), F.count("_t").alias("t"), F.count("_x").alias("x"), F.count("_c").alias("c"))
+    )
+    totals = mark(docs.select("doc_id")).agg(F.count("_x").cast("double").alias("x"), F.count("_c").cast("double").alias("c"))
+    bucket, e = f"b >= 0 and b < {n}", "try_divide((x + c) * _n.x, _n.x + _n.c)"
+    judged = (
+        counted.withColumn("_n", totals.select(F.struct("x", "c")).scalar())
+        .withColumn("l", F.expr("ln((x + 0.5D) / (_n.x + 1)) - ln((c + 0.5D) / (_n.c + 1))"))
+        .withColumn("g", F.expr(f"x * ln(try_divide(x, {e})) + if(c = 0, 0D, c * ln(try_divide(c, x + c - {e})))"))
+        .where(f"{bucket} or (x > 0 and l >= {STRONG} and g >= {EVIDENCE})")
+        .groupBy(F.expr(f"cast(pmod(b, {n}L) as int)").alias("s"))
+        .agg(F.max(F.expr(f"if({bucket}, r, null)")).alias("r"), F.max(F.expr(f"if({bucket}, t, null)")).alias("t"),
+             F.max(F.expr(f"if({bucket}, null, struct(g, b, l))")).alias("v"))
     )
     # one row per bucket, n in all: small enough for one row of arrays
-    filled = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left")
-    row = filled.agg(F.collect_list(F.struct("b", "r", "t")).alias("m"), F.sum("r").alias("R"), F.sum("t").alias("T"))
+    filled = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("b")).join(judged, F.col("b") == F.col("s"), "left")
+    row = filled.agg(
+        F.collect_list(F.struct("b", "r", "t", F.col("v.b").alias("h"), F.col("v.l").alias("l"))).alias("m"), F.sum("r").alias("R"), F.sum("t").alias("T")
+    )
     share = f"((coalesce(x.r, 0) + 1) / (coalesce(R, 0) + {n}))"
     ratio = f"ln((coalesce(x.t, 0) + {PRIOR * n} * {share}) / (coalesce(T, 0) + {PRIOR * n})) - ln({share})"
-    return row.select(F.expr(f"transform(array_sort(m), x -> {ratio})").alias("w"))
+    return row.withColumn("m", F.array_sort("m")).select(
+        F.expr(f"transform(m, x -> {ratio})").alias("w"), F.expr("transform(m, x -> coalesce(x.h, 0L))").alias("h"), F.expr("transform(m, x -> coalesce(x.l, 0D))").alias("l")
+    )
 
 
 def _holds(values: str, x: str) -> str:
@@ -81,12 +120,12 @@ _REPEATED = _let("hs", "_h", _let(
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n: int = BUCKETS) -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, score, kept.
+    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, score, toxic_score, kept.
 
     A null or empty text has no words and fails. Repeated rows are judged
     alike; columns of `docs` with these names are replaced.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "toxic_score", "kept"]
     weights = learn_weights(docs, labels, n)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(BLANK)) != "")
@@ -101,13 +140,15 @@ def with_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
         .withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
     )
-    ratios = f"_r[cast(pmod(x, {n}) as int)]"
+    at = f"cast(pmod(x, {n}) as int)"
+    ratios = f"_r.w[{at}]"
     total = F.expr(
-        f"aggregate(transform(_h, (x, i) -> {ratios} + if(i = 0, 0D, _r[cast(pmod(xxhash64(x, _h[i - 1]), {n}) as int)])), 0D, (a, x) -> a + x)"
+        f"aggregate(transform(_h, (x, i) -> {ratios} + if(i = 0, 0D, _r.w[cast(pmod(xxhash64(x, _h[i - 1]), {n}) as int)])), 0D, (a, x) -> a + x)"
     )
     return (
-        out.withColumn("_r", weights.scalar())
+        out.withColumn("_r", weights.select(F.struct("w", "h", "l")).scalar())
         .withColumn("score", F.when(F.size("_h") > 0, total / (2 * F.size("_h") - 1)))
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)))
+        .withColumn("toxic_score", F.expr(f"aggregate(array_distinct(filter(_h, x -> _r.h[{at}] = x)), 0D, (a, x) -> a + _r.l[{at}])"))
+        .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= threshold, F.lit(False)) & (F.col("toxic_score") < TOXIC))
         .drop("_w", "_h", "_l", "_r")
     )
