@@ -16,17 +16,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Entries that a worker's table of words holds before it starts anew; a bound on memory, without effect on results.
-CACHED = 1 << 18
+#: Entries that a worker's table of words holds before it starts anew, and the bytes of the longest word that it holds; bounds on
+#: memory, without effect on results.
+CACHED, LONGEST = 1 << 18, 64
 
 
 class Hashes(dict):
     """64-bit hash of each word (bytes), kept for the words that come again."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHED:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
