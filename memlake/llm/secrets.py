@@ -10,17 +10,19 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 #: A candidate is a whole run of these characters; a secret of a known shape without a keyword lies in one.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
-#: Window in characters, and the least entropy in bits of a window of each class.
-WINDOW, HEX_BITS, MIXED_BITS = 20, 3.0, 3.7
-#: Candidates that are known to be harmless: UUIDs, placeholders, paths of words, words joined by dashes.
+#: Window in characters, and the least entropy in bits of a window of each class: of hexadecimal digits only, of letters only, of others.
+WINDOW, HEX_BITS, LETTER_BITS, MIXED_BITS = 20, 3.0, 4.0, 3.7
+#: Candidates that are known to be harmless: UUIDs, placeholders within a word, words joined by signs, numbers. A placeholder that
+#: is a word by itself, as in dummy/<key>, says nothing about the rest.
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
-    r"|(?i:example|placeholder|changeme|dummy|x{6,}|0123456789abcdef|abcdefghijklmnop)"
-    r"|^[/_=+-]*([A-Za-z]+[/_=+-]+)*[A-Za-z]+[/_=+-]*$"
-    r"|^[0-9/_=+-]+$"
+    r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    r"|(?<=[A-Za-z0-9])(?i:example|placeholder|changeme|dummy)|(?i:example|placeholder|changeme|dummy)(?=[A-Za-z0-9])"
+    r"|(?i:x{6}|0123456789abcdef|abcdefghijklmnop)"
+    r"|^(?=[A-Za-z]*[/_+-])[A-Za-z/_+-]+$"
+    r"|^[0-9/_+-]+$"
 )
 
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
@@ -79,7 +81,7 @@ def with_secrets(docs: DataFrame) -> DataFrame:
 
     base holds the spans of the kinds assign, access and hex; spans has these
     and, for windows of high entropy in candidates that are not allowed,
-    hex_entropy and mixed_entropy: from the first such window's start to the
+    hex_entropy, mixed_entropy and letter_entropy: from the first such window's start to the
     last one's end. A null or empty text has none. Columns of `docs` called
     base or spans are replaced.
     """
@@ -99,16 +101,17 @@ def with_secrets(docs: DataFrame) -> DataFrame:
             F.when(has, _spans(text, HEX, "hex", 2)).otherwise(none)))
         .withColumn("_cand", F.filter(F.when(has, _spans(text, CANDIDATE, "", 3)).otherwise(none), lambda x: ~x["found"].rlike(ALLOWED)))
         .withColumn("_cand", F.expr(
-            "transform(_cand, c -> named_struct('start', c.start, 'hex', c.found rlike '^[0-9a-fA-F]+$', "
+            "transform(_cand, c -> named_struct('start', c.start, 'class', case when c.found rlike '^[0-9a-fA-F]+$' then 3 when c.found rlike '^[A-Za-z]+$' then 5 else 4 end, "
             "'codes', transform(split(c.found, ''), z -> ascii(z))))"))
         .withColumn("_high", F.expr(
-            "transform(_cand, c -> named_struct('start', c.start, 'hex', c.hex, 'w', "
-            + _entropy_sql("c.codes", f"if(c.hex, {HEX_BITS}D, {MIXED_BITS}D)") + "))"))
+            "transform(_cand, c -> named_struct('start', c.start, 'class', c.class, 'w', "
+            + _entropy_sql("c.codes", f"case c.class when 3 then {HEX_BITS}D when 5 then {LETTER_BITS}D else {MIXED_BITS}D end") + "))"))
     )
     plain = "transform(_base, x -> named_struct('start', x.start, 'rank', x.rank, 'kind', x.kind, 'end', x.end))"
     high = (
         "transform(filter(_high, x -> x.w is not null), x -> named_struct("
-        f"'start', x.start + x.w.a - {WINDOW - 1}, 'rank', if(x.hex, 3, 4), 'kind', if(x.hex, 'hex_entropy', 'mixed_entropy'), 'end', x.start + x.w.b + 1))"
+        f"'start', x.start + x.w.a - {WINDOW - 1}, 'rank', x.class, 'kind', case x.class when 3 then 'hex_entropy' when 5 then 'letter_entropy' else 'mixed_entropy' end, "
+        "'end', x.start + x.w.b + 1))"
     )
     return (
         out.withColumn("base", F.expr(f"array_sort(cast({plain} as array<{SPAN}>))"))
