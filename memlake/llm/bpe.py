@@ -1,15 +1,22 @@
-"""Byte-level BPE: encoding by the tokenizers library over Arrow batches, decoding by the reversed byte table."""
+"""Byte-level BPE: encoding by the tokenizers library over Arrow batches, decoding by the reversed byte table.
+
+A rank file says which token comes first, a list of merges which pair. They
+differ only where two pairs of one token overlap; then the text has a piece
+that repeats and begins once more. Such units are merged by rank here.
+"""
 
 from __future__ import annotations
 
 import base64
 import codecs
+import heapq
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from memlake.llm.common import CACHED, slices
@@ -36,7 +43,6 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for each core
-        import tiktoken
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         ranks = read_ranks(path)
@@ -46,12 +52,11 @@ class Codec:
         merges = [
             (shown(t[:k]), shown(t[k:])) for t in sorted(ranks, key=ranks.__getitem__) for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         ]
-        self.tokenizer = Tokenizer(models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges))
+        self.tokenizer = Tokenizer(models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        # what the ids of a unit are checked against, once when it is first met: merges of equal rank may compete
-        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.ranks, self.pattern = ranks, regex.compile(pattern)
         byte = {c: b for b, c in enumerate(char)}
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -75,11 +80,52 @@ class Codec:
         new = [u for u in set(units) if u not in self.kept]
         once = {}
         for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            exact = self.exact.encode_ordinary(u)
-            (self.kept if len(u) <= LONGEST_KEPT else once)[u] = np.array(ids if ids == exact else exact, dtype="<u4").tobytes()
+            (self.kept if len(u) <= LONGEST_KEPT else once)[u] = np.array(self.by_rank(u) if repeats(u) else e.ids, dtype="<u4").tobytes()
         return once
 
+    def by_rank(self, unit: str) -> list[int]:
+        """Ids of a unit: in each match of the pattern the pair that makes the token of the lowest rank is merged first, the leftmost of equal ones."""
+        return [i for match in self.pattern.findall(unit) for i in merged(match.encode(), self.ranks)]
+
+
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the part that begins here ends; the one before it
+    live = [True] * n
+
+    def pair(k: int) -> tuple[int, int, int] | None:
+        end = after[k]
+        rank = ranks.get(piece[k : after[end]]) if end < n else None
+        return None if rank is None else (rank, k, after[end])
+
+    heap = [p for p in map(pair, range(n)) if p]
+    heapq.heapify(heap)
+    while heap:
+        _, k, end = heapq.heappop(heap)
+        if not live[k] or after[k] >= n or after[after[k]] != end:
+            continue  # a part of it has been merged since
+        live[after[k]] = False
+        after[k] = end
+        if end < n:
+            before[end] = k
+        for x in (k, before[k]):
+            if x >= 0 and (p := pair(x)):
+                heapq.heappush(heap, p)
+    out, k = [], 0
+    while k < n:
+        out.append(ranks[piece[k : after[k]]])
+        k = after[k]
+    return out
+
+
+def repeats(unit: str) -> bool:
+    """Whether some piece stands twice in a row and begins once more; of long units, taken as said."""
+    return len(unit) > LONGEST_KEPT or _REPEATS.search(unit.encode()) is not None
+
+
+_REPEATS = re.compile(rb"((.).*?)\1\2", re.DOTALL)
 
 #: A space after white space, and the places where a space follows something else.
 _AFTER_BLANK, _STARTS = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")

@@ -1,6 +1,7 @@
 """Packing, BPE, language identification and the language model against brute force."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -94,13 +95,31 @@ def test_bpe(docs):
     assert all("".join(r["parts"]) == bytes(r["decoded"]).decode() and len(r["parts"]) == len(r["ids"]) // 4 for r in back)
 
 
+def test_bpe_repeats():
+    """Units with repeated pieces, where pairs of one token may overlap, and others, against the tiktoken library."""
+    import tiktoken
+
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BYTES), special_tokens={})
+    codec, rng = bpe.Codec(BYTES, public_tokenizers.PATTERN), random.Random(3)
+    units = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for letters in ("a", "ab", "=-", " x", "é日a", "aeinrst", "\n ", "0123") for _ in range(150)]
+    units += ["banana", "ababa" * 30, "z" * 5000, "", "Mississippi", "don't"]
+    units = [u for text in units for u in codec.units(text)]
+    assert sum(map(bpe.repeats, units)) > 300
+    once = codec.learn(units)
+    for u in units:
+        assert np.frombuffer(once.get(u) or codec.kept[u], "<u4").tolist() == codec.by_rank(u) == exact.encode_ordinary(u), u
+
+
 def test_bpe_units_and_split_characters():
+    import tiktoken
+
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(BYTES), special_tokens={})
     codec = bpe.Codec(BYTES, public_tokenizers.PATTERN)
     for text in ("a  b \n c", "  x", "x  ", "\n \n", "a  b", "aaaa aaaaaaa" * 20, "don't  I'LL", "日本 語", " \x1c x", "1234 5"):
         units = codec.units(text)
         once = codec.learn(units)
         made = b"".join(codec.kept.get(u) or once[u] for u in units if u)
-        assert "".join(units) == text and np.frombuffer(made, "<u4").tolist() == codec.exact.encode_ordinary(text)
+        assert "".join(units) == text and np.frombuffer(made, "<u4").tolist() == exact.encode_ordinary(text)
     assert bpe.shown(["日".encode()[:1], "日".encode()[1:], b"\xff"]) == ["", "日", "�"]
 
 
