@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlake.llm.common import connected_components, materialize
 
@@ -41,8 +42,13 @@ def signatures(vectors: np.ndarray, bits: int, tables: int, seed: int = SEED) ->
     return (signs << np.arange(bits)).sum(axis=2).astype("<u4")
 
 
-def _signed(bits: int, tables: int, with_vectors: bool):
-    """A row for each class and table: label, cid, tab, sig and, if asked for, mult, all signatures and the vector."""
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1, so that products neither vanish nor overflow."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+def _signed(bits: int, tables: int, with_vectors: str = ""):
+    """A row for each class and table: label, cid, tab, sig and, if a type of number is given, mult, the signatures of earlier tables and the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -52,18 +58,19 @@ def _signed(bits: int, tables: int, with_vectors: bool):
                 dims = np.array([len(x) for x in lists])
                 for dim in np.unique(dims):  # one in most tables
                     own = np.flatnonzero(dims == dim)
-                    vectors = np.array([lists[k] for k in own], dtype=np.float64)
-                    s = signatures(vectors / np.abs(vectors).max(axis=1, keepdims=True), bits, tables)
+                    vectors = scaled(np.array([lists[k] for k in own], dtype=np.float64))
+                    s = signatures(vectors, bits, tables)
                     repeat = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False)[own], tables))  # noqa: E731, B023
                     columns = [repeat(0), repeat(1), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(s.reshape(-1).astype(np.int64))]
                     if with_vectors:
-                        columns += [repeat(2), pa.array([x.tobytes() for x in s for _ in range(tables)]), pa.array([x.tobytes() for x in vectors for _ in range(tables)])]
+                        whole_vectors = [x.tobytes() for x in vectors.astype(with_vectors)]
+                        columns += [repeat(2), pa.array([x[:t].tobytes() for x in s for t in range(tables)]), pa.array([x for x in whole_vectors for _ in range(tables)])]
                     yield pa.RecordBatch.from_arrays(columns, names=["label", "cid", "tab", "sig", "mult", "sigs", "vec"][: len(columns)])
 
     return run
 
 
-def _linked(cosine: float):
+def _linked(cosine: float, number: str):
     """Of each tile's classes with links: cid, links (weighted by mult), root (the smallest cid that they connect it to)."""
 
     def compare(tab: int, i: int, j: int, part: np.ndarray, cid: np.ndarray, mult: np.ndarray, sigs: list[bytes], vecs: list[bytes]):
@@ -74,8 +81,8 @@ def _linked(cosine: float):
             return tuple(np.concatenate(c) for c in zip(*found, strict=True))
         if len(cid) < 2:
             return none
-        x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(cid), -1)
-        s = np.frombuffer(b"".join(sigs), "<u4").reshape(len(cid), -1)
+        x = np.frombuffer(b"".join(vecs), number).reshape(len(cid), -1).astype(np.float64)
+        s = np.frombuffer(b"".join(sigs), "<u4").reshape(len(cid), tab)
         left, right = (np.arange(len(cid)),) * 2 if i == j else (np.flatnonzero(part == i), np.flatnonzero(part == j))
         if not len(left) or not len(right):
             return none
@@ -87,7 +94,7 @@ def _linked(cosine: float):
         if i == j:
             new &= a < b
         a, b = a[new], b[new]
-        new = ~(s[a, :tab] == s[b, :tab]).any(axis=1)
+        new = ~(s[a] == s[b]).any(axis=1)
         a, b = a[new], b[new]
         if not len(a):
             return none
@@ -142,7 +149,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, missed: float =
     length and a cosine of at least `cosine`. Rows whose vec_id, label or
     vector is null, or whose vector is empty, zero or has null or non-finite
     components, link with nothing and are their own component. Equal rows link
-    like other equal vectors. Other columns are not read.
+    like other equal vectors; rows that share a vec_id and differ in vector or
+    label are vectors of their own. Other columns are not read.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     sound = F.expr(
@@ -150,28 +158,33 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, missed: float =
         "and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     )
     valid = rows.where(F.coalesce(sound, F.lit(False)))
-    grouped = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("cid"), F.count("*").alias("mult"))
-    classes = materialize(grouped, "classes")
+    grouped = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"))
+    # numbers that hold once they are written
+    classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # floats are sent as such; scaling by a power of two changes no digit of them but of components below 2^-126 of the largest
+    number = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
     bits, tables = tables_for(classes.count(), cosine, missed)
     # labels by hash, so that they may be of any type
     source = classes.select(F.xxhash64("label").alias("label"), "cid", "mult", "embedding")
     where = ["label", "tab", "sig"]
-    counts = source.mapInArrow(_signed(bits, tables, False), "label long, cid long, tab int, sig long").groupBy(*where).count()
+    counts = source.mapInArrow(_signed(bits, tables), "label long, cid long, tab int, sig long").groupBy(*where).count()
     many = materialize(counts.where(F.col("count") > PART).select(*where, F.ceil(F.col("count") / PART).cast("int").alias("parts")), "many")
-    signed = source.mapInArrow(_signed(bits, tables, True), "label long, cid long, tab int, sig long, mult long, sigs binary, vec binary")
+    signed = source.mapInArrow(_signed(bits, tables, number), "label long, cid long, tab int, sig long, mult long, sigs binary, vec binary")
     dealt = signed.join(F.broadcast(many) if many.count() <= BROADCAST else many, where, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
     tiles = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         *where, F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), F.col("part").cast("long").alias("part"), "cid", "mult", "sigs", "vec"
     )
     key = [*where, "i", "j"]
-    found = tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linked(cosine), "cid long, links long, root long")
+    found = tiles.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linked(cosine, number), "cid long, links long, root long")
     found = materialize(found, "found")
     labels = connected_components(classes.select(F.col("cid").alias("id")), found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    labelled = classes.join(labels.withColumnRenamed("id", "cid").withColumnRenamed("component_id", "_c"), "cid")
+    smallest = labelled.groupBy("_c").agg(F.min("first").alias("c"))
     of_class = (
-        classes.join(links, "cid", "left").join(labels.withColumnRenamed("id", "cid"), "cid")
-        .select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.col("component_id").alias("c"))
+        labelled.join(links, "cid", "left").join(smallest, "_c")
+        .select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), "c")
     )
     # a row that is not sound has no class and finds none
     keyed = rows.withColumn("_s", F.coalesce(sound, F.lit(False)))
