@@ -50,6 +50,43 @@ def test_jaccard_with_frequent_tokens_only(docs, monkeypatch):
     assert both[0] and {x for p in both[0] for x in p} == {x for p in both[1] for x in p}
 
 
+@pytest.mark.parametrize("long", [12, 40, 500])
+def test_jaccard_groups_of_near_copies(spark, monkeypatch, long):
+    """Many near copies of few texts, whose tokens are all frequent: combinations, single tokens and both, all three rounds."""
+    for name, value in (("OFTEN", 3), ("IN_BLOCK", 1), ("LONG", long), ("ORDERS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = np.random.default_rng(5)
+    rows = []
+    for base in range(4):
+        words = [f"b{base}w{k}" for k in range(30 + 15 * base)]
+        for _ in range(60):
+            w = list(words)
+            for at in rng.choice(len(w), rng.integers(0, 4), replace=False):
+                w[at] = f"x{rng.integers(0, 6)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = {k: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for k, t in rows for w in [t.split()]}
+    root = {k: k for k in sets}
+
+    def of(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]) and of(a) != of(b):
+                root[max(of(a), of(b))] = min(of(a), of(b))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {k: of(k) for k in sets}
+
+
+def test_jaccard_entries_of_long_texts():
+    """Sets whose tokens are all frequent have as many entries as their prefix is long; those of up to LONG tokens have combinations."""
+    s = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 100_000).astype(np.uint64))
+    assert len(jaccard.entries(s, s, 90)) == 10_002
+    assert len(jaccard.entries(s[:100], s, 90)) == 12 * 11 // 2 and len(jaccard.entries(s[:480], s, 90)) == 50 + 50 * 49 // 2
+
+
 def test_jaccard_empty(empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
@@ -133,6 +170,14 @@ def test_embeddings(spark, monkeypatch, part):
     assert all(got[i]["kept"] == (want[i] == i) for i in want)
 
 
+def test_embeddings_repeated_ids_and_sizes(spark):
+    """Rows that share a vec_id are vectors of their own; very small and very large components link like others."""
+    small, large = [1e-200, 2e-200, 0.0], [1e200, 2e200, 1e198]
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [0.0, 1.0, 0.001], 0), (3, small, 1), (4, large, 1), (5, [1.0, 2.0, 0.0], 1), (6, [1e-310, 2e-310, 0.0], 1)]
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 3, 3, True), (4, 3, 3, False), (5, 3, 3, False), (6, 3, 3, False)]
+
+
 def test_embeddings_recall():
     """Of pairs right at the threshold hardly any is missed by all tables."""
     rng = np.random.default_rng(1)
