@@ -41,6 +41,20 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.concat_ws(" ", F.filter(tokens(text), lambda t: ~t.isin(*STOP_WORDS))), 256)
 
 
+#: Fixed value: a timestamp in a text.
+TIMESTAMP = r"\b\d{4}-\d{2}-\d{2}[t ][0-2]\d:[0-5]\d:[0-5]\d(?:\.\d+)?(?:z|[+-][0-2]\d:?[0-5]\d)?\b"
+
+
+def plain_tokens(text: Column) -> Column:
+    """Tokens without timestamps and stop words."""
+    return F.filter(F.regexp_extract_all(F.regexp_replace(F.lower(text), TIMESTAMP, " "), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
+
+
+def numbers(text: Column) -> Column:
+    """The distinct runs of digits, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9]+"), F.lit(0))))
+
+
 def feeling(text: Column) -> Column:
     """struct<label, score>: the heaviest feeling and the balance from -1 to 1.
 

@@ -44,8 +44,21 @@ def in_interval(points: DataFrame, intervals: DataFrame, key: list[str], at: str
     return points.join(intervals, key).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
 
 
-def pairs_within(df: DataFrame, group: str, member: str) -> DataFrame:
-    """a, b, n: how many groups have both members, a < b. Members of a group are taken once each."""
-    own = df.select(group, member).distinct()
-    left, right = own.withColumnRenamed(member, "a"), own.withColumnRenamed(member, "b")
-    return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+def pairs_within(df: DataFrame, group: str, member: str, salts: int = 8) -> DataFrame:
+    """a, b, n: how many groups have both members, a < b. Members of a group are taken once each.
+
+    One side of a group is dealt into `salts` parts, each with a copy of the
+    other, so that a large group is spread over as many tasks.
+    """
+    own = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct()
+    left = own.select(group, F.col(member).alias("a"), F.pmod(F.xxhash64(member), F.lit(salts)).cast("int").alias("_salt"))
+    right = own.select(group, F.col(member).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return left.join(right, [group, "_salt"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def jaccard_within(df: DataFrame, group: str, member: str) -> DataFrame:
+    """a, b, jaccard of all pairs of members that have a group in common: groups of both by groups of either."""
+    sizes = df.where(F.col(group).isNotNull()).groupBy(member).agg(F.countDistinct(group).alias("size"))
+    shared = pairs_within(df, group, member)
+    sized = shared.join(sizes.select(F.col(member).alias("a"), F.col("size").alias("_x")), "a").join(sizes.select(F.col(member).alias("b"), F.col("size").alias("_y")), "b")
+    return sized.select("a", "b", (F.col("n") / (F.col("_x") + F.col("_y") - F.col("n"))).alias("jaccard"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,16 +44,85 @@ def constant(values: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
 
-def neighbour_edges(df: DataFrame, key: str, group: str, vector: str, k: int) -> DataFrame:
-    """a, b, weight: undirected edges from each row to its k nearest of the same group by cosine, with the larger weight of both ways.
+#: Vectors of a block of those asked for and of those searched; a task compares one block with one block.
+ASKED, SEARCHED = 1024, 8192
+#: Digits of distances that decide on order; what differs less is a tie, which the key breaks.
+DIGITS = 9
 
-    Compares within groups only; groups are meant to be clusters of bounded size.
+
+def _blocks(df: DataFrame, asked: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides dealt so that each block of the one meets each of the other in a group of its own: (keyed frames, names of the group's key)."""
+    sound = F.expr(f"{vector} is not null and size({vector}) > 0 and forall({vector}, x -> x is not null)")
+    parts = [max(1, -(-x.count() // n)) for x, n in ((asked, ASKED), (df, SEARCHED))]
+    sides = []
+    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))  # columns of its own, where both come from one table
+    for side, own, other, n, m in ((asked, "_q", "_b", *parts), (df, "_b", "_q", *parts[::-1])):
+        dealt = side.where(F.coalesce(sound, F.lit(False))).withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+        sides.append(dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("_d", F.size(vector)))
+    return sides[0], sides[1], ["_q", "_b", "_d"]
+
+
+def _distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
+    if kind == "hamming":
+        a, b = np.where(a > 0, 1.0, -1.0), np.where(b > 0, 1.0, -1.0)
+        return np.rint((a.shape[1] - a @ b.T) / 2)
+    if kind == "l2":
+        return np.round(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0), DIGITS)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.round(-(a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]), DIGITS)
+
+
+def search(df: DataFrame, asked: DataFrame, key: str, vector: str, k: int, kind: str = "cosine", itself: bool = True) -> DataFrame:
+    """asked, key, distance, rank (1 to k): for each row of `asked` the k rows of `df` of least distance, ties by key; exact.
+
+    kind: l2 (squared), hamming (of signs) or cosine (negated). Each task
+    compares a block with a block and keeps k of each asked vector, so that no
+    pairs leave it. Vectors that are null, empty or hold nulls are left out, as
+    are cosines with zero vectors and vectors of another length; without
+    `itself`, a row does not find its own key.
+    """
+    left, right, at = _blocks(df.select(key, vector), asked.select(key, vector), key, vector)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(key, kind="stable", ignore_index=True)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"asked": [], key: [], "distance": []})
+        d = _distances(np.stack(a[vector]).astype(float), np.stack(b[vector]).astype(float), kind)
+        own, found = a[key].to_numpy(), b[key].to_numpy()
+        if not itself:
+            d[own[:, None] == found[None, :]] = np.nan
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(own)), best.shape[1])
+        made = pd.DataFrame({"asked": own[rows], key: found[best.ravel()], "distance": d[rows, best.ravel()]})
+        return made[made["distance"].notna()]
+
+    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(compare, f"asked long, {key} long, distance double")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy("distance", key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def within(df: DataFrame, asked: DataFrame, key: str, vector: str, least: str) -> DataFrame:
+    """asked, key, likeness: rows of `df` whose cosine to a row of `asked` is at least their own value of the column `least`; not themselves."""
+    left, right, at = _blocks(df.select(key, vector, least), asked.select(key, vector), key, vector)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"asked": [], key: [], "likeness": []})
+        c = -_distances(np.stack(a[vector]).astype(float), np.stack(b[vector]).astype(float), "cosine")
+        own, found = a[key].to_numpy(), b[key].to_numpy()
+        i, j = np.nonzero((c >= b[least].to_numpy()[None, :]) & (own[:, None] != found[None, :]))
+        return pd.DataFrame({"asked": own[i], key: found[j], "likeness": c[i, j]})
+
+    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(compare, f"asked long, {key} long, likeness double")
+
+
+def neighbour_edges(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """a, b, weight: undirected edges from each row to its k nearest by cosine, with the larger weight of both ways.
+
+    Compares every row with all rows, block by block (see `search`).
     """
-    own = df.select(F.col(key).alias("i"), group, F.col(vector).alias("v"), F.sqrt(dot(vector, vector)).alias("size"))
-    other = own.select(F.col("i").alias("j"), group, F.col("v").alias("w"), F.col("size").alias("other"))
-    pairs = own.join(other, group).where("i <> j").withColumn("c", dot("v", "w") / (F.col("size") * F.col("other")))
-    near = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("c"), "j"))).where(F.col("rn") <= k)
-    return near.groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("c").alias("weight"))
+    near = search(df, df, key, vector, k, itself=False)
+    return near.groupBy(F.least("asked", key).alias("a"), F.greatest("asked", key).alias("b")).agg(F.max(-F.col("distance")).alias("weight"))
 
 
 def diversified(df: DataFrame, scope: str, key: str, score: str, vector: str, weight: float = 0.7, top: int = 50) -> DataFrame:
@@ -89,9 +159,9 @@ def diversified(df: DataFrame, scope: str, key: str, score: str, vector: str, we
     return few.union(ranked.where(F.col("place") > top))
 
 
-def near_duplicate(tokens: Column, likeness: Column) -> Column:
-    """Whether a likeness is enough for texts of that many tokens: shorter ones must be closer."""
-    return likeness >= F.when(tokens < 50, 0.95).when(tokens <= 200, 0.90).otherwise(0.88)
+def least_likeness(tokens: Column) -> Column:
+    """The likeness from which texts of that many tokens are duplicates: shorter ones must be closer."""
+    return F.when(tokens < 50, 0.95).when(tokens <= 200, 0.90).otherwise(0.88)
 
 
 def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
@@ -101,19 +171,28 @@ def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def hashed_bits(df: DataFrame, key: str, text: str, width: int = 4) -> DataFrame:
-    """key, simhash (long): bits that most hashed runs of `width` tokens have; shorter texts by single tokens, ties to 1."""
-    import hashlib
+    """key, simhash (long), n_tokens: bits that most hashed runs of `width` tokens have; of fewer, single tokens; ties to 1.
 
-    def of(tokens: list[str]) -> int:
-        runs = [" ".join(tokens[k : k + width]) for k in range(len(tokens) - width + 1)] or tokens
-        hashes = np.array([int.from_bytes(hashlib.blake2b(r.encode(), digest_size=8).digest(), "big") for r in runs], dtype=np.uint64)
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 >= len(runs)
+    Tokens are lower-cased, without timestamps and stop words. A text without
+    tokens has all bits.
+    """
+    from memlake.functions.text import plain_tokens
+
+    def of(tokens: list[str], known: dict[str, bytes]) -> int:
+        if not tokens:
+            return -1
+        runs = [f"sh:{' '.join(tokens[k : k + width])}" for k in range(len(tokens) - width + 1)] or [f"tok:{t}" for t in tokens]
+        for r in runs:
+            if r not in known:
+                known[r] = hashlib.blake2b(r.encode(), digest_size=8).digest()
+        hashes = np.frombuffer(b"".join([known[r] for r in runs]), np.uint8).reshape(-1, 8)
+        bits = np.unpackbits(hashes, axis=1).sum(axis=0) * 2 >= len(runs)
         return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "simhash": [of(list(t)) if t is not None and len(t) else 0 for t in b["t"]]})
-
-    from memlake.functions.text import tokens as split
+            known: dict[str, bytes] = {}  # runs that come again in the batch
+            lists = [[] if t is None else list(t) for t in b["t"]]
+            yield pd.DataFrame({key: b[key], "simhash": [of(t, known) for t in lists], "n_tokens": [len(t) for t in lists]})
 
-    return df.select(key, split(F.col(text)).alias("t")).mapInPandas(run, f"{key} long, simhash long")
+    return df.select(key, plain_tokens(F.col(text)).alias("t")).mapInPandas(run, f"{key} long, simhash long, n_tokens long")

@@ -175,14 +175,11 @@ def alias_surfaces_union(spark, d):
     return c.where("tag is not null").select(F.col("tag").alias("surface")).union(c.where("project is not null").select("project")).distinct()
 
 
-@q("session_jaccard", """, s AS (SELECT session_id, list_sort(list(DISTINCT project)) AS ps FROM chunks WHERE project IS NOT NULL AND content_type = 'error' GROUP BY 1)
-SELECT a.session_id AS a, b.session_id AS b, round(len(list_intersect(a.ps, b.ps)) / len(list_distinct(list_concat(a.ps, b.ps))), 6) AS jaccard
-FROM s a JOIN s b ON b.session_id = a.session_id + 1""")
+@q("session_jaccard", """, s AS (SELECT DISTINCT session_id, k FROM chunks WHERE k IS NOT NULL AND session_id IS NOT NULL), n AS (SELECT session_id, COUNT(*) AS n FROM s GROUP BY 1)
+SELECT a.session_id AS a, b.session_id AS b, round(COUNT(*) / (ANY_VALUE(x.n) + ANY_VALUE(y.n) - COUNT(*)), 6) AS jaccard
+FROM s a JOIN s b ON a.k = b.k AND a.session_id < b.session_id JOIN n x ON x.session_id = a.session_id JOIN n y ON y.session_id = b.session_id GROUP BY 1, 2""")
 def session_jaccard(spark, d):
-    s = chunks(spark, d).where("project is not null and content_type = 'error'").groupBy("session_id").agg(F.collect_set("project").alias("ps"))
-    b = s.select((F.col("session_id") - 1).alias("session_id"), F.col("session_id").alias("b"), F.col("ps").alias("other"))
-    both = F.size(F.array_intersect("ps", "other")) / F.size(F.array_union("ps", "other"))
-    return s.join(b, "session_id").select(F.col("session_id").alias("a"), "b", F.round(both, 6).alias("jaccard"))
+    return j.jaccard_within(chunks(spark, d), "k", "session_id").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("prev_assistant_asof", f"""WITH {TRANSCRIPT} SELECT t.chunk_id, (SELECT p.chunk_id FROM transcript p WHERE p.conversation_id = t.conversation_id AND p.position < t.position

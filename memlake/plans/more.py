@@ -9,7 +9,8 @@ from memlake.operators import aggregates as a
 from memlake.operators import clusters as c
 from memlake.operators import graph as g
 from memlake.operators import search as s
-from memlake.operators.joins import normal_key
+from memlake.operators.joins import jaccard_within, normal_key
+from memlake.operators.vectors import cosine, mean_vectors
 from memlake.registry import query
 from memlake.sources.tables import CHUNKS, GRAPH, TRANSCRIPT, chunks, entities, micros, relations, table, transcript
 
@@ -101,25 +102,30 @@ def group_term_labels(spark, d):
     return c.term_labels(table(spark, d, "documents"), "lang", text.tokens(F.col("text"))).withColumn("score", F.round("score", 6))
 
 
-@query("session_similarity", f"""WITH {CHUNKS}, s AS (SELECT session_id, list(DISTINCT k) AS ks, AVG(epoch_us(created_at)) / 3600000000.0 AS h, MIN(project) AS p FROM chunks WHERE content_type = 'purchase' GROUP BY 1)
-SELECT a.session_id AS a, b.session_id AS b, round(0.35 * len(list_intersect(a.ks, b.ks)) / len(list_distinct(list_concat(a.ks, b.ks))) + 0.15 * greatest(0.0, 1 - abs(a.h - b.h) / 168) + 0.10 * CASE WHEN a.p = b.p THEN 1.0 ELSE 0.0 END, 5) AS likeness
-FROM s a JOIN s b ON b.session_id = a.session_id + 1""")
+@query("session_similarity", f"""WITH {CHUNKS}, v AS (SELECT session_id, p, AVG(x) AS x FROM (SELECT session_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM chunks JOIN embeddings ON vec_id = chunk_id) GROUP BY 1, 2),
+vs AS (SELECT session_id, list(x ORDER BY p) AS v FROM v GROUP BY 1), f AS (SELECT DISTINCT session_id, k FROM chunks WHERE k IS NOT NULL),
+s AS (SELECT session_id, COUNT(DISTINCT k) AS n, AVG(epoch_us(created_at)) / 3600000000.0 AS h, MIN(project) AS p, MIN(source_class) AS plan FROM chunks GROUP BY 1),
+sh AS (SELECT a.session_id AS a, b.session_id AS b, COUNT(*) AS m FROM f a JOIN f b ON a.k = b.k AND a.session_id < b.session_id GROUP BY 1, 2)
+SELECT a, b, round(0.40 * COALESCE(list_cosine_similarity(va.v, vb.v), 0) + 0.35 * m / (x.n + y.n - m) + 0.15 * greatest(0.0, 1 - abs(x.h - y.h) / 168)
+  + 0.10 * CASE WHEN x.p = y.p THEN 1.0 WHEN x.plan = y.plan THEN 0.7 ELSE 0.0 END, 5) AS likeness
+FROM sh JOIN s x ON x.session_id = a JOIN s y ON y.session_id = b LEFT JOIN vs va ON va.session_id = a LEFT JOIN vs vb ON vb.session_id = b""")
 def session_similarity(spark, d):
-    own = chunks(spark, d).where("content_type = 'purchase'").groupBy("session_id").agg(
-        F.collect_set("k").alias("ks"), (F.avg(micros("created_at")) / 3_600_000_000).alias("h"), F.min("project").alias("p")
-    )
-    other = own.select((F.col("session_id") - 1).alias("session_id"), F.col("session_id").alias("b"), F.col("ks").alias("ks2"), F.col("h").alias("h2"), F.col("p").alias("p2"))
-    shared = F.size(F.array_intersect("ks", "ks2")) / F.size(F.array_union("ks", "ks2"))
-    same = F.coalesce(F.col("p") == F.col("p2"), F.lit(False))
-    likeness = c.session_likeness(F.lit(0.0), shared, F.abs(F.col("h") - F.col("h2")), same, F.lit(False))
-    return own.join(other, "session_id").select(F.col("session_id").alias("a"), "b", F.round(likeness, 5).alias("likeness"))
+    own = chunks(spark, d)
+    facts = own.groupBy("session_id").agg((F.avg(micros("created_at")) / 3_600_000_000).alias("h"), F.min("project").alias("p"), F.min("source_class").alias("plan"))
+    spoken = own.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    facts = facts.join(mean_vectors(spoken, "session_id", "embedding"), "session_id", "left")
+    side = lambda x: facts.select(*(F.col(c).alias(x if c == "session_id" else f"{c}_{x}") for c in facts.columns))
+    pairs = jaccard_within(own, "k", "session_id").join(side("a"), "a").join(side("b"), "b")
+    same = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False))
+    like = F.coalesce(cosine("centroid_a", "centroid_b"), F.lit(0.0))
+    return pairs.select("a", "b", F.round(c.session_likeness(like, F.col("jaccard"), F.abs(F.col("h_a") - F.col("h_b")), same("p"), same("plan")), 5).alias("likeness"))
 
 
 @query("communities")
 def communities(spark, d):
     from memlake.operators.vectors import neighbour_edges
 
-    return c.label_propagation(neighbour_edges(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 3), 4)
+    return c.label_propagation(neighbour_edges(table(spark, d, "embeddings"), "vec_id", "embedding", 3), 4)
 
 
 @query("kg_upsert_latest", f"""WITH {GRAPH}, o AS (SELECT 'order:' || l_orderkey AS source_id, 'part:' || l_partkey AS target_id, l_linenumber AS o, l_discount AS confidence FROM lineitem)

@@ -141,11 +141,7 @@ def merge_duplicates(spark, d):
 
 @query("simhash_near_dups")
 def simhash_near_dups(spark, d):
-    from memlake.operators.vectors import hashed_bits
-
-    docs = table(spark, d, "documents")
-    bits = hashed_bits(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
-    return dedup.near_pairs(bits, "doc_id", "simhash", ["lang"])
+    return dedup.near_classes(table(spark, d, "documents").where("doc_id is not null"), "doc_id", "text", ["lang"])
 
 
 @q("claim_authority", """SELECT session_id, k, chunk_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, k ORDER BY CASE content_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 ELSE 1 END DESC, created_at DESC, chunk_id) AS rn FROM chunks) WHERE rn = 1""")

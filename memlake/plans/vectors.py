@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.operators import vectors as v
@@ -9,63 +10,74 @@ from memlake.registry import query
 from memlake.sources.tables import table
 
 
-def _asked(spark, d):
+def _tables(spark, d):
+    """All vectors, and those asked for: of every id divisible by 50."""
+    e = table(spark, d, "embeddings")
+    return e, e.where("vec_id % 50 = 0")
+
+
+def _one(spark, d):
     """The vector of id 0, as a one-row subquery."""
     return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").scalar()
 
 
-Q = "WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
+def knn_sql(distance: str, k: int, where: str = "TRUE") -> str:
+    """CTE n: asked, vec_id, distance, rank of the k nearest of each vector whose id is divisible by 50."""
+    return f"""WITH p AS (SELECT q.vec_id AS asked, e.vec_id, e.label, round({distance}, 9) AS distance FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND {where}),
+n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY asked ORDER BY distance, vec_id) AS rank FROM p QUALIFY rank <= {k})"""
+
 
+L2 = "list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda x: (x[1] - x[2]) ** 2))"
+COSINE = "-list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+HAMMING = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CASE WHEN (x[1] > 0) <> (x[2] > 0) THEN 1 ELSE 0 END))"
 
-@query("knn_l2", f"{Q} SELECT vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda x: (x[1] - x[2]) ** 2)), 5) AS distance FROM embeddings, q ORDER BY list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda x: (x[1] - x[2]) ** 2)), vec_id LIMIT 10")
+
+@query("knn_l2", f"{knn_sql(L2, 10)} SELECT asked, vec_id, round(distance, 5) AS distance FROM n")
 def knn_l2(spark, d):
-    e = table(spark, d, "embeddings").withColumn("q", _asked(spark, d))
-    return v.nearest(e, v.squared_l2("embedding", "q"), 10, "vec_id").select("vec_id", F.round("distance", 5).alias("distance"))
+    return v.search(*_tables(spark, d), "vec_id", "embedding", 10, "l2").select("asked", "vec_id", F.round("distance", 5).alias("distance"))
 
 
-@query("knn_cosine", f"{Q} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS likeness FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
+@query("knn_cosine", f"{knn_sql(COSINE, 10)} SELECT asked, vec_id, round(-distance, 6) AS likeness FROM n")
 def knn_cosine(spark, d):
-    e = table(spark, d, "embeddings").withColumn("q", _asked(spark, d))
-    return v.nearest(e, -v.cosine("embedding", "q"), 10, "vec_id").select("vec_id", F.round(-F.col("distance"), 6).alias("likeness"))
+    return v.search(*_tables(spark, d), "vec_id", "embedding", 10).select("asked", "vec_id", F.round(-F.col("distance"), 6).alias("likeness"))
 
 
-@query("knn_filtered", f"{Q} SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS likeness FROM embeddings, q WHERE label IN (1, 3) ORDER BY list_cosine_similarity(embedding::DOUBLE[], q) DESC, vec_id LIMIT 10")
+@query("knn_filtered", f"{knn_sql(COSINE, 10, 'e.label IN (1, 3)')} SELECT asked, vec_id, label, round(-distance, 6) AS likeness FROM n")
 def knn_filtered(spark, d):
-    e = table(spark, d, "embeddings").where("label in (1, 3)").withColumn("q", _asked(spark, d))
-    return v.nearest(e, -v.cosine("embedding", "q"), 10, "vec_id").select("vec_id", "label", F.round(-F.col("distance"), 6).alias("likeness"))
-
+    e, asked = _tables(spark, d)
+    few = e.where("label in (1, 3)")
+    found = v.search(few, asked, "vec_id", "embedding", 10).join(few.select("vec_id", "label"), "vec_id")
+    return found.select("asked", "vec_id", "label", F.round(-F.col("distance"), 6).alias("likeness"))
 
-HAMMING = "list_sum(list_transform(list_zip(embedding, q), lambda x: CASE WHEN (x[1] > 0) <> (x[2] > 0) THEN 1 ELSE 0 END))::BIGINT"
 
-
-@query("knn_hamming", f"{Q} SELECT vec_id, {HAMMING} AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 20")
+@query("knn_hamming", f"{knn_sql(HAMMING, 20)} SELECT asked, vec_id, distance::BIGINT AS distance FROM n")
 def knn_hamming(spark, d):
-    e = table(spark, d, "embeddings")
-    bits = e.select("vec_id", v.sign_words("embedding", 64).alias("bits"))
-    asked = bits.where("vec_id = 0").select("bits").scalar()
-    return v.nearest(bits.withColumn("q", asked), v.hamming("bits", "q").cast("long"), 20, "vec_id").select("vec_id", "distance")
+    return v.search(*_tables(spark, d), "vec_id", "embedding", 20, "hamming").select("asked", "vec_id", F.col("distance").cast("long").alias("distance"))
 
 
-@query("knn_rerank", f"""{Q}, c AS (SELECT vec_id, embedding, q, {HAMMING} AS h FROM embeddings, q ORDER BY h, vec_id LIMIT 50)
-SELECT vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda x: (x[1] - x[2]) ** 2)), 5) AS distance FROM c ORDER BY list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda x: (x[1] - x[2]) ** 2)), h, vec_id LIMIT 10""")
+@query("knn_rerank", f"""{knn_sql(HAMMING, 50)}, x AS (SELECT asked, n.vec_id, n.distance AS h, round({L2}, 9) AS exact FROM n JOIN embeddings e ON e.vec_id = n.vec_id JOIN embeddings q ON q.vec_id = asked)
+SELECT asked, vec_id, round(exact, 5) AS distance FROM x QUALIFY ROW_NUMBER() OVER (PARTITION BY asked ORDER BY exact, h, vec_id) <= 10""")
 def knn_rerank(spark, d):
-    e = table(spark, d, "embeddings").withColumn("q", _asked(spark, d))
-    signs = v.hamming(v.sign_words("embedding", 64), v.sign_words("q", 64))
-    few = v.nearest(e, signs, 50, "vec_id", "h")
-    exact = few.withColumn("exact", v.squared_l2("embedding", "q")).orderBy("exact", "h", "vec_id").limit(10)
-    return exact.select("vec_id", F.round("exact", 5).alias("distance"))
+    e, asked = _tables(spark, d)
+    few = v.search(e, asked, "vec_id", "embedding", 50, "hamming").withColumnRenamed("distance", "h")
+    few = few.join(e.select("vec_id", "embedding"), "vec_id").join(asked.select(F.col("vec_id").alias("asked"), F.col("embedding").alias("q")), "asked")
+    best = F.row_number().over(Window.partitionBy("asked").orderBy("exact", "h", "vec_id"))
+    exact = few.withColumn("exact", F.round(v.squared_l2("embedding", "q"), 9)).withColumn("rn", best).where("rn <= 10")
+    return exact.select("asked", "vec_id", F.round("exact", 5).alias("distance"))
 
 
-@query("knn_graph_edges", """WITH p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+@query("knn_graph_edges", """WITH p AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY i ORDER BY c DESC, j) AS rn FROM p) SELECT least(i, j) AS a, greatest(i, j) AS b, round(MAX(c), 6) AS weight FROM n WHERE rn <= 5 GROUP BY 1, 2""")
 def knn_graph_edges(spark, d):
-    return v.neighbour_edges(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 5).withColumn("weight", F.round("weight", 6))
+    return v.neighbour_edges(table(spark, d, "embeddings"), "vec_id", "embedding", 5).withColumn("weight", F.round("weight", 6))
 
 
-@query("length_tiered_dups", f"{Q} SELECT vec_id FROM embeddings JOIN documents ON vec_id = doc_id, q WHERE list_cosine_similarity(embedding::DOUBLE[], q) >= CASE WHEN n_chars / 4 < 50 THEN 0.95 WHEN n_chars / 4 <= 200 THEN 0.90 ELSE 0.88 END")
+@query("length_tiered_dups", """SELECT q.vec_id AS asked, e.vec_id FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id JOIN documents ON e.vec_id = doc_id
+WHERE round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) >= CASE WHEN n_chars / 4 < 50 THEN 0.95 WHEN n_chars / 4 <= 200 THEN 0.90 ELSE 0.88 END""")
 def length_tiered_dups(spark, d):
-    e = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars"), "vec_id").withColumn("q", _asked(spark, d))
-    return e.where(v.near_duplicate(F.col("n_chars") / 4, v.cosine("embedding", "q"))).select("vec_id")
+    e, asked = _tables(spark, d)
+    sized = e.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), v.least_likeness(F.col("n_chars") / 4).alias("least")), "vec_id")
+    return v.within(sized, asked, "vec_id", "embedding", "least").select("asked", "vec_id")
 
 
 @query("label_centroids", "SELECT label, p::BIGINT AS p, round(AVG(x), 6) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings) GROUP BY 1, 2")
@@ -76,11 +88,11 @@ def label_centroids(spark, d):
 
 @query("mmr_rerank")
 def mmr_rerank(spark, d):
-    e = table(spark, d, "embeddings").withColumn("q", _asked(spark, d))
+    e = table(spark, d, "embeddings").withColumn("q", _one(spark, d))
     scored = e.select("label", "vec_id", v.cosine("embedding", "q").alias("score"), "embedding")
     return v.diversified(scored, "label", "vec_id", "score", "embedding").select("label", "vec_id", F.round("score", 6).alias("score"), "place")
 
 
 @query("simhash_bits")
 def simhash_bits(spark, d):
-    return v.hashed_bits(table(spark, d, "documents"), "doc_id", "text")
+    return v.hashed_bits(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "simhash")

@@ -1,9 +1,13 @@
 """Operators on small tables: sources, changes, streams, ranking, history."""
 
+import hashlib
 import json
 import math
+import re
+from collections import defaultdict
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,7 +152,88 @@ def test_near_bits(spark):
     assert rows(dedup.near_pairs(df, "id", "b", ["l"]), "a", "b") == [(1, 2), (1, 6), (2, 3)]
     same = vectors.hashed_bits(spark.createDataFrame([(1, "one two three four five"), (2, "ONE two, three four five"), (3, ""), (4, None)], "id long, t string"), "id", "t")
     got = {r["id"]: r["simhash"] for r in same.collect()}
-    assert got[1] == got[2] and got[3] == 0
+    assert got[1] == got[2] and got[3] == got[4] == -1
+
+
+def near_by_hand(rows):
+    """Class of each (key, text, scope, week): by all pairs, with bits and numbers made anew."""
+    def tokens(t, plain):
+        t = t.lower()
+        if plain:
+            t = re.sub(r"\b\d{4}-\d{2}-\d{2}[t ][0-2]\d:[0-5]\d:[0-5]\d(?:\.\d+)?(?:z|[+-][0-2]\d:?[0-5]\d)?\b", " ", t)
+        return [w for w in re.findall("[a-z0-9]+", t) if w not in text.STOP_WORDS]
+
+    def bits(words):
+        runs = ["sh:" + " ".join(words[k : k + 4]) for k in range(len(words) - 3)] or ["tok:" + w for w in words]
+        hashes = [int.from_bytes(hashlib.blake2b(r.encode(), digest_size=8).digest(), "big") for r in runs]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes))
+
+    facts = {}
+    for key, t, scope, week in rows:
+        if t is not None:
+            facts[key] = (scope, " ".join(tokens(t, False)), week, set(re.findall("[0-9]+", t)), bits(tokens(t, True)), len(tokens(t, True)))
+    root = {r[0]: r[0] for r in rows}
+
+    def of(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, x in facts.items():
+        for b, y in facts.items():
+            same = x[1] == y[1] or (x[2] == y[2] and x[3] == y[3] and min(x[5], y[5]) >= 8 and (x[4] ^ y[4]).bit_count() <= 3)
+            if a < b and x[0] == y[0] and same and of(a) != of(b):
+                root[max(of(a), of(b))] = min(of(a), of(b))
+    return {k: of(k) for k in root}
+
+
+def test_near_classes(spark):
+    long = "some rather long sentence about ducks and geese that swim across every wide lake near our old town house"
+    texts = [
+        (1, long, "p", "w1"), (2, long.upper() + "!", "p", "w1"), (3, long + " 7", "p", "w1"), (4, long, "q", "w1"), (5, long.replace("old", "odd"), "p", "w1"), (6, long, "p", "w2"),
+        (7, "short text", "p", None), (8, "the short text", "p", None), (9, None, "p", None), (10, "", None, None), (11, "", None, "w1"), (12, long + " 2024-01-02T03:04:05Z", "p", "w1"),
+        (13, long.replace("old", "odd"), "p", None), (14, "of the", None, "w1"),
+    ] + [(20 + k, long + " tail" * k, "r", "w1") for k in range(12)]
+    df = spark.createDataFrame([(*t, -t[0]) for t in texts], "id long, t string, p string, w string, o long")
+    got = dedup.near_classes(df, "id", "t", ["p"], F.col("w"), F.col("o")).collect()
+    assert {r["id"]: r["class_id"] for r in got} == near_by_hand(texts)
+    kept = {r["class_id"]: r["id"] for r in got if r["kept"]}
+    assert kept[1] == max(r["id"] for r in got if r["class_id"] == 1) and len(kept) == len({r["class_id"] for r in got})
+    assert dedup.near_classes(df.where("false"), "id", "t", ["p"]).count() == 0
+
+
+def test_near_classes_of_a_whole_table(spark):
+    from memlake import registry
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r["doc_id"]: r["class_id"] for r in registry.QUERIES["simhash_near_dups"](spark, folder).collect()}
+    assert got == near_by_hand([(r["doc_id"], r["text"], r["lang"], None) for r in docs])
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ASKED", 3)
+    monkeypatch.setattr(vectors, "SEARCHED", 7)
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=(30, 4)), 1)
+    v[10:14] = v[3]
+    v[20] = 0
+    rows_ = [(k, [float(x) for x in r]) for k, r in enumerate(v)] + [(40, None), (41, []), (42, [1.0, None, 0.0, 0.0]), (43, [1.0])]
+    df = spark.createDataFrame(rows_, "id long, v array<double>")
+    asked = df.where("id % 4 = 0")
+    by = {"l2": lambda a, b: ((a - b) ** 2).sum(), "hamming": lambda a, b: float(((a > 0) != (b > 0)).sum()), "cosine": lambda a, b: -(a @ b) / np.sqrt((a @ a) * (b @ b)) if a.any() and b.any() else None}
+    for kind, f in by.items():
+        got = defaultdict(list)
+        for r in vectors.search(df, asked, "id", "v", 5, kind, itself=False).orderBy("rank").collect():
+            got[r["asked"]].append(r["id"])
+        for a in range(0, 30, 4):
+            d = sorted((round(x, 9), b) for b in range(30) if b != a and (x := f(v[a], v[b])) is not None)
+            assert got.pop(a, []) == [b for _, b in d[:5]], (kind, a)
+        assert not got
+    near = vectors.within(df.withColumn("least", F.lit(0.9)), asked, "id", "v", "least")
+    want = {(a, b) for a in range(0, 30, 4) for b in range(30) if a != b and (x := by["cosine"](v[a], v[b])) is not None and -x >= 0.9}
+    assert {(r["asked"], r["id"]) for r in near.collect()} == want
+    assert vectors.search(df.where("false"), asked, "id", "v", 5).count() == vectors.search(df, asked.where("false"), "id", "v", 5).count() == 0
 
 
 def test_history(spark):
