@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from memlake.operators.components import connected_components
+from memlake.storage import materialize, new_path, shared_dir
+
+__all__ = ["CACHED", "LONGEST", "WORD", "Hashes", "connected_components", "materialize", "new_path", "raw", "shared_dir", "slices"]
 
 #: Separators of words: space and U+0009 to U+000D. `bytes.split()` splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,66 +47,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 def raw(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; of null, none."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a
-    local session, as in tests) is a temporary folder of this machine taken.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="memlake-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get()
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs no recomputation of what
-    was written, and what reads the table twice computes it once.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest reachable id of each vertex: (id, component_id), both long.
-
-    `vertices` has a column id without repeats, `edges` has a and b, both
-    among the ids. Each round every vertex takes the smallest label among its
-    neighbours, hooks its old label's vertex to it, and follows two labels
-    (pointer jumping), so the rounds grow with the logarithm of the longest
-    path. Labels stay in written tables; only the number of changes comes to
-    the driver. Vertices without an edge never enter the rounds.
-    """
-    edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(
-        both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")), "labels"
-    )
-    while True:
-        # the smallest label next to each vertex
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("c").alias("n"))
-        seen = labels.join(near, labels.id == near.a, "left").select("id", "c", F.least("c", "n").alias("n"))
-        # a vertex's old label is a vertex too: hook it to what its members have found
-        hooks = seen.where("n < c").groupBy(F.col("c").alias("h")).agg(F.min("n").alias("hook"))
-        hooked = seen.join(hooks, seen.id == hooks.h, "left").select("id", "c", F.least("n", "hook").alias("n"))
-        hooked = materialize(hooked, "labels")
-        up = hooked.select(F.col("id").alias("u"), F.col("n").alias("up"))
-        fresh = hooked.join(up, hooked.n == up.u, "left").select("id", F.col("c").alias("old"), F.least("n", "up").alias("c"))
-        fresh = materialize(fresh, "labels")
-        labels = fresh.select("id", "c")
-        if fresh.where("old <> c").isEmpty():
-            break
-    return vertices.join(labels, "id", "left").select("id", F.coalesce("c", "id").alias("component_id"))

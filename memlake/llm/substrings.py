@@ -6,17 +6,22 @@ and by a fingerprint of the whole window, so that neighbours share an anchor
 and cost six bytes each. A document is parsed against its own block at once:
 windows that the block has before are settled, only first ones leave it. The
 blocks' indexes then meet by anchor, which parses every document against all
-blocks. Windows with an earlier match make factors: a factor starts at the
-first such window and goes on greedily while the next window, at the factor's
-boundary, matches too; its words, `window` or more, are a duplicate span.
-
-Anchors that hold a large share of the windows (4096 at most) would gather in
+blocks. Each window that has an earlier occurrence refers to the first one in
+its own block or, where that has none, in all blocks, and a factor goes on greedily as long as the next window refers to the place after:
+it is (start, words, reference document, reference start), `window` words or
+more. Where the reference ends or another one is earlier, the next factor
+begins; the windows over such boundaries are looked up like all others, so
+that none is missed. The words of the factors are the duplicate spans.
+
+Windows are compared by hashes (64 bits of the anchor and 48 of the window),
+not by their words. Anchors that hold a large share of the windows (4096 at most) would gather in
 one task. They are counted first, and their windows are dealt by their own hash.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,9 +68,9 @@ def slid_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Block:
-    """Windows of some documents, in order of doc_id and start: doc, start, whole (hash), anchor."""
+    """Windows of some documents, in order of doc_id and start: doc, crc (of the text), start, whole (hash), anchor."""
 
-    def __init__(self, docs: list[int], hashes: list[np.ndarray], window: int):
+    def __init__(self, docs: list[int], crcs: list[int], hashes: list[np.ndarray], window: int):
         order = sorted(range(len(docs)), key=docs.__getitem__)
         lengths = np.array([len(hashes[k]) for k in order])
         h = np.concatenate([hashes[k] for k in order])
@@ -73,6 +78,7 @@ class Block:
         owner = np.repeat(np.arange(len(order)), lengths)
         at = np.flatnonzero(owner[:n] == owner[window - 1 :])
         self.doc = np.array([docs[k] for k in order], dtype=np.int64)[owner[at]]
+        self.crc = np.array([crcs[k] for k in order], dtype=np.uint32)[owner[at]]
         self.start = (at - (np.cumsum(lengths) - lengths)[owner[at]]).astype(np.uint32)
         self.whole = mixed(rolled(h, window)[at])
         k = min(ANCHOR, window)
@@ -82,6 +88,7 @@ class Block:
 def blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Block]:
     table = Hashes()
     docs: list[int] = []
+    crcs: list[int] = []
     hashes: list[np.ndarray] = []
     total = 0
     for batch in slices(batches):
@@ -89,13 +96,14 @@ def blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Block]:
             h = table.of(text.split())
             if doc is not None and len(h) >= window:
                 docs.append(doc)
+                crcs.append(zlib.crc32(text))
                 hashes.append(h)
                 total += len(h)
             if total >= BLOCK:
-                yield Block(docs, hashes, window)
-                docs, hashes, total = [], [], 0
+                yield Block(docs, crcs, hashes, window)
+                docs, crcs, hashes, total = [], [], [], 0
     if docs:
-        yield Block(docs, hashes, window)
+        yield Block(docs, crcs, hashes, window)
 
 
 def heavy_anchors(docs: DataFrame, window: int) -> tuple[list[int], int]:
@@ -125,15 +133,27 @@ def _grouped(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
 
 
-def _by_doc(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype("<u4")
-    first = _grouped(doc)
-    return doc[first], [start[a:b].tobytes() for a, b in zip(first, np.append(first, len(doc))[1:], strict=True)]
+#: Of a factor: the first window and the number of windows, and where the first window stands first.
+FACTOR = np.dtype([("start", "<u4"), ("windows", "<u4"), ("of", "<i8"), ("at", "<u4")])
+
+
+def _factors(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Windows (doc, crc, start) and their references (of, at) as factors: doc and crc of each document, and its factors as bytes."""
+    order = np.lexsort((start, crc, doc))
+    doc, crc, start, of, at = (x[order] for x in (doc, crc, start, of, at))
+    other = np.ones(len(doc), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
+    new = other.copy()
+    new[1:] |= (start[1:] != start[:-1] + 1) | (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)
+    begin = np.flatnonzero(new)
+    made = np.zeros(len(begin), FACTOR)
+    made["start"], made["windows"], made["of"], made["at"] = start[begin], np.diff(np.append(begin, len(doc))), of[begin], at[begin]
+    first = np.flatnonzero(other[begin])
+    return doc[begin[first]], crc[begin[first]], [made[a:b].tobytes() for a, b in zip(first, np.append(first, len(begin))[1:], strict=True)]
 
 
-def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, starts (binary: little-endian, 32 bits each): starts of the windows whose words also start earlier; several rows a document."""
+def parsed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, crc (of the text), factors (binary: see FACTOR) of the windows whose words also start earlier; several rows a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy, total = heavy_anchors(docs, window)
     heavy = np.array(sorted(heavy), dtype=np.int64).view(np.uint64)
@@ -145,14 +165,14 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             _, first, group = np.unique(b.whole, return_index=True, return_inverse=True)
             first = first[group]
             here = (b.doc[first] != b.doc) | (b.start[first] != b.start)
-            settled, starts = _by_doc(b.doc[here], b.start[here])
+            settled, crcs, factors = _factors(*(x[here] for x in (b.doc, b.crc, b.start, b.doc[first], b.start[first])))
             left = np.flatnonzero(~here)
             anchor = np.where(np.isin(b.anchor[left], heavy), b.whole[left], b.anchor[left])
-            doc, start, whole = b.doc[left], b.start[left], b.whole[left]
+            doc, crc, start, whole = b.doc[left], b.crc[left], b.start[left], b.whole[left]
             bucket = (mixed(anchor + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int32)
             # runs of neighbours with one anchor
             begin = np.flatnonzero(
-                np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
+                np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]) | (start[1:] != start[:-1] + 1)])
             ) if len(left) else left
             length = np.diff(np.append(begin, len(left)))
             order = np.argsort(bucket[begin], kind="stable")
@@ -166,26 +186,27 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             for a, z in zip(cut, ends, strict=True):
                 r, w = begin[a:z], slice(last[a - 1], last[z - 1])
                 index.append(
-                    np.array([z - a], "<u4").tobytes() + anchor[r].tobytes() + doc[r].tobytes() + start[r].astype("<u4").tobytes()
+                    np.array([z - a], "<u4").tobytes() + anchor[r].tobytes() + doc[r].tobytes() + crc[r].astype("<u4").tobytes() + start[r].astype("<u4").tobytes()
                     + length[a:z].astype("<u4").tobytes() + low[w].tobytes() + high[w].tobytes()
                 )
             to = np.concatenate([(mixed(settled.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32), bucket[begin[cut]]])
-            ids = pa.array([*settled.tolist(), *[None] * len(index)], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(to), ids, pa.array([*starts, *index], pa.binary())], names=["bucket", "doc_id", "data"])
+            none = [None] * len(index)
+            columns = [pa.array(to), pa.array([*settled.tolist(), *none], pa.int64()), pa.array([*crcs.tolist(), *none], pa.int64()), pa.array([*factors, *index], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "doc_id", "crc", "data"])
 
-    def match(indexes: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        parts: list[list[np.ndarray]] = [[], [], [], []]
+    def match(indexes: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        parts: list[list[np.ndarray]] = [[], [], [], [], []]
         for x in indexes:
             n = int(np.frombuffer(x, "<u4", 1)[0])
             anchor, doc = np.frombuffer(x, "<u8", n, 4), np.frombuffer(x, "<i8", n, 4 + 8 * n)
-            start, length = np.frombuffer(x, "<u4", n, 4 + 16 * n), np.frombuffer(x, "<u4", n, 4 + 20 * n)
+            crc, start, length = (np.frombuffer(x, "<u4", n, 4 + 16 * n + 4 * k * n) for k in range(3))
             m = int(length.sum())
-            low, high = np.frombuffer(x, "<u4", m, 4 + 24 * n), np.frombuffer(x, "<u2", m, 4 + 24 * n + 4 * m)
+            low, high = np.frombuffer(x, "<u4", m, 4 + 28 * n), np.frombuffer(x, "<u2", m, 4 + 28 * n + 4 * m)
             inside = np.arange(m) - np.repeat(np.cumsum(length) - length, length)
-            made = (np.repeat(anchor, length), low | high.astype(np.uint64) << np.uint64(32), np.repeat(doc, length), np.repeat(start, length) + inside)
+            made = (np.repeat(anchor, length), low | high.astype(np.uint64) << np.uint64(32), np.repeat(doc, length), np.repeat(crc, length), np.repeat(start, length) + inside)
             for into, column in zip(parts, made, strict=True):
                 into.append(column)
-        anchor, print_, doc, start = (np.concatenate(p) for p in parts)
+        anchor, print_, doc, crc, start = (np.concatenate(p) for p in parts)
         order = np.lexsort((print_, anchor))
         new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (print_[order][1:] != print_[order][:-1])])
         group = np.cumsum(new) - 1
@@ -194,40 +215,56 @@ def duplicate_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         again = np.lexsort((start[many], doc[many], group))
         many, first = many[again], _grouped(group[again])
         first = np.repeat(many[first], np.diff(np.append(first, len(many))))
-        earlier = many[(doc[first] != doc[many]) | (start[first] != start[many])]
-        return _by_doc(doc[earlier], start[earlier])
+        earlier = (doc[first] != doc[many]) | (start[first] != start[many])
+        many, first = many[earlier], first[earlier]
+        return _factors(doc[many], crc[many], start[many], doc[first], start[first])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(docs: np.ndarray | list[int], starts: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.binary())], names=["doc_id", "starts"])
+        def rows(*columns: np.ndarray | list) -> pa.RecordBatch:
+            types = (pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "crc", "factors"])
 
         bucket, held = None, []
         for batch in batches:
-            settled: list[tuple[int, bytes]] = []
-            for b, doc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            settled: list[tuple[int, int, bytes]] = []
+            for b, doc, crc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc is not None:
-                    settled.append((doc, data))
+                    settled.append((doc, crc, data))
                     continue
                 if b != bucket and held:
                     yield rows(*match(held))
                     held = []
                 bucket = b
                 held.append(data)
-            yield rows([d for d, _ in settled], [x for _, x in settled])
+            yield rows(*([x[k] for x in settled] for k in range(3)))
         if held:
             yield rows(*match(held))
 
-    dealt = docs.mapInArrow(parse, "bucket int, doc_id long, data binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "doc_id long, starts binary")
+    dealt = docs.mapInArrow(parse, "bucket int, doc_id long, crc long, data binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(meet, "doc_id long, crc long, factors binary")
+
+
+def joined(pieces: np.ndarray, window: int) -> np.ndarray:
+    """Factors in order, those in one where both the text and its reference go on; `windows` becomes words."""
+    pieces = np.unique(pieces)
+    new = np.ones(len(pieces), bool)
+    end = pieces["start"] + pieces["windows"]
+    new[1:] = (pieces["start"][1:] != end[:-1]) | (pieces["of"][1:] != pieces["of"][:-1]) | (pieces["at"][1:] != pieces["at"][:-1] + pieces["windows"][:-1])
+    begin = np.flatnonzero(new)
+    out = pieces[begin].copy()
+    out["windows"] = end[np.append(begin, len(pieces))[1:] - 1] - out["start"] + window - 1 if len(out) else 0
+    return out
 
 
-def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Word spans (end exclusive) of the runs of matching windows, overlapping and touching ones as one."""
-    starts = np.unique(starts).astype(np.int64)
-    if not len(starts):
-        return []
-    begin = np.flatnonzero(np.concatenate([[True], starts[1:] > starts[:-1] + window]))
-    return [(int(a), int(z) + window) for a, z in zip(starts[begin], starts[np.append(begin, len(starts))[1:] - 1], strict=True)]
+def spans_of(factors: np.ndarray) -> list[tuple[int, int]]:
+    """Word spans (end exclusive) of the factors, overlapping and touching ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, n in zip(factors["start"].tolist(), factors["windows"].tolist(), strict=True):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], a + n)
+        else:
+            out.append((a, a + n))
+    return out
 
 
 def _cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -243,35 +280,38 @@ def _cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_FACTOR = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "n_words", "of_doc", "of_start")])
 MADE = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)),
-    T.StructField("kept", T.StringType()),
+    T.StructField("kept", T.StringType()), T.StructField("factors", T.ArrayType(_FACTOR)),
 ])
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`docs` with n_words, n_removed (long), spans (array<struct<start, end>> of words), kept (string: the kept words joined by one space).
+    """`docs` with n_words, n_removed (long), spans (array<struct<start, end>> of words), kept (string: the kept words joined by one space), factors.
 
     A word goes if a window of `window` words over it also starts earlier: in
     a smaller doc_id or before in the same document. text becomes what is left
-    of it, as it was spaced. A null or empty text has no words. Rows that
-    repeat a doc_id are positions of one document: none is earlier than its
-    repeat. Rows without doc_id neither lose words nor cost others theirs.
+    of it, as it was spaced. factors (array<struct<start, n_words, of_doc,
+    of_start>>) says where the words of the spans stand first. A null or empty text has no words. Rows that
+    repeat a doc_id are positions of one document, whatever their texts: a window
+    is not earlier than one of the same start. Rows without doc_id neither lose words nor cost others theirs.
     Columns of `docs` with the names above are replaced.
     """
     docs = docs.drop(*MADE.names)
     key = F.col("doc_id").cast("long")
-    found = duplicate_windows(docs.select(key.alias("doc_id"), "text"), window).groupBy("doc_id").agg(F.collect_list("starts").alias("_starts"))
-    found = found.withColumnRenamed("doc_id", "_id")
+    found = parsed(docs.select(key.alias("doc_id"), "text"), window).groupBy("doc_id", "crc").agg(F.collect_list("factors").alias("_factors"))
+    found = found.withColumnsRenamed({"doc_id": "_id", "crc": "_crc"})
     place, names = docs.columns.index("text"), [*docs.columns, *MADE.names]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            counts, removed, spans, kept = [], [], [], []
+            counts, removed, spans, kept, factors = [], [], [], [], []
             texts = batch.column(place).cast(pa.binary()).to_pylist()
-            for k, (text, starts) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+            for k, (text, found) in enumerate(zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
                 words = (text or b"").split()
-                own = factors(np.frombuffer(b"".join(starts), "<u4"), window) if starts else []
+                made = joined(np.frombuffer(b"".join(found or []), FACTOR), window)
+                own = spans_of(made)
                 left, at = [], 0
                 for a, z in own:
                     left += words[at:a]
@@ -283,11 +323,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 removed.append(len(words) - len(left))
                 spans.append([{"start": a, "end": z} for a, z in own])
                 kept.append(b" ".join(left))
+                factors.append([dict(zip(_FACTOR.names, f, strict=True)) for f in made.tolist()])
             columns = batch.columns[:-1]
             columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns += [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())]
+            span, factor = (pa.list_(pa.struct([(c, pa.int64()) for c in t.names])) for t in (_SPAN, _FACTOR))
+            columns += [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(factors, factor)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = docs.join(found, key == F.col("_id"), "left").select(*docs.columns, "_starts")
-    return joined.mapInArrow(cut, T.StructType([*docs.schema.fields, *MADE.fields]))
+    beside = docs.join(found, (key == F.col("_id")) & (F.crc32(F.encode("text", "UTF-8")) == F.col("_crc")), "left").select(*docs.columns, "_factors")
+    return beside.mapInArrow(cut, T.StructType([*docs.schema.fields, *MADE.fields]))

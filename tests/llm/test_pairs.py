@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from conftest_llm import given
 
 from memlake.llm import embeddings, jaccard, substrings
@@ -127,7 +128,7 @@ def test_heavy_anchors_change_nothing(docs, monkeypatch):
 def _all_anchors(docs, window):
     rows = [(i, t.encode()) for i, t in given(docs) if i is not None and len(t.split()) >= window]
     table = substrings.Hashes()
-    b = substrings.Block([i for i, _ in rows], [table.of(t.split()) for _, t in rows], window)
+    b = substrings.Block([i for i, _ in rows], [0] * len(rows), [table.of(t.split()) for _, t in rows], window)
     return np.unique(b.anchor).view(np.int64).tolist()[::2]
 
 
@@ -170,6 +171,20 @@ def test_embeddings(spark, monkeypatch, part):
     assert all(got[i]["kept"] == (want[i] == i) for i in want)
 
 
+def test_substring_factors(spark):
+    """Factors name where their words stand first; rows that share a doc_id and differ in text lose words of their own only."""
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(50)]
+    texts = [(1, a), (2, b), (3, ["x", *a[10:45], "y", *b[:30], "z"]), (4, a[:25] + b[5:40]), (5, a[3:30]), (5, ["short"]), (5, ["p", *b[20:45], "q"]), (6, a[20:50] * 2)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts], "doc_id long, text string").coalesce(1)  # one block
+    got = {(r["doc_id"], r["text"]): r for r in substrings.dedup_substrings(df.withColumn("old", F.col("text"))).collect()}
+    got = {(r["doc_id"], r["old"]): [tuple(f) for f in r["factors"]] for r in got.values()}
+    want = [[], [], [(1, 35, 1, 10), (37, 30, 2, 0)], [(0, 25, 1, 0), (25, 35, 2, 5)], [(0, 27, 1, 3)], [], [(1, 25, 2, 20)]]
+    for (k, w), factors in zip(texts, want, strict=False):
+        assert got[k, " ".join(w)] == factors, k
+    own = got[6, " ".join(texts[-1][1])]
+    assert own[0] == (0, 30, 1, 20) and own[-1] == (30, 30, 1, 20)  # windows over the seam stand first here
+
+
 def test_embeddings_repeated_ids_and_sizes(spark):
     """Rows that share a vec_id are vectors of their own; very small and very large components link like others."""
     small, large = [1e-200, 2e-200, 0.0], [1e200, 2e200, 1e198]
