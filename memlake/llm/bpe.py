@@ -1,8 +1,8 @@
 """Byte-level BPE: encoding by the tokenizers library over Arrow batches, decoding by the reversed byte table.
 
 A rank file says which token comes first, a list of merges which pair. They
-differ only where two pairs of one token overlap; then the text has a piece
-that repeats and begins once more. Such units are merged by rank here.
+differ only where two different pairs of one token overlap. Units with such
+places are merged by rank here.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ import codecs
 import heapq
 import os
 import re
+import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -56,7 +58,7 @@ class Codec:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.ranks, self.pattern, self.overlaps = ranks, regex.compile(pattern), overlaps(ranks)
         byte = {c: b for b, c in enumerate(char)}
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -80,9 +82,14 @@ class Codec:
         new = [u for u in set(units) if u not in self.kept]
         once = {}
         for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (self.kept if len(u) <= LONGEST_KEPT else once)[u] = np.array(self.by_rank(u) if repeats(u) else e.ids, dtype="<u4").tobytes()
+            ids = self.by_rank(u) if self.ambiguous(u) else e.ids
+            (self.kept if len(u) <= LONGEST_KEPT else once)[u] = struct.pack(f"<{len(ids)}I", *ids)
         return once
 
+    def ambiguous(self, unit: str) -> bool:
+        """Whether two different pairs of one token overlap somewhere in the unit."""
+        return next(self.overlaps.iter(unit.encode().decode("latin-1")), None) is not None if self.overlaps else False
+
     def by_rank(self, unit: str) -> list[int]:
         """Ids of a unit: in each match of the pattern the pair that makes the token of the lowest rank is merged first, the leftmost of equal ones."""
         return [i for match in self.pattern.findall(unit) for i in merged(match.encode(), self.ranks)]
@@ -120,12 +127,19 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def repeats(unit: str) -> bool:
-    """Whether some piece stands twice in a row and begins once more; of long units, taken as said."""
-    return len(unit) > LONGEST_KEPT or _REPEATS.search(unit.encode()) is not None
-
+def overlaps(ranks: dict[bytes, int]) -> ahocorasick.Automaton | None:
+    """Finds the texts l m r in which the pairs (l, m) and (m, r) make the same token; bytes stand as characters."""
+    found = ahocorasick.Automaton()
+    for t in ranks:
+        for n in range(1, len(t)):
+            left, middle, right = t[:-n], t[:n], t[n:]
+            if t.endswith(middle) and left != middle and left in ranks and middle in ranks and right in ranks:
+                found.add_word((t + right).decode("latin-1"), 1)
+    if not len(found):
+        return None
+    found.make_automaton()
+    return found
 
-_REPEATS = re.compile(rb"((.).*?)\1\2", re.DOTALL)
 
 #: A space after white space, and the places where a space follows something else.
 _AFTER_BLANK, _STARTS = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
