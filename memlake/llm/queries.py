@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.llm import bpe, embeddings, jaccard, kneser_ney, langid, packing, quality, secrets, sharding, substrings
@@ -60,8 +60,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    profiles = langid.learn_profiles(docs.where(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    profiles = langid.learn_profiles(docs.where(~held_out))
     return langid.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -78,9 +78,30 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base spans of each kind `op1_secret_scans` finds."""
+    return op1_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of `op7_quality_rules` that need no model."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (F.col("kept") & F.col("base_failed")).alias("wrongly_kept"))
+
+
+def base_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `op5_lm_scoring` says without its model."""
+    return op5_lm_scoring(spark, sf_dir).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, different and last slots of each shard of `op10_sharding`, and its bytes in all."""
+    out = op10_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.sum("size").alias("size"))
+    return out.select("shard", "n", "slots", "last", F.sum("size").over(Window.partitionBy()).cast("long").alias("total_size"))
+
+
 QUERIES = {
     f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op4_embedding_near_dedup, op5_lm_scoring, op6_substring_dedup, op7_quality_rules, op8_ngram_jaccard_join, op9_byte_bpe, op10_sharding)
-}
+} | {f.__name__: f for f in (base_secrets, base_quality, base_lm, base_shards)}
 _COMPONENTS = """reach AS (SELECT id, id AS r FROM ids UNION SELECT reach.id, l.b FROM reach JOIN links l ON l.a = reach.r),
 component AS (SELECT id, MIN(r) AS component_id FROM reach GROUP BY 1)"""
 
@@ -111,4 +132,32 @@ links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id
 ids AS (SELECT doc_id AS id FROM documents),
 {_COMPONENTS}
 SELECT w.doc_id, COALESCE(n.n, 0) AS n_shingles, component_id FROM w JOIN component c ON c.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""",
+    "base_secrets": r"""
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
+FROM (SELECT doc_id, COALESCE(text, '') AS t FROM documents)""",
+    "base_quality": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) AS gram FROM t WHERE len(ws) >= 5),
+twice AS (SELECT r, i FROM g QUALIFY COUNT(*) OVER (PARTITION BY r, gram) > 1),
+covered AS (SELECT r, COUNT(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
+l AS (SELECT r, COUNT(*) - COUNT(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  COALESCE(l.n, 0)::BIGINT AS n_dup_lines, COALESCE(covered.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN l USING (r) LEFT JOIN covered USING (r))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, FALSE AS wrongly_kept FROM c""",
+    "base_shards": """
+WITH t AS (SELECT COUNT(*) AS n, SUM(octet_length(encode(COALESCE(text, ''))) + 1)::BIGINT AS size FROM documents),
+s AS (SELECT shard::INTEGER AS shard, n // 16 + CASE WHEN shard < n % 16 THEN 1 ELSE 0 END AS n, size FROM t, unnest(range(16)) AS u(shard))
+SELECT shard, n, n AS slots, n - 1 AS last, size AS total_size FROM s WHERE n > 0""",
+    "base_lm": r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, doc_id, unnest(list_append(ws, ' ')) AS token FROM t),
+bits AS (SELECT k, list_reduce(list_concat([k], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) AS u(k)),
+crcs AS (SELECT list(v ORDER BY k) AS crc FROM bits),
+own AS (SELECT r, COALESCE(xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, x: xor(c // 256, crc[(xor(c, x) & 255) + 1])), 4294967295) % 7 = 2, FALSE) AS held_out FROM t, crcs),
+learnt AS (SELECT token, COUNT(*) AS c FROM w JOIN own USING (r) WHERE NOT held_out GROUP BY 1),
+n AS (SELECT COALESCE(SUM(c), 0)::BIGINT AS n, COUNT(*) AS v FROM learnt)
+SELECT doc_id, COUNT(*) AS n_tokens, COUNT(c) AS n_known, any_value(n) AS train_tokens, round(SUM(log10((COALESCE(c, 0) + 1) / (n + 1.0 * (v + 1)))), 4) AS base_score
+FROM w LEFT JOIN learnt USING (token), n GROUP BY r, doc_id""",
 }

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 from conftest_llm import given
+from pyspark.sql import functions as F
 
 from memlake.llm import quality, queries, secrets, sharding
 
@@ -165,3 +166,31 @@ def test_sharding(spark, docs, empty):
     for seed in range(12):
         at.update((r["id"], r["shard"]) for r in sharding.shard_uniform(few, ["id"], 2, seed).collect())
     assert len(at) == 14
+
+
+def test_sharding_is_uniform(spark):
+    """One shuffle of many rows: shards and slots know nothing of the order before, nor of neighbours and copies."""
+    n, shards = 48_000, 16
+    df = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("size"))
+    rows = sharding.shard_uniform(df, ["doc_id", "size"], shards).orderBy("doc_id").toPandas()
+    shard, slot = rows["shard"].to_numpy(), rows["slot"].to_numpy()
+    per = n // shards
+    assert np.bincount(shard, minlength=shards).tolist() == [per] * shards
+    place = shard.astype(np.int64) * per + slot
+    assert sorted(place.tolist()) == list(range(n))
+
+    def far(table):
+        """Standard deviations that a table's chi-square lies above its mean, given equal margins."""
+        expected = table.sum() / table.size
+        df = (table.shape[0] - 1) * (table.shape[1] - 1)
+        return (((table - expected) ** 2 / expected).sum() - df) / (2 * df) ** 0.5
+
+    blocks = np.arange(n) // per
+    assert abs(far(np.histogram2d(blocks, place // per, bins=shards)[0])) < 5  # where from, where to
+    assert abs(far(np.histogram2d(np.arange(n) % shards, place % shards, bins=shards)[0])) < 5
+    assert abs(np.corrcoef(np.arange(n), place)[0, 1]) < 5 / n**0.5
+    assert abs((shard[1:] == shard[:-1]).mean() - 1 / shards) < 5 * (1 / shards / n) ** 0.5  # neighbours meet as often as any two
+    steps = np.diff(place) % n
+    assert abs(far(np.vstack([np.bincount(steps * 32 // n, minlength=32), np.full(32, (n - 1) / 32)]))) < 5
+    other = sharding.shard_uniform(df, ["doc_id", "size"], shards, seed=1).orderBy("doc_id").toPandas()
+    assert abs(np.corrcoef(place, other["shard"].to_numpy() * per + other["slot"].to_numpy())[0, 1]) < 5 / n**0.5

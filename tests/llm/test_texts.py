@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -143,6 +144,57 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def brute_profiles(rows, size):
+    """lang: its most frequent n-grams in order, from texts word by word."""
+    counts = {}
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(brute_grams(text))
+    return {lang: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:size]] for lang, c in counts.items()}
+
+
+def brute_grams(text):
+    """n-grams as their characters' numbers before and after a word's edges; fewer characters have smaller numbers."""
+    for word in re.findall(r"[^\W\d_]+", text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
+        yield from ((0, 0, ord(c)) for c in low)
+        edged = [ord(c) for c in f"_{low}_"]
+        yield from ((0, a, b) for a, b in zip(edged, edged[1:]))
+        yield from (tuple(edged[k : k + 3]) for k in range(len(edged) - 2))
+
+
+def test_language_by_brute_force(spark):
+    """Profiles, distances, predictions and scores, learnt again by plain counting."""
+    rng = random.Random(3)
+    letters = {"en": "etaoinshrdlu", "de": "enisratdhulö", "fr": "esaitnruléàç"}
+    rows = []
+    for k in range(60):
+        lang = rng.choice(list(letters))
+        mixed = letters[lang] if k % 3 else "".join(letters.values())
+        words = ["".join(rng.choice(mixed[: rng.randint(3, 12)]) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 60))]
+        rows.append((k, " ".join(w.title() if k % 2 else w for w in words), lang if k % 5 else None))
+    rows += [(60, None, "en"), (61, "", "de"), (62, "12 34!", "fr"), (63, "ab " * 2000, "en"), (None, rows[1][1], "en"), rows[7]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    size = 40
+    profiles = langid.learn_profiles(df, size)
+    want = brute_profiles([(t, lang) for _, t, lang in rows], size)
+    got = {}
+    for r in profiles.orderBy("lang", "rank").collect():
+        got.setdefault(r["lang"], []).append(tuple(r["gram"] >> s & (1 << 21) - 1 for s in (42, 21, 0)))
+    assert got == want
+
+    def predicted(text):
+        top = [g for g, _ in sorted(Counter(brute_grams(text or "")).items(), key=lambda x: (-x[1], x[0]))[:size]]
+        if not top:
+            return "und", 0.0
+        sums = {lang: sum(min(abs(own.index(g) - k), size) if g in own else size for k, g in enumerate(top)) for lang, own in want.items()}
+        best = min(sums, key=lambda lang: (sums[lang], lang))
+        return best, round(1 - sums[best] / (size * len(top)), 12)
+
+    made = sorted((repr(r["doc_id"]), r["lang_pred"], round(r["score"], 12)) for r in langid.predict(df, profiles, size).collect())
+    assert made == sorted((repr(k), *predicted(t)) for k, t, _ in rows)
+
+
 def test_grams():
     assert sorted(map(langid.shown, langid.grams("Ab, c"))) == sorted(["a", "b", "_a", "ab", "b_", "_ab", "ab_", "c", "_c", "c_", "_c_"])
     assert not len(langid.grams("1 2 %")) and langid.shown(int(langid.grams("𝐀")[0])) == "𝐀"
