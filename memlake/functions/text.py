@@ -10,28 +10,39 @@ from pyspark.sql import functions as F
 #: Words that do not tell texts apart.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 
-#: Signs of feelings in English texts with their weights.
+#: Signs of feelings in English and Hebrew texts with their weights. Hebrew words stand whole.
 FEELINGS = {
     "frustration": (
         (r"\bwhat the (?:fuck|hell|heck)\b", 1.0), (r"\bfuck(?:ing|ed|s)?\b", 0.9), (r"\bshit(?:ty)?\b", 0.8), (r"\bdamn(?:it|ed)?\b", 0.7), (r"\bcrap\b", 0.5), (r"\bwtf\b", 0.9),
-        (r"\bfrustrat(?:ing|ed|ion)\b", 0.8), (r"\bannoying\b", 0.6), (r"\bterrible\b", 0.6), (r"\bhate this\b", 0.7), (r"\bugh+\b", 0.5),
-        (r"\b(?:is |still |keeps? )?broken\b", 0.6), (r"\bnothing works\b", 0.7), (r"\bdoesn'?t work\b", 0.4), (r"\bagain[!?]+\b", 0.4),
+        (r"\bfrustrat(?:ing|ed|ion)\b", 0.8), (r"\bannoying\b", 0.6), (r"\brigid(?:iculous)?\b", 0.5), (r"\bterrible\b", 0.6), (r"\bhate this\b", 0.7), (r"\bugh+\b", 0.5), (r"\bfml\b", 0.8),
+        (r"\b(?:is |still |keeps? )?broken\b", 0.6), (r"\bnothing works\b", 0.7), (r"\bdoesn'?t work\b", 0.4),
+        (r"\bwhy (?:the hell |the fuck |on earth )?(?:is|does|won'?t|can'?t|isn'?t)\b", 0.5), (r"\bagain[!?]+\b", 0.4),
+        ("לעזאזל", 0.9), ("חרא", 0.8), ("זה לא עובד", 0.6), ("מעצבן", 0.7), ("נמאס", 0.7), ("בלאגן", 0.5), ("שבור", 0.5),
     ),
     "confusion": (
         (r"\bi don'?t understand\b", 0.8), (r"\bwait,? what\??\b", 0.7), (r"\bconfus(?:ed|ing)\b", 0.7), (r"\bwhat do you mean\b", 0.6), (r"\bhow does this work\b", 0.5),
         (r"\bmakes? no sense\b", 0.7), (r"\blost\b", 0.4), (r"\bhuh\?+\b", 0.5), (r"\?\?+", 0.4),
+        ("לא מבין", 0.8), ("מבלבל", 0.7), ("מה זה", 0.4), ("רגע מה", 0.6),
     ),
     "positive": (
         (r"\bamazing\b", 0.8), (r"\bincredible\b", 0.8), (r"\bawesome\b", 0.7), (r"\bperfect(?:ly)?\b", 0.8), (r"\bbrilliant\b", 0.7), (r"\bexcellent\b", 0.7),
         (r"\bfantastic\b", 0.7), (r"\bbeautiful\b", 0.6), (r"\bgreat\b", 0.5), (r"\bnice\b", 0.4), (r"\blove (?:it|this)\b", 0.7), (r"\bwow\b", 0.6),
+        (r"\bworks? (?:perfectly|great|well|beautifully)\b", 0.7),
+        ("מדהים", 0.8), ("מעולה", 0.7), ("נהדר", 0.6), ("מושלם", 0.8), ("יופי", 0.5), ("סבבה", 0.4), ("אחלה", 0.5),
     ),
     "satisfaction": (
-        (r"\bthanks?(?:!| a lot| so much)?\b", 0.5), (r"\bthank you\b", 0.5), (r"\bthat'?s? (?:it|right|correct)\b", 0.4), (r"\bwell done\b", 0.6), (r"\bgood job\b", 0.5),
-        (r"\bnailed it\b", 0.7), (r"\bship it\b", 0.6), (r"\blgtm\b", 0.5),
+        (r"\bthanks?(?:!| a lot| so much)?\b", 0.5), (r"\bthank you\b", 0.5), (r"\bexactly what i (?:needed|wanted)\b", 0.8), (r"\bthat'?s? (?:it|right|correct)\b", 0.4), (r"\bwell done\b", 0.6),
+        (r"\bgood job\b", 0.5), (r"\bnailed it\b", 0.7), (r"\bship it\b", 0.6), (r"\blgtm\b", 0.5),
+        ("תודה", 0.5), ("בדיוק מה שרציתי", 0.8), ("מצוין", 0.6),
     ),
 }
 
 
+def sign(pattern: str) -> str:
+    """The regular expression of a sign; words in other letters than Latin must not go on on either side."""
+    return pattern if pattern.isascii() else rf"(?:^|[^\p{{L}}\p{{N}}_]){pattern}(?:$|[^\p{{L}}\p{{N}}_])"
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -61,7 +72,7 @@ def feeling(text: Column) -> Column:
     Frustration wins over thanks; thanks alone are neutral, with half the score.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    weight = {k: reduce(lambda a, b: a + b, (F.when(low.rlike(p), w).otherwise(0.0) for p, w in signs)) for k, signs in FEELINGS.items()}
+    weight = {k: reduce(lambda a, b: a + b, (F.when(low.rlike(sign(p)), w).otherwise(0.0) for p, w in signs)) for k, signs in FEELINGS.items()}
     return F.transform(F.array(F.struct(*(w.alias(k) for k, w in weight.items()))), _judged)[0]
 
 
@@ -78,15 +89,132 @@ def _judged(s: Column) -> Column:
     return F.struct(label.alias("label"), F.round(F.when(top == 0, 0.0).when(alone, score * 0.5).otherwise(score), 3).alias("score"))
 
 
-#: Words of decisions, status chatter and tests.
-DECISION = r"\b(decision|decided|decide|chose|choose|chosen|because|why|rule|always|never|prefer|preference|outcome|learning|learned|lesson)\b"
-OPERATIONAL = r"(\bheartbeat\b|\bbare status\b|\bstatus only\b|\bmilestone\b|\bretraction\b|\bworker done\b)"
-TEST = r"(\btest query\b|\bbenchmark query\b|\bsmoke test\b)"
+#: Words of decisions, signs and whole lines of status chatter, tests, benchmarks, and of what always stays visible.
+DECISION = r"\b(?:decision|decided|decide|chose|choose|chosen|because|why|rule|always|never|prefer|preference|trade[- ]?off|outcome|learning|learned|lesson)\b"
+OPERATIONAL = r"<task-notification\b|^\s*\[?claude_counter\b|\borc\b.*\btick\b|^\s*loop tick\b|\bheartbeat\b|\bbare status\b|\bstatus only\b|\bsurface:\d+\b|\btask[_ -]?notification\b|\bmilestone\b|\bretraction\b|\bdone_fixes\b|\bworker done\b|\bagent coordination\b|\[bl-[^\]]*(?:tick|status|heartbeat|claude_counter|working|poll|surface|monitor|done)"
+OPERATIONAL_BLOCK = r"(?s)<task-notification\b[^>]*>.*?</task-notification>"
+OPERATIONAL_LINE = r"(?m)^[^\S\n]*(?:\[?[^\S\n]*claude_counter\b(?:[^\S\n]*:?[^\S\n]*\d+)?[^\S\n]*\]?|\[bl-[^\]\n]*(?:tick|status|heartbeat|claude_counter|working|poll|surface|monitor|done)[^\]\n]*\].*|(?:orc[^\S\n]+)?tick\b.*|loop tick\b.*|(?:watcher[^\S\n]+)?heartbeat\b.*|surface:\d+\b.*|bare status\b.*|status only\b.*|task[_ -]?notification\b.*|milestone\b.*|retraction\b.*|done_fixes\b.*|worker done\b.*|agent coordination\b.*)[^\S\n]*$"
+TEST = r"\bad[- ]?hoc\b.*\b(?:test|eval|query)\b|\beval test query\b|\btest query\b|\bbenchmark query\b|\bsmoke test\b"
+PERSONAL = r"\b(?:journal|personal|my life|family|relationship|dating|partner|friend|health|doctor|medical|therapy|therapist|sleep|weight|habit|finance|financial|bank|tax|salary|income|invoice|recruiting)\b"
+HEBREW = "[\u0590-\u05ff]"
+#: Characters of what is left of a status note that is still nothing.
+TRIVIAL = 20
 
 
-def content_class(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(low.rlike(TEST), "test").when(low.rlike(OPERATIONAL), "operational").when(low.rlike(DECISION), "decision").otherwise("knowledge")
+def content_class(text: Column, kind: Column | None = None, persons: str | None = None, benchmark: str | None = None) -> Column:
+    """benchmark, decision, test, operational or knowledge.
+
+    kind: a type given with the text (decision and learning count). A status
+    note is one of which little is left without its marked lines. What is
+    personal, in Hebrew, tells a decision or names one of `persons` (a regular
+    expression in lower case, none by default) is never hidden. benchmark: a
+    regular expression in lower case of the starts of benchmark prompts.
+    """
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    given = F.lower(F.trim(F.coalesce(kind, F.lit("")))) if kind is not None else F.lit("")
+    decides = (given == "decision") | low.rlike(DECISION)
+    left = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, OPERATIONAL_BLOCK, "\n"), OPERATIONAL_LINE, ""), r"\s+", " "))
+    chatter = low.rlike(OPERATIONAL) & ((F.length(left) <= TRIVIAL) | ~left.rlike(r"[\p{L}\p{N}]"))
+    shown = low.rlike(PERSONAL) | low.rlike(HEBREW)
+    if persons:
+        shown = shown | low.rlike(persons)
+    probe = F.substring(low, 1, 1200).rlike(rf"^\W*(?:{benchmark})") if benchmark else F.lit(False)
+    return (
+        F.when(probe, F.when(shown, "knowledge").otherwise("benchmark")).when((given == "decision") | ((given != "learning") & decides), "decision")
+        .when(low.rlike(TEST), F.when(shown | decides, "knowledge").otherwise("test")).when(chatter, F.when(shown | decides, "knowledge").otherwise("operational")).otherwise("knowledge")
+    )
+
+
+#: Signs of a quotation, words of mere assent, words of correction, longest assent.
+QUOTES = ('"', "you said", "> ", "quote", "storing that")
+ASSENT = ("yeah", "yep", "yes", "okay", "sure", "exactly", "that", "this", "right", "true", "agree", "agreed", "correct", "good", "great", "nice", "perfect", "love", "like", "fine", "cool", "totally", "absolutely", "indeed", "yup")
+CORRECTION, LONGEST_ASSENT = r"\b(?:no|nope|nah|wrong|actually|correction|instead|not)\b", 80
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
+def provenance(kind: Column, sender: Column, text: Column, before: Column) -> Column:
+    """direct, endorsement, paraphrase or inference: how much a turn is its speaker's own word.
+
+    before: the assistant's turn before, null if there is none. A short turn of
+    a user that repeats it, or assents alone, endorses it unless it corrects.
+    """
+    k, who, said = F.lower(F.trim(F.coalesce(kind, F.lit("")))), F.lower(F.trim(F.coalesce(sender, F.lit("")))), F.coalesce(text, F.lit(""))
+    own = (k == "user_message") | ((who == "user") & ~k.isin("assistant_text", "file_read", "tool_result"))
+    every = _words(said)
+    telling = F.filter(every, lambda w: ~w.isin(*ASSENT))
+    shared = F.size(F.array_intersect(telling, _words(F.coalesce(before, F.lit("")))))
+    echo = ((F.size(every) > 0) & (F.size(telling) == 0)) | ((F.size(telling) > 0) & (shared >= F.greatest(F.lit(1), F.floor(F.size(telling) / 2))))
+    agrees = (F.coalesce(before, F.lit("")) != "") & (F.length(F.trim(said)) <= LONGEST_ASSENT) & ~F.lower(said).rlike(CORRECTION) & echo
+    quoted = reduce(lambda a, b: a | b, (F.lower(said).contains(q) for q in QUOTES))
+    speaks = (k == "assistant_text") | (who == "assistant")
+    return F.when(own, F.when(agrees, "endorsement").otherwise("direct")).when(speaks & quoted, "paraphrase").otherwise("inference")
+
+
+#: Other spellings of tags, and tags that say nothing.
+TAG_ALIASES = {"reactjs": "react", "react-js": "react", "react.js": "react", "nodejs": "node", "node-js": "node", "node.js": "node", "next-js": "nextjs", "next.js": "nextjs", "typescriptlang": "typescript", "ts": "typescript", "js": "javascript", "py": "python", "gh-actions": "github-actions", "code-rabbit": "coderabbit"}
+EMPTY_TAGS = ("misc", "other", "general", "update", "status")
+
+
+def tag(raw: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A tag in its one form: lower case, hyphens, no signs at its ends, other spellings replaced; null if it says nothing or is longer than 64."""
+    names = TAG_ALIASES if aliases is None else aliases
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(F.lower(F.trim(raw)), F.lit("_"), F.lit("-")), r"\s+", "-"), "-{2,}", "-"), "/{2,}", "/")
+    bare = F.regexp_replace(flat, r"^[ \-./]+|[ \-./]+$", "")
+    known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    out = F.coalesce(F.element_at(known, bare), F.element_at(known, F.regexp_replace(bare, "[^a-z0-9]+", "")), bare)
+    short_leaf = out.contains("/") & ((F.size(F.split(out, "/")) < 2) | F.exists(F.split(out, "/"), lambda p: F.length(p) < 2))
+    return F.when((F.length(bare) <= 64) & ~short_leaf & ~out.isin(*EMPTY_TAGS) & (F.length(out) >= 2) & out.rlike("[a-z]"), out)
+
+
+def tag_list(raw: Column, most: int = 10, aliases: dict[str, str] | None = None) -> Column:
+    """The first `most` tags of an array in their one form, without those that are nearly one before (letters and digits alike, or few of them apart)."""
+    bare = lambda t: F.regexp_replace(t, "[^a-z0-9]+", "")
+
+    def near(a: Column, b: Column) -> Column:
+        apart = F.levenshtein(bare(a), bare(b)) / F.greatest(F.length(bare(a)), F.length(bare(b)), F.lit(1))
+        return (a == b) | (bare(a) == bare(b)) | ((F.least(F.length(a), F.length(b)) >= 5) & (apart <= 0.16))
+
+    made = F.filter(F.transform(raw, lambda t: tag(t, aliases)), lambda t: t.isNotNull())
+    start = F.array().cast("array<string>")
+    return F.slice(F.aggregate(made, start, lambda out, t: F.when(F.exists(out, lambda o: near(t, o)), out).otherwise(F.array_append(out, t))), 1, most)
+
+
+def entity_key(name: Column) -> Column:
+    """Letters and digits of any script alone, in lower case, so that nanoClaw, Nano Claw and nano-claw are one."""
+    return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}]", "")
+
+
+RECENCY = r"\b(?:current|latest|recent|today)\b|\bthis\s+week\b"
+
+
+def asks_for_recent(text: Column) -> Column:
+    """Whether a query's words ask for what is new."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(RECENCY)
+
+
+#: Marks of snapshots of a session and of quarantine among tags, keys and values; phrases of snapshots.
+SNAPSHOT_MARKS, QUARANTINE_MARKS, TRUE_WORDS = ("precompact", "precompactcheckpoint"), ("quarantine", "quarantined"), ("true", "1", "yes", "quarantine", "quarantined")
+SNAPSHOT_PHRASES = ("[precompact checkpoint]", "# precompact checkpoint", "session-restore", "# session-restore")
+QUARANTINE_KEYS = ("quarantine", "quarantined", "is_quarantine", "is_quarantined")
+
+
+def noise(tags: Column, meta: Column, content: Column, snapshots: bool = False) -> Column:
+    """Whether a chunk is out of sight: under quarantine, or a snapshot of a session unless these are asked for.
+
+    tags: array of strings; meta: map of strings; nulls count as empty.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    none = F.array().cast("array<string>")
+    fields = F.coalesce(meta, F.create_map().cast("map<string,string>"))
+    marks = F.transform(F.concat(F.coalesce(tags, none), F.map_keys(fields), F.map_values(fields)), plain)
+    low = F.lower(F.coalesce(content, F.lit("")))
+    flagged = reduce(lambda a, b: a | b, (F.coalesce(F.lower(F.element_at(fields, k)).isin(*TRUE_WORDS), F.lit(False)) for k in QUARANTINE_KEYS))
+    held = F.arrays_overlap(F.filter(marks, lambda m: m.isNotNull()), F.array(*map(F.lit, QUARANTINE_MARKS))) | flagged
+    snapshot = F.arrays_overlap(F.filter(marks, lambda m: m.isNotNull()), F.array(*map(F.lit, SNAPSHOT_MARKS))) | reduce(lambda a, b: a | b, (low.contains(p) for p in SNAPSHOT_PHRASES))
+    return held if snapshots else held | snapshot
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

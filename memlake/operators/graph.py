@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.scores import FADING, faded_fact
+from memlake.functions.text import STOP_WORDS
 from memlake.operators.joins import normal_key, pairs_within
+from memlake.storage import materialize
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:
@@ -18,19 +22,20 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
 def traverse(edges: DataFrame, start: DataFrame, depth: int, types: list[str] | None = None) -> DataFrame:
     """start, id, depth: what outgoing edges reach in 1 to `depth` steps on a path that meets no node twice; one row for each depth.
 
-    start: id. Each step joins the rows reached last with the edges.
+    start: id. The edges and what each step reaches are written once, so no
+    step is computed again for the next.
     """
     own = edges.where(F.col("relation_type").isin(*types)) if types else edges
-    own = own.select("source_id", "target_id")
+    own = materialize(own.select("source_id", "target_id").distinct(), "edges")
     reached = start.select(F.col("id").alias("start"), "id", F.array("id").alias("path"))
-    out = None
+    found = []
     for n in range(1, depth + 1):
         reached = reached.join(own, reached.id == own.source_id).where(~F.array_contains("path", F.col("target_id"))).select(
             "start", F.col("target_id").alias("id"), F.array_append("path", F.col("target_id")).alias("path")
-        ).distinct()
-        found = reached.select("start", "id", F.lit(n).cast("long").alias("depth")).distinct()
-        out = found if out is None else out.union(found)
-    return out
+        )
+        reached = materialize(reached, f"step-{n}")
+        found.append(reached.select("start", "id", F.lit(n).cast("long").alias("depth")))
+    return reduce(lambda a, b: a.union(b), found).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -58,9 +63,9 @@ def resolve(names: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFr
     return exact.union(alias).union(key).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def co_mentions(mentions: DataFrame) -> DataFrame:
-    """a, b, n: entities that chunks mention together."""
-    return pairs_within(mentions, "chunk_id", "entity_id")
+def co_mentions(mentions: DataFrame, kind: Column | None = None) -> DataFrame:
+    """a, b, n: entities that chunks mention together; with `kind`, a column made of entity_id, those of two kinds."""
+    return pairs_within(mentions, "chunk_id", "entity_id", kind=kind)
 
 
 def health(required: Column, expected: Column, relations: Column, chunks: Column, days: Column) -> Column:
@@ -79,3 +84,79 @@ def merged_edges(edges: DataFrame, order: str) -> DataFrame:
     """The latest state of each (source, target, type): confidence is replaced, the rest keeps its last known value."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
     return edges.groupBy("source_id", "target_id", "relation_type").agg(F.max_by("confidence", order).alias("confidence"), last("importance"), last("valid_from"))
+
+
+def support(entities: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame:
+    """id, relations, chunks: edges at either end and mentions of each entity; 0 where there are none."""
+    ends = edges.select(F.col("source_id").alias("id")).union(edges.where("source_id <> target_id").select("target_id")).groupBy("id").agg(F.count("*").alias("relations"))
+    seen = mentions.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("chunks"))
+    return entities.select("id").join(ends, "id", "left").join(seen, "id", "left").fillna(0, ["relations", "chunks"])
+
+
+def sounding_like(names: DataFrame, aliases: DataFrame, key: str = "key") -> DataFrame:
+    """asked, id, score: for each name the entity whose alias shares most of its sounds; ties to the smaller id.
+
+    names: asked and `key`, its distinct sounds as an array; aliases: id and
+    `key`. The score is shared by all sounds, 1 for the same. Names meet aliases
+    by a sound in common; what they share is counted, no pair is made twice.
+    """
+    n = names.select("asked", F.size(key).alias("_x"), F.explode(key).alias("_s"))
+    a = aliases.withColumn("_alias", F.monotonically_increasing_id()) if "alias" not in aliases.columns else aliases.withColumn("_alias", F.col("alias"))
+    a = a.select("id", "_alias", F.size(key).alias("_y"), F.explode(key).alias("_s"))
+    shared = n.join(a, "_s").groupBy("asked", "id", "_alias", "_x", "_y").agg(F.count("*").alias("_n"))
+    scored = shared.groupBy("asked", "id").agg(F.max(F.col("_n") / (F.col("_x") + F.col("_y") - F.col("_n"))).alias("score"))
+    best = scored.groupBy("asked").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
+    return best.select("asked", "b.id", (-F.col("b.s")).alias("score"))
+
+
+def merge_mentions(mentions: DataFrame, merges: DataFrame, context: str) -> DataFrame:
+    """entity_id, chunk_id, relevance, `context` after entities were merged; merges: merge_id, keep_id (one hop).
+
+    Links that come together keep the largest relevance and the context of the
+    most relevant link that has one (ties: the kept entity's own does not win).
+    """
+    moved = mentions.join(merges, mentions.entity_id == merges.merge_id, "left").select(F.coalesce("keep_id", "entity_id").alias("entity_id"), "chunk_id", "relevance", context, F.col("keep_id").isNotNull().alias("_moved"))
+    order = F.when(F.col(context).isNotNull(), F.struct(F.coalesce("relevance", F.lit(0.0)), "_moved", context))
+    return moved.groupBy("entity_id", "chunk_id").agg(F.max("relevance").alias("relevance"), F.max_by(context, order).alias(context))
+
+
+def merge_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
+    """source_id, target_id, relation_type, confidence, importance after entities were merged: the strongest of edges that come together; edges of a node to itself go."""
+    to = lambda c: merges.select(F.col("merge_id").alias(c), F.col("keep_id").alias(f"_{c}"))
+    moved = edges.join(to("source_id"), "source_id", "left").join(to("target_id"), "target_id", "left")
+    moved = moved.select(F.coalesce("_source_id", "source_id").alias("source_id"), F.coalesce("_target_id", "target_id").alias("target_id"), "relation_type", "confidence", "importance")
+    return moved.where("source_id <> target_id").groupBy("source_id", "target_id", "relation_type").agg(F.max("confidence").alias("confidence"), F.max("importance").alias("importance"))
+
+
+def promoted_tags(tags: DataFrame, session: str, least: int, sessions: int) -> DataFrame:
+    """tag, n, sessions, entity_id of tags in use often enough, in enough sessions, to be entities; tags: chunk_id, tag, the session."""
+    often = tags.where("tag is not null").groupBy("tag").agg(F.countDistinct("chunk_id").alias("n"), F.countDistinct(session).alias("sessions"))
+    slug = F.regexp_replace(F.regexp_replace(F.lower("tag"), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return often.where((F.col("n") >= least) & (F.col("sessions") >= sessions)).withColumn("entity_id", F.concat(F.lit("auto-tag-"), slug))
+
+
+def superseded_only(facts: DataFrame) -> DataFrame:
+    """entity_id, chunk_id: chunks that stand for superseded facts of an entity and for none that is active.
+
+    facts: entity_id, status, superseded_by, chunk_ids. A superseded fact without a successor just vanished and does not count.
+    """
+    each = facts.where("status = 'active' or (status = 'superseded' and superseded_by is not null)").select("entity_id", "status", F.explode("chunk_ids").alias("chunk_id"))
+    return each.groupBy("entity_id", "chunk_id").agg(F.bool_or(F.col("status") == "active").alias("on")).where("not on").select("entity_id", "chunk_id")
+
+
+def refreshed_facts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """entity_id, fact, change, against: what a fresh list of facts makes of the active ones.
+
+    old: entity_id, fact (active); new: entity_id, fact. change: kept, vanished,
+    new, or conflict, where a new fact shares two or more telling words with
+    active ones (against: the smallest of these with most words shared).
+    """
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("fact"), F.lit("[a-z0-9]+"), F.lit(0))), lambda t: ~t.isin(*STOP_WORDS))
+    o, n = old.select("entity_id", "fact").distinct(), new.select("entity_id", "fact").distinct()
+    both = o.withColumn("o", F.lit(True)).join(n.withColumn("n", F.lit(True)), ["entity_id", "fact"], "full")
+    fresh = both.where("o is null").select("entity_id", "fact", F.explode(words).alias("w"))
+    held = o.select("entity_id", F.col("fact").alias("against"), F.explode(words).alias("w"))
+    shared = fresh.join(held, ["entity_id", "w"]).groupBy("entity_id", "fact", "against").agg(F.count("*").alias("c")).where("c >= 2")
+    clash = shared.groupBy("entity_id", "fact").agg(F.min(F.struct((-F.col("c")).alias("c"), "against"))["against"].alias("against"))
+    change = F.when(F.col("o") & F.col("n"), "kept").when(F.col("o"), "vanished").when(F.col("against").isNotNull(), "conflict").otherwise("new")
+    return both.join(clash, ["entity_id", "fact"], "left").select("entity_id", "fact", change.alias("change"), "against")

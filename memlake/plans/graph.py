@@ -88,8 +88,7 @@ def kg_comention_pairs(spark, d):
 @q("kg_cooccurrence_cross_type", """, u AS (SELECT DISTINCT chunk_id, entity_id, split_part(entity_id, ':', 1) AS kind FROM mentions)
 SELECT x.entity_id AS a, y.entity_id AS b, COUNT(*) AS n FROM u x JOIN u y ON x.chunk_id = y.chunk_id AND x.entity_id < y.entity_id AND x.kind <> y.kind GROUP BY 1, 2 HAVING COUNT(*) >= 3""")
 def kg_cooccurrence_cross_type(spark, d):
-    pairs = g.co_mentions(mentions(spark, d)).where("n >= 3")
-    return pairs.where(F.split_part("a", F.lit(":"), F.lit(1)) != F.split_part("b", F.lit(":"), F.lit(1)))
+    return g.co_mentions(mentions(spark, d), F.split_part("entity_id", F.lit(":"), F.lit(1))).where("n >= 3")
 
 
 @q("kg_resolution_cascade", """, names AS (SELECT upper(n_name) AS asked FROM nation UNION SELECT r_name || '!' FROM region UNION SELECT 'N' || n_nationkey FROM nation), al AS (SELECT 'n' || n_nationkey AS alias, 'nation:' || n_nationkey AS id FROM nation),

@@ -8,7 +8,7 @@ from memlake.functions import text as x
 from memlake.registry import query
 from memlake.sources.tables import table
 
-FEEL = {k: " + ".join(f"CASE WHEN regexp_matches(low, '{p.replace(chr(39), chr(39) * 2)}') THEN {w} ELSE 0 END" for p, w in signs) for k, signs in x.FEELINGS.items()}
+FEEL = {k: " + ".join(f"CASE WHEN regexp_matches(low, '{x.sign(p).replace(chr(39), chr(39) * 2)}') THEN {w} ELSE 0 END" for p, w in signs) for k, signs in x.FEELINGS.items()}
 
 
 @query("sentiment_label", f"""WITH l AS (SELECT conv_id, turn, lower(text) AS low FROM conversations),
@@ -22,10 +22,18 @@ def sentiment_label(spark, d):
     return c.select("conv_id", "turn", "s.label", "s.score")
 
 
-@query("content_class", f"""SELECT class, COUNT(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(text), '{x.TEST}') THEN 'test' WHEN regexp_matches(lower(text), '{x.OPERATIONAL}') THEN 'operational'
-WHEN regexp_matches(lower(text), '{x.DECISION}') THEN 'decision' ELSE 'knowledge' END AS class FROM conversations) GROUP BY 1""")
+@query("content_class", rf"""WITH l AS (SELECT lower(trim(text || CASE turn % 5 WHEN 1 THEN ' smoke test' WHEN 2 THEN chr(10) || 'heartbeat ok' ELSE '' END)) AS low FROM conversations
+  UNION ALL SELECT 'heartbeat ' || conv_id || chr(10) || 'worker done' || CASE conv_id % 3 WHEN 0 THEN chr(10) || 'doctor' ELSE '' END FROM conversations WHERE turn = 0),
+s AS (SELECT low, trim(regexp_replace(regexp_replace(low, '{x.OPERATIONAL_LINE}', '', 'g'), '\s+', ' ', 'g')) AS rest, regexp_matches(low, '{x.DECISION}') AS decides, regexp_matches(low, '{x.PERSONAL}') AS own FROM l)
+SELECT class, COUNT(*) AS n FROM (SELECT CASE WHEN decides THEN 'decision' WHEN contains(low, 'smoke test') THEN CASE WHEN own THEN 'knowledge' ELSE 'test' END
+  WHEN regexp_matches(low, '{x.OPERATIONAL}') AND (length(rest) <= 20 OR NOT regexp_matches(rest, '[\pL\pN]')) THEN CASE WHEN own THEN 'knowledge' ELSE 'operational' END ELSE 'knowledge' END AS class FROM s) GROUP BY 1""")
 def content_class(spark, d):
-    return table(spark, d, "conversations").groupBy(x.content_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
+    c, nl = table(spark, d, "conversations"), F.lit("\n")
+    n = F.col("turn") % 5
+    said = c.select(F.concat("text", F.when(n == 1, " smoke test").when(n == 2, "\nheartbeat ok").otherwise("")).alias("text"))
+    own = F.when(F.col("conv_id") % 3 == 0, "\ndoctor").otherwise("")
+    notes = c.where("turn = 0").select(F.concat(F.lit("heartbeat "), F.col("conv_id").cast("string"), nl, F.lit("worker done"), own))
+    return said.union(notes).groupBy(x.content_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("pii_email_redact", f"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '{x.EMAIL}', '[EMAIL]', 'g'), '{x.PHONE}', '[PHONE]', 'g')) AS digest FROM documents")
