@@ -44,19 +44,26 @@ def in_interval(points: DataFrame, intervals: DataFrame, key: list[str], at: str
     return points.join(intervals, key).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
 
 
-def pairs_within(df: DataFrame, group: str, member: str, salts: int = 8, kind: Column | None = None) -> DataFrame:
+#: Members from which a group is dealt into parts of about so many.
+LARGE = 1000
+
+
+def pairs_within(df: DataFrame, group: str, member: str, kind: Column | None = None) -> DataFrame:
     """a, b, n: how many groups have both members, a < b. Members of a group are taken once each.
 
     With `kind`, a column made of the member, only pairs of two kinds are made.
-
-    One side of a group is dealt into `salts` parts, each with a copy of the
-    other, so that a large group is spread over as many tasks.
+    One side of a group of more than LARGE members is dealt into parts, each
+    with a copy of the other, so that it is spread over as many tasks; small
+    groups are copied to one.
     """
     own = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct()
+    large = own.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE)
+    own = own.join(large, group, "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_n") / LARGE), F.lit(1)).cast("int"))
     own = own.withColumn("_kind", F.lit(None).cast("string") if kind is None else kind)
-    left = own.select(group, "_kind", F.col(member).alias("a"), F.pmod(F.xxhash64(member), F.lit(salts)).cast("int").alias("_salt"))
-    right = own.select(group, F.col("_kind").alias("_other"), F.col(member).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return left.join(right, [group, "_salt"]).where("a < b" if kind is None else "a < b and _kind <> _other").groupBy("a", "b").agg(F.count("*").alias("n"))
+    left = own.select(group, "_kind", F.col(member).alias("a"), F.pmod(F.xxhash64(member), F.col("_parts")).cast("int").alias("_part"))
+    right = own.select(group, F.col("_kind").alias("_other"), F.col(member).alias("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    pairs = left.join(right, [group, "_part"]).where("a < b" if kind is None else "a < b and _kind <> _other")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def jaccard_within(df: DataFrame, group: str, member: str) -> DataFrame:

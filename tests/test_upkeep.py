@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as x
 from memlake.operators import graph as g
+from memlake.operators import joins
 from memlake.operators import search as s
 from memlake.operators import upkeep as u
 
@@ -115,6 +116,14 @@ def test_pairs_of_two_kinds(spark):
     assert g.co_mentions(m).count() == 3
 
 
+def test_pairs_of_large_groups(spark, monkeypatch):
+    m = spark.createDataFrame([(k, e) for k, size in ((1, 30), (2, 7), (3, 5)) for e in range(size)], "chunk_id long, entity_id long")
+    want = sorted(tuple(r) for r in g.co_mentions(m).collect())
+    assert len(want) == 30 * 29 / 2 and (0, 1, 3) in want and (28, 29, 1) in want
+    monkeypatch.setattr(joins, "LARGE", 5)
+    assert sorted(tuple(r) for r in g.co_mentions(m).collect()) == want
+
+
 def test_texts_merged_in_order(spark):
     df = spark.createDataFrame([("g", 2, "B  b"), ("g", 1, "b B"), ("g", 3, "other"), ("g", 4, None), ("h", 9, "one"), ("g", 5, "OTHER ")] + [("h", 10 + k, "ONE") for k in range(50)], "g string, k long, c string")
     assert {r["g"]: r["content"] for r in u.merged_text(df, "g", "k", "c").collect()} == {"g": "b B\n\n[merged]\n1. other", "h": "one"}
