@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, embeddings, jaccard, kneser_ney, langid, packing, quality, secrets, sharding, substrings
+from memlake.llm import bpe, embeddings, jaccard, kneser_ney, langid, mixing, negatives, packing, phrases, quality, secrets, sharding, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,32 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.when(
+            F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+        ).alias("vec"), (F.col("vec_id") % 100 == 0).alias("anchor"),
+    )
+    return negatives.hard_negatives(rows)
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(_table(spark, sf_dir, "documents")))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def base_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `op12_source_mixing` says of sizes and targets, the words that it takes of each source, and whether it takes too many of a document."""
+    out = op12_source_mixing(spark, sf_dir).join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return out.select(
+        "doc_id", "size", "source_size", F.round("target", 3).alias("target"), F.sum("taken").over(Window.partitionBy("source")).cast("long").alias("source_taken"), (F.col("taken") > 3 * F.col("size")).alias("too_many")
+    )
+
+
 def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many base spans of each kind `op1_secret_scans` finds."""
     return op1_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -100,8 +126,8 @@ def base_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op4_embedding_near_dedup, op5_lm_scoring, op6_substring_dedup, op7_quality_rules, op8_ngram_jaccard_join, op9_byte_bpe, op10_sharding)
-} | {f.__name__: f for f in (base_secrets, base_quality, base_lm, base_shards)}
+    f.__name__: f for f in (op1_secret_scans, op2_best_fit_packing, op3_language_id, op4_embedding_near_dedup, op5_lm_scoring, op6_substring_dedup, op7_quality_rules, op8_ngram_jaccard_join, op9_byte_bpe, op10_sharding, op11_hard_negatives, op12_source_mixing, op13_phrase_mining)
+} | {f.__name__: f for f in (base_secrets, base_quality, base_lm, base_shards, base_mixing)}
 _COMPONENTS = """reach AS (SELECT id, id AS r FROM ids UNION SELECT reach.id, l.b FROM reach JOIN links l ON l.a = reach.r),
 component AS (SELECT id, MIN(r) AS component_id FROM reach GROUP BY 1)"""
 
@@ -132,6 +158,36 @@ links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id
 ids AS (SELECT doc_id AS id FROM documents),
 {_COMPONENTS}
 SELECT w.doc_id, COALESCE(n.n, 0) AS n_shingles, component_id FROM w JOIN component c ON c.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10""",
+    "op13_phrase_mining": rf"""
+WITH t AS (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i : i + m - 1], ' '))) AS phrase FROM w, range(1, 4) AS r(m)),
+f AS (SELECT lang, m, phrase, COUNT(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, SUM(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 10),
+inside AS (SELECT lang, array_to_string(ws[i : i + 1], ' ') AS phrase, MAX(a) AS most FROM c, range(1, 3) AS r(i) WHERE m = 3 GROUP BY ALL),
+ks AS (SELECT lang, phrase, a, ws, unnest(range(1, m)) AS k FROM c),
+parts AS (SELECT lang, phrase, a, k, array_to_string(ws[1 : k], ' ') AS head, array_to_string(ws[k + 1 : len(ws)], ' ') AS rest FROM ks),
+cut AS (SELECT p.lang, p.phrase, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.head JOIN f y ON y.lang = p.lang AND y.phrase = p.rest),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inside USING (lang, phrase) JOIN n USING (lang) WHERE most IS NULL OR 100 * most < 50 * a QUALIFY rank <= 2000""",
+    "base_mixing": r"""
+WITH t AS (SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, SUM(size)::BIGINT AS source_size, ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM t GROUP BY 1),
+r AS (SELECT *, SUM(source_size) OVER () AS total, SUM(w) OVER () AS ws, COALESCE(SUM(3 * source_size) OVER o, 0) AS cut, COALESCE(SUM(w) OVER o, 0) AS gone FROM s
+  WINDOW o AS (ORDER BY 3.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT (total - cut) / (ws - gone) AS level FROM r WHERE (total - cut) / (ws - gone) <= 3.0 * source_size / w ORDER BY 3.0 * source_size / w, source LIMIT 1),
+targets AS (SELECT source, source_size, least(3.0 * source_size, w * level)::DOUBLE AS target FROM r, level)
+SELECT doc_id, size, source_size, round(target, 3) AS target, floor(target + 0.5)::BIGINT AS source_taken, FALSE AS too_many FROM t JOIN targets ON t.source IS NOT DISTINCT FROM targets.source""",
     "base_secrets": r"""
 SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::BIGINT AS n_assign,
   len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex
