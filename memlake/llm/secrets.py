@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 #: Window in characters, and the least entropy in bits of a window of each class: of hexadecimal digits only, of letters only, of others.
 WINDOW, HEX_BITS, LETTER_BITS, MIXED_BITS = 20, 3.0, 4.0, 3.7
+#: Values that are folded at a time.
+FOLDED = 256
 #: Candidates that are known to be harmless: UUIDs, placeholders within a word, words joined by signs, numbers. A placeholder that
 #: is a word by itself, as in dummy/<key>, says nothing about the rest.
 ALLOWED = (
@@ -28,26 +32,44 @@ ALLOWED = (
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of the value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of the longs what `op` makes of those before it, from 0: within blocks of values, then over the blocks.
+
+    A fold that gathers an array copies it with each step; in blocks that stays
+    in proportion to the number of values.
+    """
+
+    def fold(x: Column) -> Column:
+        empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("got"))
+        return F.aggregate(x, empty, lambda s, y: F.struct(op(s["at"], y).alias("at"), F.concat(s["got"], F.array(s["at"])).alias("got")))
+
+    def of(v: Column) -> Column:
+        last = F.floor((F.greatest(F.size(v), F.lit(1)) - 1) / FOLDED).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: fold(F.slice(v, k * FOLDED + 1, FOLDED)))
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, fold(F.transform(b, lambda x: x["at"]))["got"], lambda x, first: F.transform(x["got"], lambda y: op(first, y)))))
+
+    return _let(values, of)
+
+
 def _spans(text: Column, pattern: str, kind: str, rank: int) -> Column:
     """Spans of the matches from left to right with what matched: array<struct<start, rank, kind, end, found>>.
 
     The pieces between the matches give the places: in code points, end exclusive.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.aggregate(
-        F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found")),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,found:string>>").alias("got")),
-        lambda acc, x: F.when(x["found"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + F.length(x["gap"]) + F.length(x["found"])).cast("bigint").alias("at"),
-                F.concat(acc["got"], F.array(F.struct(
-                    (acc["at"] + F.length(x["gap"])).cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-                    (acc["at"] + F.length(x["gap"]) + F.length(x["found"])).cast("bigint").alias("end"), x["found"].alias("found"),
-                ))).alias("got"),
-            )
-        ),
-        lambda acc: acc["got"],
-    )
+    pieces = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found")), lambda x: x["found"].isNotNull())
+    sized = F.transform(
+        pieces, lambda x: F.struct(F.length(x["gap"]).cast("bigint").alias("gap"), F.length(x["found"]).cast("bigint").alias("n"), x["found"].alias("found"))
+    )
+    placed = lambda x, at: F.struct(
+        (at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (at + x["gap"] + x["n"]).alias("end"), x["found"].alias("found")
+    )
+    return _let(sized, lambda s: F.zip_with(s, _before(F.transform(s, lambda x: x["gap"] + x["n"]), lambda a, b: a + b), placed))
 
 
 #: c * log2(c), 0 for 0
@@ -126,11 +148,23 @@ def joined(spans: str) -> Column:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with each run of overlapping spans of text replaced by `mark`; needs the column spans, which goes."""
+    """`docs` with each run of overlapping spans of text replaced by `mark`; needs the columns base and spans, which go."""
+    ends = _before(F.transform("spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    # a run begins where all spans before have ended; `at` is where the one before ended
+    runs = F.filter(F.zip_with("spans", ends, lambda x, at: F.struct(x["start"].alias("start"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+    part = lambda text, a, z: F.substring(text, (a + 1).cast("int"), (z - a).cast("int"))
+
+    def masked(block: Column) -> Column:
+        """The texts before the runs of a block, each followed by the mark; places within the block's text, so that a long text is read once a block."""
+        whole = _let(part(F.col("text"), block[0]["at"], F.element_at(block, -1)["start"]), lambda t: F.array_join(
+            F.transform(block, lambda r: F.concat(part(t, r["at"] - block[0]["at"], r["start"] - block[0]["at"]), F.lit(mark))), ""))
+        return whole
+
+    last = F.floor((F.size("_r") - 1) / FOLDED).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: _let(F.slice("_r", k * FOLDED + 1, FOLDED), masked))
+    rest = F.expr("substring(text, cast(array_max(transform(spans, x -> x.end)) as int) + 1)")
     return (
-        docs.withColumn("_r", F.expr(
-            "aggregate(spans, named_struct('at', 0L, 'out', ''), (s, x) -> named_struct('at', greatest(s.at, x.end), 'out', "
-            f"if(x.start >= s.at, concat(s.out, substring(text, cast(s.at as int) + 1, cast(x.start - s.at as int)), '{mark}'), s.out)))"))
-        .withColumn("text", F.expr("if(size(spans) = 0, text, concat(_r.out, substring(text, cast(_r.at as int) + 1)))"))
+        docs.withColumn("_r", runs)
+        .withColumn("text", F.when(F.size("spans") > 0, F.concat(F.array_join(blocks, ""), rest)).otherwise(F.col("text")))
         .drop("spans", "base", "_r")
     )
