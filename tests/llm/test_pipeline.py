@@ -57,3 +57,45 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def table(spark, rows, columns="doc_id long, text string"):
+    return spark.createDataFrame(rows, columns)
+
+
+def test_near_duplicates_by_row(spark, tmp_path):
+    rng = random.Random(9)
+    a, b, c = (" ".join(words(rng, 80, 50_000)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b + " x"), (4, c), (4, c), (None, c), (None, "only here " + " ".join(words(rng, 30, 50_000))), (5, ""), (5, ""), (6, None)]
+    out = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, table(spark, rows), "").collect()), key=repr)
+    assert out == sorted([(1, a), (2, b), (4, c), rows[7], (5, ""), (5, ""), (6, None)], key=repr)
+
+
+def test_columns_of_the_caller_pass(spark, tmp_path):
+    """Every stage but the last leaves columns alone whose names the operators use, in any place."""
+    rng = random.Random(10)
+    named = ["spans", "base", "kept", "score", "n_words", "factors", "n_removed", "toxic_score", "_h", "_id", "a.b", "class", "token"]
+    long = " ".join(words(rng, 20_000, 50_000)) + " password=abcdef12 " * 200
+    texts = [" ".join(words(rng, 120, 5000)) for _ in range(8)] + [long]
+    rows = [(f"mine{k}", *[f"{n}{k}" for n in named], k, t, 7) for k, t in enumerate(texts)]
+    docs = table(spark, rows, "lang string, " + ", ".join(f"`{n}` string" for n in named) + ", doc_id long, text string, n_chars int")
+    labels = table(spark, [(k, 1, 0) for k in range(9)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+        got = {r[-3]: tuple(r) for r in out.collect()}
+        assert len(got) >= 8  # the long text has little of good documents
+        assert all(got[k][: len(named) + 1] == rows[k][: len(named) + 1] for k in got)
+    assert "password=" not in got[8][-2] and got[8][-2].count("[SECRET]") == 200
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == set(range(9))
+
+
+def test_null_ids_and_repeats_pass(spark, tmp_path):
+    rng = random.Random(11)
+    a, b = (" ".join(words(rng, 100, 50_000)) for _ in range(2))
+    docs = table(spark, [(None, a), (None, a), (1, b), (1, b)])
+    table(spark, [(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (corpus_pipeline.cut_repeated_passages, corpus_pipeline.mask_secrets):
+        assert sorted(map(repr, stage(spark, docs, str(tmp_path)).collect())) == sorted(map(repr, docs.collect()))
+    assert corpus_pipeline.drop_low_quality(spark, docs, str(tmp_path)).count() in (0, 2, 4)
