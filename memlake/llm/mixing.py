@@ -32,7 +32,7 @@ from memlake.llm.substrings import mixed
 #: Weights by the sources' order, again and again; times that a source's words may be taken; shards; seed.
 WEIGHTS, MOST, SHARDS, SEED = (5, 2, 1), 3, 16, 12
 #: Least words of a block; blocks in all are 2^22 at most, as larger corpora have larger blocks. Rows of a part of a source's run.
-LEAST_BLOCK, BLOCKS, PART = 64, 1 << 22, 1 << 16
+LEAST_BLOCK, BLOCKS, PART = 64, 1 << 22, 1 << 13
 #: Sources that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 100_000
 _ROUND = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(4)]

@@ -1,8 +1,9 @@
 """Hard-negative mining by vantage-point trees over norm-augmented vectors.
 
 A row y gets one more component, sqrt(M^2 - |y|^2) with M the largest norm; an
-anchor q gets 0. Then |q - y|^2 = |q|^2 + M^2 - 2 q.y: the highest inner product
-is the least distance, and a window of scores is an annulus of distances.
+anchor q, scaled by f to the norm M as the rows now have it, gets 0. Then
+|fq - y|^2 = 2 M^2 - 2f q.y: the highest inner product is the least distance, and
+a window of scores is an annulus of distances.
 
 A vantage-point tree is fitted on a bounded sample; every row goes down it to a
 block, and blocks are dealt into trees of a bounded number of rows, each with a
@@ -89,10 +90,17 @@ def grow(x: np.ndarray, leaf: int, deepest: int = 64) -> tuple[Tree, np.ndarray]
     return tree, order
 
 
-def _scores(d_least: np.ndarray, d_most: np.ndarray, q2: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest scores of rows at such distances."""
-    slack = MARGIN * (q2 + top) + 1
-    return (q2 + top - d_most * d_most) / 2 - slack, (q2 + top - d_least * d_least) / 2 + slack
+def _scaled(q: np.ndarray, top: float) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors scaled to the rows' norm with a component 0 more, and what each was scaled by; zero vectors stay."""
+    q2 = (q * q).sum(axis=1)
+    f = np.sqrt(np.divide(top, q2, out=np.ones(len(q)), where=(q2 > 0) & (top > 0)))
+    return np.hstack([q * f[:, None], np.zeros((len(q), 1))]), f
+
+
+def _scores(d_least, d_most, q2, f, top: float) -> tuple:
+    """Least and largest scores of rows at such distances from scaled anchors of the squared norm q2."""
+    slack = MARGIN * (q2 + top) / f + 1
+    return (q2 + top - d_most * d_most) / (2 * f) - slack, (q2 + top - d_least * d_least) / (2 * f) + slack
 
 
 class Searcher:
@@ -107,9 +115,10 @@ class Searcher:
         self.most = float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
         self.whole = [rows[k] for k in order]
 
-    def ask(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared norms of the asked vectors and their distances to the vantage points."""
-        return (q * q).sum(axis=1), _to(self.points, np.hstack([q, np.zeros((len(q), 1))]))
+    def ask(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the asked vectors the squared norms when scaled, what they are scaled by, and their distances to the vantage points."""
+        x, f = _scaled(q, self.top)
+        return (x * x).sum(axis=1), f, _to(self.points, x)
 
     def score(self, a: int, z: int, q: np.ndarray, whole: bytes) -> np.ndarray:
         """Exact inner products: by floating point while it is exact for whole numbers, else by Python's; beyond a long they are its largest or least."""
@@ -118,10 +127,10 @@ class Searcher:
         own = np.frombuffer(whole, "<i8").tolist()
         return np.array([max(_FAR.min, min(_FAR.max, sum(map(int.__mul__, np.frombuffer(r, "<i8").tolist(), own)))) for r in self.whole[a:z]], np.int64)
 
-    def window(self, q: np.ndarray, whole: bytes, q2: float, d: np.ndarray, own: int, label: int, same: bool, low: int, high: int, k: int) -> list[tuple[int, int]]:
+    def window(self, q: np.ndarray, whole: bytes, q2: float, f: float, d: np.ndarray, own: int, label: int, same: bool, low: int, high: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), or all, of rows of the same or of another label with scores from low to high; never the anchor's own id."""
         tree, found, best = self.tree, [], []
-        heap: list[tuple] = [(-float(_FAR.max), 0, 0)]
+        heap: list[tuple] = [(-high, 0, 0)]
         while heap and len(found) < k:
             key, row, at = heapq.heappop(heap)
             if row:
@@ -130,10 +139,9 @@ class Searcher:
                 near, near_most, far, far_most = tree.ranges[at]
                 for child, a, z in ((tree.near[at], near, near_most), (tree.far[at], far, far_most)):
                     least = max(0.0, d[at] - z, a - d[at])
-                    slack = MARGIN * (q2 + self.top) + 1
-                    upper, lower = (q2 + self.top - least * least) / 2 + slack, (q2 + self.top - (d[at] + z) ** 2) / 2 - slack
+                    lower, upper = _scores(least, d[at] + z, q2, f, self.top)
                     if upper >= low and lower <= high and (len(best) < k or upper >= best[0]):
-                        heapq.heappush(heap, (-min(upper, high), 0, child))
+                        heapq.heappush(heap, (max(key, -min(upper, high)), 0, child))
             else:
                 a, z = tree.first[at], tree.last[at]
                 s = self.score(a, z, q, whole)
@@ -234,15 +242,16 @@ def _admitted(trees: list[dict], upper: dict[int, Tree], top: float, probe: bool
                 for dim in set(dims.tolist()) & set(by_dim):
                     own = np.flatnonzero(dims == dim)
                     q = _floats([rows[k] for k in own])
-                    q2 = (q * q).sum(axis=1)
-                    d = _to(np.array(upper[dim].points), np.hstack([q, np.zeros((len(q), 1))])) if dim in upper else None
+                    x, f = _scaled(q, top)
+                    q2 = (x * x).sum(axis=1)
+                    d = _to(np.array(upper[dim].points), x) if dim in upper else None
                     numbers, bounds = np.array([t["tree"] for t in by_dim[dim]]), []
                     for t in by_dim[dim]:
                         least, most = np.zeros(len(own)), np.full(len(own), 1e300 ** 0.5)
                         for p, a, z in zip(t["path"], t["least"], t["most"], strict=True):
                             least = np.maximum(least, np.maximum(d[:, p] - z, a - d[:, p]))
                             most = np.minimum(most, d[:, p] + z)
-                        bounds.append(_scores(least, most, q2, top))
+                        bounds.append(_scores(least, most, q2, f, top))
                     lower, best = (np.array(x) for x in zip(*bounds, strict=True))
                     if probe:
                         t, k = np.lexsort((-lower, -np.minimum(best, high[own])), axis=0)[0], np.arange(len(own))
@@ -291,10 +300,10 @@ class Index:
             step = len(vecs) // n
             tree = Searcher(np.frombuffer(t["ids"], "<i8"), np.frombuffer(t["labels"], "<i8"), [vecs[i * step : (i + 1) * step] for i in range(n)], top)
             q = _floats(left["vec"].tolist())
-            q2, d = tree.ask(q)
+            q2, f, d = tree.ask(q)
             out = []
             for i, r in enumerate(left.itertuples(index=False)):
-                out += [(r.aid, r.slot, v, s) for s, v in tree.window(q[i], r.vec, q2[i], d[i], r.own, r.label, same, r.low, r.high, k)]
+                out += [(r.aid, r.slot, v, s) for s, v in tree.window(q[i], r.vec, float(q2[i]), float(f[i]), d[i], r.own, r.label, same, r.low, r.high, k)]
             return pd.DataFrame(out, columns=["aid", "slot", "vec_id", "score"]).astype("int64")
 
         many = asked.groupBy("tree").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("_n"))

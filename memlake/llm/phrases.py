@@ -36,11 +36,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "lang string, phrase string, n long, chunk int, counts binary"
 
 
-def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _blocks(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
     """The words of the texts, with "." between pieces, in blocks that end with a piece."""
     whole, at = b".".join(texts).translate(_PLAIN), 0
     while at < len(whole):
-        end = whole.find(b".", at + BLOCK)
+        end = whole.find(b".", at + size)
         end = len(whole) if end < 0 else end
         yield whole[at:end].replace(b".", b" . ").split()
         at = end
@@ -55,30 +55,30 @@ def _grown(keys: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
     return mixed(keys[: max(0, len(ids) - m + 1)] * _STEP + ids[m - 1 :])
 
 
-def _place(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - BITS)).astype(np.int64)
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _place(keys)
+    at = _place(keys, len(bitmap).bit_length() + 2)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 class _Buckets:
     """Counts of buckets, none above `least`."""
 
-    def __init__(self, least: int):
-        self.least, self.kind = least, np.uint8 if least < 128 else np.uint32
+    def __init__(self, least: int, bits: int):
+        self.bits, self.least, self.kind = bits, least, np.uint8 if least < 128 else np.uint32
         self.counts: np.ndarray | None = None
 
     def add(self, keys: np.ndarray) -> None:
         if self.counts is None:
-            self.counts = np.zeros(1 << BITS, self.kind)
-        at, n = np.unique(_place(keys).astype(np.uint32), return_counts=True)
+            self.counts = np.zeros(1 << self.bits, self.kind)
+        at, n = np.unique(_place(keys, self.bits).astype(np.uint32), return_counts=True)
         self.counts[at] = np.minimum(self.counts[at] + n, self.least).astype(self.kind)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for k in range(0 if self.counts is None else 1 << (BITS - CHUNK)):
+        for k in range(0 if self.counts is None else 1 << (self.bits - CHUNK)):
             part = self.counts[k << CHUNK : (k + 1) << CHUNK]
             if part.any():
                 yield _batch([None], [None], [None], [k], [pa.compress(part.tobytes(), "zstd", asbytes=True)])
@@ -91,11 +91,11 @@ def _batch(lang: list, phrase, n, chunk: list, counts: list) -> pa.RecordBatch:
     )
 
 
-def _counted(m: int, last: bool, least: int, parts: Broadcast | None, full: Broadcast | None):
+def _counted(m: int, last: bool, least: int, bits: int, block: int, parts: Broadcast | None, full: Broadcast | None):
     """From (lang, text): counts of the n-grams of m words that can be frequent, and bucket counts of those of m + 1 unless this is the last pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, buckets = Hashes(), _Buckets(least)
+        hashes, buckets = Hashes(), _Buckets(least, bits)
         frequent, bucket = (None, None) if m == 1 else (np.frombuffer(x.value, np.uint8) for x in (parts, full))
         held: dict[str, list[bytes]] = {}
         size = 0
@@ -127,7 +127,7 @@ def _counted(m: int, last: bool, least: int, parts: Broadcast | None, full: Broa
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, texts in held.items():
-                for words in _blocks(texts):
+                for words in _blocks(texts, block):
                     yield count(lang, words)
             held.clear()
 
@@ -135,7 +135,7 @@ def _counted(m: int, last: bool, least: int, parts: Broadcast | None, full: Broa
             for lang, text in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
                 held.setdefault(lang, []).append(text)
                 size += len(text)
-            if size >= BLOCK:
+            if size >= block:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -144,11 +144,11 @@ def _counted(m: int, last: bool, least: int, parts: Broadcast | None, full: Broa
     return run
 
 
-def _keyed(m: int, least: int):
+def _keyed(m: int, least: int, bits: int):
     """Bucket counts that mark the given phrases of m words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, buckets = Hashes(), _Buckets(least)
+        hashes, buckets = Hashes(), _Buckets(least, bits)
         for batch in batches:
             phrases = [x.split(b" ") for x in raw(batch.column(1))]
             if phrases:
@@ -168,7 +168,7 @@ def _bits(least: int):
     """The bits of each chunk's buckets of `least` or more; chunks come together by partition, their rows one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = _Buckets(least).kind
+        kind = _Buckets(least, CHUNK).kind
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -180,16 +180,16 @@ def _bits(least: int):
     return run
 
 
-def _bitmap(counts: DataFrame, least: int) -> Broadcast:
-    """All chunks' bits, broadcast: 2^BITS bits, whatever the corpus."""
+def _bitmap(counts: DataFrame, least: int, bits: int) -> Broadcast:
+    """All chunks' bits, broadcast: 2^bits bits, whatever the corpus."""
     found = counts.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_bits(least), "chunk int, bits binary")
-    bitmap, step = bytearray(1 << (BITS - 3)), 1 << (CHUNK - 3)
+    bitmap, step = bytearray(1 << (bits - 3)), 1 << (CHUNK - 3)
     for row in found.collect():
         bitmap[row["chunk"] * step : (row["chunk"] + 1) * step] = row["bits"]
     return counts.sparkSession.sparkContext.broadcast(bytes(bitmap))
 
 
-def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> list[DataFrame]:
+def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = BITS, block: int = BLOCK) -> list[DataFrame]:
     """For each length from 1 to `longest`, the frequent phrases: (lang, phrase, f); among those of length 1 a phrase "" with all words of a language.
 
     docs: lang, text. All occurrences count, overlaps included, none across
@@ -199,14 +199,14 @@ def count_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     found: list[DataFrame] = []
     full = None
     for m in range(1, longest + 1):
-        parts = _bitmap(found[-1].where("phrase <> ''").mapInArrow(_keyed(m - 1, least), _ROWS), least) if m > 1 else None
-        made = materialize(texts.mapInArrow(_counted(m, m == longest, least, parts, full), _ROWS), f"phrases-{m}")
+        parts = _bitmap(found[-1].where("phrase <> ''").mapInArrow(_keyed(m - 1, least, bits), _ROWS), least, bits) if m > 1 else None
+        made = materialize(texts.mapInArrow(_counted(m, m == longest, least, bits, block, parts, full), _ROWS), f"phrases-{m}")
         sums = made.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         found.append(materialize(sums.where((F.col("f") >= least) | (F.col("phrase") == "")), f"frequent-{m}"))
         for x in (parts, full):
             if x is not None:
                 x.unpersist()
-        full = _bitmap(made, least) if m < longest else None
+        full = _bitmap(made, least, bits) if m < longest else None
     return found
 
 
@@ -214,7 +214,7 @@ def _part(first: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice("_w", first, n), " ")
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, share: int = SHARE) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, share: int = SHARE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """lang, rank (int), phrase, a, l, r, n, score (long): of each lang the `top` phrases of 2 to `longest` words of the highest scores.
 
     docs: lang, text; other columns are not read. a counts the phrase, l and r
@@ -225,7 +225,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     texts have no words, rows that repeat count each, a null lang is `und`; an
     empty table gives none. Counts up to 10^15 are exact.
     """
-    counts = count_phrases(docs, longest, least)
+    counts = count_phrases(docs, longest, least, bits, block)
     split = lambda df: df.withColumn("_w", F.split("phrase", " "))
     phrases = counts[1]
     for x in counts[2:]:
