@@ -6,18 +6,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.storage import materialize
+
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """id, label after so many rounds: each node takes the label of most weight around it and itself, ties to the smaller.
 
     edges: a, b, weight, undirected. Stands for community detection; each round is one join and two groupings.
     """
-    both = edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).toDF("id", "other", "weight")
+    edges = materialize(edges.select("a", "b", "weight"), "edges")
+    both = edges.union(edges.select("b", "a", "weight")).toDF("id", "other", "weight")
     labels = both.select("id").distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
         around = both.join(labels.select(F.col("id").alias("other"), "label"), "other").select("id", "label", "weight")
         votes = around.union(labels.select("id", "label", F.lit(0.5))).groupBy("id", "label").agg(F.sum("weight").alias("w"))
         labels = votes.groupBy("id").agg(F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).alias("label"))
+        labels = materialize(labels, "labels")
     return labels
 
 

@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.storage import materialize
+
+#: Clusters that a row is compared with at a time.
+CLUSTERS = 512
+
 from memlake.functions.scores import half_life
 from memlake.functions.text import content_hash, entity_key
 
@@ -143,10 +148,10 @@ def plan_of(sessions: DataFrame, by_branch: DataFrame, by_request: DataFrame) ->
 def frustrated_then(turns: DataFrame, scope: str, position: str, feeling: str, within: int) -> DataFrame:
     """scope, angry, calm, gap: each frustrated turn with the first one after it in the scope that is not, if at most `within` positions later.
 
-    Only positions are compared, in one window over a scope's turns.
+    Only positions are compared, in one pass over a scope's turns from its last to its first.
     """
-    after = Window.partitionBy(scope).orderBy(position).rowsBetween(1, Window.unboundedFollowing)
-    calm = F.first(F.when(F.col(feeling) != "frustration", F.col(position)), ignorenulls=True).over(after)
+    after = Window.partitionBy(scope).orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)
+    calm = F.last(F.when(F.col(feeling) != "frustration", F.col(position)), ignorenulls=True).over(after)
     rows = turns.select(scope, F.col(position).alias("angry"), calm.alias("calm"), feeling).where(F.col(feeling) == "frustration")
     return rows.withColumn("gap", F.col("calm") - F.col("angry")).where(F.col("gap") <= within).select(scope, "angry", "calm", "gap")
 
@@ -172,20 +177,25 @@ def silhouette(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
 
     The mean cosine distance to a cluster is 1 less the dot product with the
     mean of its unit vectors, so that rows are compared with clusters' sums,
-    not with rows. The sums are one row of as many vectors as there are labels,
-    which is meant for labels in the thousands.
+    not with rows: with `CLUSTERS` of them at a time, each such block a row.
     """
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     unit = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(key, label, F.transform(vector, lambda x: x.cast("double") / F.nullif(norm, F.lit(0.0))).alias("_u"), norm.alias("_norm")).where("_norm > 0").drop("_norm")
     parts = unit.select(label, F.posexplode("_u").alias("p", "x")).groupBy(label, "p").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
     sums = parts.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("s"))
-    every = sums.agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "s")).alias("c")).scalar()
+    blocks = max(1, -(-sums.count() // CLUSTERS))
+    every = materialize(sums.groupBy(F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("_b")).agg(F.collect_list(F.struct(F.col(label).alias("l"), "n", "s")).alias("_c")), "clusters")
+    dealt = unit.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(every) if blocks <= 16 else every, "_b")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    seen = unit.withColumn("_c", every).withColumn("_d", F.transform("_c", lambda c: F.struct(c["l"].alias("l"), c["n"].alias("n"), dot(F.col("_u"), c["s"]).alias("d"))))
-    own = F.filter("_d", lambda x: x["l"] == F.col(label))[0]
+    seen = dealt.withColumn("_d", F.transform("_c", lambda c: F.struct(c["l"].alias("l"), c["n"].alias("n"), dot(F.col("_u"), c["s"]).alias("d"))))
+    own = F.filter("_d", lambda x: x["l"] == F.col(label))[0].alias("own")
+    near = F.array_min(F.transform(F.filter("_d", lambda x: x["l"] != F.col(label)), lambda x: 1 - x["d"] / x["n"])).alias("b")
+    parts = seen.select(key, label, own, near)
+    if blocks > 1:  # rows that share a key and a label have one value
+        parts = parts.groupBy(key, label).agg(F.max("own").alias("own"), F.min("b").alias("b"))
+    own, b = F.col("own"), F.col("b")
     a = 1 - (own["d"] - 1) / F.nullif(own["n"] - 1, F.lit(0))
-    b = F.array_min(F.transform(F.filter("_d", lambda x: x["l"] != F.col(label)), lambda x: 1 - x["d"] / x["n"]))
     # rounded, so that two distances that are equal but for the last bits stay so
     a, b = F.round(a, 9), F.round(b, 9)
     value = F.when((own["n"] < 2) | b.isNull() | (F.greatest(a, b) == 0), 0.0).otherwise((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)))
-    return seen.select(key, label, value.alias("silhouette"))
+    return parts.select(key, label, value.alias("silhouette"))

@@ -84,14 +84,18 @@ def noise_chunks(spark, d):
 
 
 @query("provenance_class", r"""WITH t AS (SELECT *, LAG(CASE WHEN role = 'assistant' THEN text END) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-w AS (SELECT *, list_distinct(regexp_extract_all(lower(COALESCE(text, '')), '[\pL\pN]+')) AS every FROM t)
-SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'direct' WHEN role = 'assistant' AND (contains(text, '"') OR contains(lower(text), 'you said') OR contains(text, '> ') OR contains(lower(text), 'quote') OR contains(lower(text), 'storing that')) THEN 'paraphrase' ELSE 'inference' END AS class
-FROM w WHERE length(text) > 80""")
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(COALESCE(text, '')), '[\pL\pN]+')) AS every FROM t),
+a AS (SELECT *, ['yeah', 'yep', 'yes', 'okay', 'sure', 'exactly', 'that', 'this', 'right', 'true', 'agree', 'agreed', 'correct', 'good', 'great', 'nice', 'perfect', 'love', 'like', 'fine', 'cool', 'totally', 'absolutely', 'indeed', 'yup'] AS assent FROM w),
+e AS (SELECT *, list_filter(every, lambda x: NOT list_contains(assent, x)) AS telling, list_distinct(regexp_extract_all(lower(COALESCE(before, '')), '[\pL\pN]+')) AS heard FROM a),
+f AS (SELECT *, COALESCE(before, '') <> '' AND length(trim(text)) <= 80 AND NOT regexp_matches(lower(text), '\b(no|nope|nah|wrong|actually|correction|instead|not)\b')
+  AND ((len(every) > 0 AND len(telling) = 0) OR (len(telling) > 0 AND len(list_filter(telling, lambda x: list_contains(heard, x))) >= greatest(1, len(telling) // 2))) AS agrees FROM e)
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN CASE WHEN agrees THEN 'endorsement' ELSE 'direct' END WHEN role = 'assistant' AND (contains(text, '"') OR contains(lower(text), 'you said') OR contains(text, '> ') OR contains(lower(text), 'quote') OR contains(lower(text), 'storing that')) THEN 'paraphrase' ELSE 'inference' END AS class
+FROM f""")
 def provenance_class(spark, d):
     from pyspark.sql import Window
 
     before = F.lag(F.when(F.col("role") == "assistant", F.col("text"))).over(Window.partitionBy("conv_id").orderBy("turn"))
-    t = table(spark, d, "conversations").withColumn("before", before).where(F.length("text") > 80)
+    t = table(spark, d, "conversations").withColumn("before", before)
     return t.select("conv_id", "turn", x.provenance(F.lit(None).cast("string"), F.col("role"), F.col("text"), F.col("before")).alias("class"))
 
 

@@ -211,7 +211,7 @@ def wanted_enrichments(spark, d):
     return u.still_wanted(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", "event_id").select("user_id", "event_id")
 
 
-@query("cluster_silhouette", """WITH r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND label < 3),
+@query("cluster_silhouette", """WITH r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
 u AS (SELECT vec_id, label, list_transform(e, lambda v: v / sqrt(list_sum(list_transform(e, lambda w: w * w)))) AS e FROM r WHERE list_sum(list_transform(e, lambda w: w * w)) > 0),
 p AS (SELECT label, p, SUM(v) AS v FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS p FROM u) GROUP BY 1, 2),
 c AS (SELECT label AS c, list(v ORDER BY p) AS s FROM p GROUP BY 1), n AS (SELECT label AS c, COUNT(*) AS n FROM u GROUP BY 1),
@@ -219,4 +219,4 @@ d AS (SELECT vec_id, label, CASE WHEN c = label THEN 1 - (list_dot_product(e, s)
 m AS (SELECT vec_id, label, round(MAX(a), 9) AS a, round(MIN(b), 9) AS b FROM d GROUP BY 1, 2)
 SELECT vec_id, label, round((b - a) / greatest(a, b), 6) AS silhouette FROM m""")
 def cluster_silhouette(spark, d):
-    return u.silhouette(table(spark, d, "embeddings").where("label < 3"), "vec_id", "label", "embedding").withColumn("silhouette", F.round("silhouette", 6))
+    return u.silhouette(table(spark, d, "embeddings"), "vec_id", "label", "embedding").withColumn("silhouette", F.round("silhouette", 6))

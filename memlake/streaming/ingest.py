@@ -50,7 +50,8 @@ def ingested(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame
     root = work_folder(spark, "stream")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source if _is_folder(spark, source) else f"{folder}/{name}.parquet*")
     write_batches(stream, f"{root}/out", f"{root}/bad", F.col(key).isNull(), f"{root}/checkpoint")
-    return spark.read.schema(schema).parquet(f"{root}/out").dropDuplicates([key])
+    rows = spark.read.option("basePath", f"{root}/out").schema(schema.add("batch", T.IntegerType())).parquet(f"{root}/out")
+    return latest(rows, key, "batch").select(*schema.names[:-1])
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
