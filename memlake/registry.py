@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Fill the registry."""
-    from memlake.plans import aggregates, filters, graph, more, retrieval, search, temporal, text, upkeep, vectors  # noqa: F401
+    from memlake.plans import aggregates, filters, graph, indexes, more, retrieval, search, temporal, text, upkeep, vectors  # noqa: F401
 
 
 load()
