@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions import text as x
+from memlake.operators import chunking
 from memlake.registry import query
 from memlake.sources.tables import table
 
@@ -78,6 +79,25 @@ def chunk_paragraphs(spark, d):
     return docs.select("doc_id", F.posexplode(x.paragraphs(F.col("text"), 2000)).alias("chunk", "content")).select("doc_id", "chunk", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("digest"))
 
 
+KINDS = ("build_log", "user_message", "stack_trace", "assistant_text", "ai_code")
+
+
+@query("chunked_documents")
+def chunked_documents(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS) + 1).cast("int")).alias("kind"))
+    return chunking.chunked(docs, "doc_id", "text", "kind").select("doc_id", "chunk", "kind", "masked", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("digest"))
+
+
+@query("masked_outputs", r"""WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 50)
+SELECT doc_id, length(text) > 4000 AS masked, sha256(CASE WHEN length(text) <= 4000 THEN text ELSE
+  array_to_string(l[1 : 5], chr(10)) || chr(10) || chr(10) || '[... ' || greatest(0, len(l) - 8) || ' lines elided ...]' || chr(10) || chr(10) || array_to_string(l[greatest(1, len(l) - 2) : len(l)], chr(10)) END) AS digest
+FROM t WHERE length(text) <= 2000 OR length(text) > 4000""")
+def masked_outputs(spark, d):
+    made = chunking.chunked(table(spark, d, "documents").withColumn("kind", F.lit("file_read")), "doc_id", "text", "kind")
+    whole = made.join(table(spark, d, "documents").where("length(text) <= 2000 or length(text) > 4000").select("doc_id"), "doc_id", "left_semi")
+    return whole.select("doc_id", "masked", F.sha2("content", 256).alias("digest"))
+
+
 @query("stream_ingest_counts", "SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT event_id) AS events FROM events GROUP BY 1")
 def stream_ingest_counts(spark, d):
     from memlake.streaming.ingest import ingested
