@@ -67,13 +67,13 @@ def ranked(df: DataFrame, score: str, key: str, name: str, limit: int) -> DataFr
     return few.select(key, (F.row_number().over(Window.orderBy(F.desc(score), key)) - 1).cast("long").alias(name))
 
 
-def fuse(legs: list[tuple[DataFrame, str, float]], key: str, k: int = K) -> DataFrame:
+def fuse(legs: list[tuple[DataFrame, str, float]], key: str | list[str], k: int = K) -> DataFrame:
     """key, score, and each leg's rank: the sum of weight / (k + rank) over the legs that have the row."""
     out = reduce(lambda a, b: a.join(b, key, "full"), (leg for leg, _, _ in legs))
     return out.withColumn("score", reduce(lambda a, b: a + b, (F.coalesce(w / (k + F.col(name)), F.lit(0.0)) for _, name, w in legs)))
 
 
-def hybrid(semantic: DataFrame, text: DataFrame, key: str, alpha: float = ALPHA) -> DataFrame:
+def hybrid(semantic: DataFrame, text: DataFrame, key: str | list[str], alpha: float = ALPHA) -> DataFrame:
     """Two legs with ranks r_sem and r_fts fused; a leg without rows leaves all weight to the other."""
     return fuse([(semantic, "r_sem", alpha), (text, "r_fts", 1 - alpha)], key)
 

@@ -17,24 +17,35 @@ tf AS (SELECT doc_id, len(w) AS size, term, len(list_filter(w, lambda x: x = ter
 df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY 1),
 bm AS (SELECT doc_id, SUM(ln((n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) AS score FROM tf JOIN df USING (term), n GROUP BY 1 HAVING score > 0)"""
 SEM = "qv AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0), sem AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], qv) AS likeness FROM embeddings, qv)"
-LEGS = f"""{BM25}, {SEM}, f AS (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS r_fts FROM bm QUALIFY r_fts < 50),
-m AS (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY round(likeness, 9) DESC, doc_id) - 1 AS r_sem FROM sem QUALIFY r_sem < 50)"""
+#: Of every vector whose id is divisible by 50 the legs of its own neighbours and of the text.
+LEGS = f"""{BM25}, q AS (SELECT vec_id AS asked, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
+f AS (SELECT asked, doc_id, r_fts FROM q, (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY round(score, 9) DESC, doc_id) - 1 AS r_fts FROM bm QUALIFY r_fts < 50)),
+m AS (SELECT asked, vec_id AS doc_id, ROW_NUMBER() OVER (PARTITION BY asked ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], qv), 9) DESC, vec_id) - 1 AS r_sem FROM embeddings, q QUALIFY r_sem < 50)"""
+KEY = ["asked", "doc_id"]
+
+
+def _asked(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0")
+
+
+def _for_each(spark, d, leg):
+    """A leg that is the same for all that ask (50 rows at most)."""
+    rows = leg.agg(F.collect_list(F.struct("*"))).scalar()
+    return _asked(spark, d).select(F.col("vec_id").alias("asked"), F.explode(rows).alias("_l")).select("asked", "_l.*")
 
 
 def _text_leg(spark, d):
     scored = s.bm25(table(spark, d, "documents"), "doc_id", "text", TERMS).withColumn("score", F.round("score", 9))
-    return s.ranked(scored, "score", "doc_id", "r_fts", 50)
+    return _for_each(spark, d, s.ranked(scored, "score", "doc_id", "r_fts", 50))
 
 
 def _vector_leg(spark, d):
-    e = table(spark, d, "embeddings")
-    near = e.withColumn("q", e.where("vec_id = 0").select("embedding").scalar()).select(F.col("vec_id").alias("doc_id"), F.round(v.cosine("embedding", "q"), 9).alias("likeness"))
-    return s.ranked(near, "likeness", "doc_id", "r_sem", 50)
+    near = v.search(table(spark, d, "embeddings"), _asked(spark, d), "vec_id", "embedding", 50)
+    return near.select("asked", F.col("vec_id").alias("doc_id"), (F.col("rank") - 1).cast("long").alias("r_sem"))
 
 
 def _recent_leg(spark, d):
-    docs = table(spark, d, "documents").where("source = 'src0'")
-    return s.ranked(docs, "doc_id", "doc_id", "r_new", 25)
+    return _for_each(spark, d, s.ranked(table(spark, d, "documents"), "doc_id", "doc_id", "r_new", 25))
 
 
 @query("fts_bm25_topk", f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
@@ -73,35 +84,35 @@ def fts_by_length(spark, d):
     return table(spark, d, "documents").where(F.contains(F.lower("text"), F.lit("ation"))).orderBy(F.desc("n_chars"), "doc_id").limit(25).select("doc_id", "n_chars")
 
 
-@query("rrf_two_leg", f"WITH {LEGS} SELECT doc_id, round(COALESCE(0.25 / (60 + r_sem), 0) + COALESCE(0.75 / (60 + r_fts), 0), 9) AS score FROM f FULL JOIN m USING (doc_id)")
+@query("rrf_two_leg", f"WITH {LEGS} SELECT asked, doc_id, round(COALESCE(0.25 / (60 + r_sem), 0) + COALESCE(0.75 / (60 + r_fts), 0), 9) AS score FROM f FULL JOIN m USING (asked, doc_id)")
 def rrf_two_leg(spark, d):
-    return s.hybrid(_vector_leg(spark, d), _text_leg(spark, d), "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+    return s.hybrid(_vector_leg(spark, d), _text_leg(spark, d), KEY).select(*KEY, F.round("score", 9).alias("score"))
 
 
-@query("rrf_three_leg", f"""WITH {LEGS}, r AS (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY doc_id DESC) - 1 AS r_new FROM documents WHERE source = 'src0' QUALIFY r_new < 25)
-SELECT doc_id, round(COALESCE(0.25 / (60 + r_sem), 0) + COALESCE(0.75 / (60 + r_fts), 0) + COALESCE(0.75 / (60 + r_new), 0), 9) AS score FROM f FULL JOIN m USING (doc_id) FULL JOIN r USING (doc_id)""")
+@query("rrf_three_leg", f"""WITH {LEGS}, r AS (SELECT asked, doc_id, r_new FROM q, (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY doc_id DESC) - 1 AS r_new FROM documents QUALIFY r_new < 25))
+SELECT asked, doc_id, round(COALESCE(0.25 / (60 + r_sem), 0) + COALESCE(0.75 / (60 + r_fts), 0) + COALESCE(0.75 / (60 + r_new), 0), 9) AS score FROM f FULL JOIN m USING (asked, doc_id) FULL JOIN r USING (asked, doc_id)""")
 def rrf_three_leg(spark, d):
     legs = [(_vector_leg(spark, d), "r_sem", 0.25), (_text_leg(spark, d), "r_fts", 0.75), (_recent_leg(spark, d), "r_new", 0.75)]
-    return s.fuse(legs, "doc_id").select("doc_id", F.round("score", 9).alias("score"))
+    return s.fuse(legs, KEY).select(*KEY, F.round("score", 9).alias("score"))
 
 
-@query("rrf_boosted", f"""WITH {LEGS}, u AS (SELECT doc_id, COALESCE(0.25 / (60 + r_sem), 0) + COALESCE(0.75 / (60 + r_fts), 0) AS score FROM f FULL JOIN m USING (doc_id))
-SELECT u.doc_id, round(score * (1 + least(greatest(d.n_chars / 1000, 0), 10) / 20) * (0.7 + 0.3 * exp(-0.023 * (d.n_chars / 100))) * CASE WHEN l.toxic = 1 THEN 0.05 ELSE 1 END, 9) AS score
+@query("rrf_boosted", f"""WITH {LEGS}, u AS (SELECT asked, doc_id, COALESCE(0.25 / (60 + r_sem), 0) + COALESCE(0.75 / (60 + r_fts), 0) AS score FROM f FULL JOIN m USING (asked, doc_id))
+SELECT u.asked, u.doc_id, round(score * (1 + least(greatest(d.n_chars / 1000, 0), 10) / 20) * (0.7 + 0.3 * exp(-0.023 * (d.n_chars / 100))) * CASE WHEN l.toxic = 1 THEN 0.05 ELSE 1 END, 9) AS score
 FROM u JOIN documents d ON d.doc_id = u.doc_id LEFT JOIN labels l ON l.doc_id = u.doc_id""")
 def rrf_boosted(spark, d):
-    fused = s.hybrid(_vector_leg(spark, d), _text_leg(spark, d), "doc_id").select("doc_id", "score")
+    fused = s.hybrid(_vector_leg(spark, d), _text_leg(spark, d), KEY).select(*KEY, "score")
     rows = fused.join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     boost = scores.importance_boost(F.col("n_chars") / 1000) * scores.recency_boost(F.col("n_chars") / 100) * F.when(F.col("toxic") == 1, scores.NOISE).otherwise(1.0)
-    return rows.select("doc_id", F.round(F.col("score") * boost, 9).alias("score"))
+    return rows.select(*KEY, F.round(F.col("score") * boost, 9).alias("score"))
 
 
-@query("rrf_kg_boost", f"""WITH {LEGS} SELECT doc_id, round((COALESCE(0.25 / (60 + r_sem), 0) + COALESCE(0.75 / (60 + r_fts), 0)) * CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1.3 ELSE 1 END, 9) AS score
-FROM f FULL JOIN m USING (doc_id)""")
+@query("rrf_kg_boost", f"""WITH {LEGS} SELECT asked, doc_id, round((COALESCE(0.25 / (60 + r_sem), 0) + COALESCE(0.75 / (60 + r_fts), 0)) * CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1.3 ELSE 1 END, 9) AS score
+FROM f FULL JOIN m USING (asked, doc_id)""")
 def rrf_kg_boost(spark, d):
-    fused = s.hybrid(_vector_leg(spark, d), _text_leg(spark, d), "doc_id").select("doc_id", "score")
+    fused = s.hybrid(_vector_leg(spark, d), _text_leg(spark, d), KEY).select(*KEY, "score")
     linked = table(spark, d, "labels").where("quality = 1").select("doc_id").distinct().withColumn("linked", F.lit(True))
     boost = F.when(F.col("linked"), scores.KG_BOOST).otherwise(1.0)
-    return fused.join(linked, "doc_id", "left").select("doc_id", F.round(F.col("score") * boost, 9).alias("score"))
+    return fused.join(linked, "doc_id", "left").select(*KEY, F.round(F.col("score") * boost, 9).alias("score"))
 
 
 @query("fan_out_rrf", """WITH a AS (SELECT doc_id, 0 AS scope, ROW_NUMBER() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 10),
