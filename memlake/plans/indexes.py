@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from memlake.operators.kmeans import sampled
 from memlake.operators.spans import name_spans, name_table, words_of
 from memlake.operators.textindex import TextIndex, add_part
 from memlake.operators.vectorindex import VectorIndex
@@ -56,6 +57,12 @@ def vector_lists(spark, d):
     return found.select("asked", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("kmeans_sample")
+def kmeans_sample(spark, d):
+    """The three rows nearest to each of 16 centres; held against the same steps on one machine in the tests."""
+    return sampled(table(spark, d, "embeddings"), "vec_id", "embedding", 16).select("vec_id", "centre", F.round("distance", 6).alias("distance"), "rank")
+
+
 @query("names_in_documents", r"""WITH RECURSIVE c AS (SELECT conv_id * 1000 + turn AS turn_id, regexp_extract_all(lower(COALESCE(text, '')), '[\pL\pN_''-]+') AS ws FROM conversations),
 named AS (SELECT array_to_string(ws[1 : n], ' ') AS phrase, n, MIN(turn_id * 4 + n) AS id FROM c, range(2, 5) AS r(n) WHERE len(ws) >= n GROUP BY ALL),
 w AS (SELECT doc_id, regexp_extract_all(lower(COALESCE(text, '')), '[\pL\pN_''-]+') AS ws FROM documents),
