@@ -215,7 +215,7 @@ def _part(first: Column | int, n: Column | int) -> Column:
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, share: int = SHARE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """lang, rank (int), phrase, a, l, r, n, score (long): of each lang the `top` phrases of 2 to `longest` words of the highest scores.
+    """lang, rank, phrase, a, l, r, n, score (numbers long): of each lang the `top` phrases of 2 to `longest` words of the highest scores.
 
     docs: lang, text; other columns are not read. a counts the phrase, l and r
     the parts of its lowest-scoring cut (of equal ones, the first), n all words
@@ -254,4 +254,4 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     first = best.withColumn("rank", rank).where(F.col("rank") <= top)
     words = counts[0].where("phrase = ''").select("lang", F.col("f").alias("n"))
-    return first.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return first.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

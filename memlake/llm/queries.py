@@ -178,7 +178,7 @@ parts AS (SELECT lang, phrase, a, k, array_to_string(ws[1 : k], ' ') AS head, ar
 cut AS (SELECT p.lang, p.phrase, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
   FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.head JOIN f y ON y.lang = p.lang AND y.phrase = p.rest),
 best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank, phrase, a, l, r, n, score
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM best LEFT JOIN inside USING (lang, phrase) JOIN n USING (lang) WHERE most IS NULL OR 100 * most < 50 * a QUALIFY rank <= 2000""",
     "base_mixing": r"""
 WITH t AS (SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
