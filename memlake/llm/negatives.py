@@ -33,7 +33,7 @@ from memlake.llm.common import materialize
 #: Positives of an anchor, negatives of each, and their least and largest scores in percent of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 #: Rows that the upper tree is fitted on at most and its most leaves; rows of a tree and of a leaf; anchors that meet a tree at a time; seed.
-SAMPLE, BLOCKS, PART, LEAF, ASKED, SEED = 4096, 1024, 16384, 128, 4096, 11
+SAMPLE, BLOCKS, PART, LEAF, ASKED, SEED = 4096, 1024, 16384, 512, 4096, 11
 #: Share of M^2 + |q|^2 that rounding may shift a score's bound by.
 MARGIN = 1e-9
 _FAR = np.iinfo(np.int64)
@@ -120,16 +120,17 @@ class Searcher:
         x, f = _scaled(q, self.top)
         return (x * x).sum(axis=1), f, _to(self.points, x)
 
-    def score(self, a: int, z: int, q: np.ndarray, whole: bytes) -> np.ndarray:
-        """Exact inner products: by floating point while it is exact for whole numbers, else by Python's; beyond a long they are its largest or least."""
-        if self.most * float(np.abs(q).max(initial=0)) < 2**53:
-            return (self.x[a:z] @ q).astype(np.int64)
+    def score(self, a: int, z: int, q: np.ndarray, whole: bytes, plain: bool) -> np.ndarray:
+        """Exact inner products: by floating point where it is exact for whole numbers (`plain`), else by Python's; beyond a long they are its largest or least."""
+        if plain:
+            return self.x[a:z] @ q
         own = np.frombuffer(whole, "<i8").tolist()
         return np.array([max(_FAR.min, min(_FAR.max, sum(map(int.__mul__, np.frombuffer(r, "<i8").tolist(), own)))) for r in self.whole[a:z]], np.int64)
 
     def window(self, q: np.ndarray, whole: bytes, q2: float, f: float, d: np.ndarray, own: int, label: int, same: bool, low: int, high: int, k: int) -> list[tuple[int, int]]:
         """The k best (score, id), or all, of rows of the same or of another label with scores from low to high; never the anchor's own id."""
         tree, found, best = self.tree, [], []
+        plain = self.most * float(np.abs(q).max(initial=0)) < 2**53
         heap: list[tuple] = [(-high, 0, 0)]
         while heap and len(found) < k:
             key, row, at = heapq.heappop(heap)
@@ -144,12 +145,12 @@ class Searcher:
                         heapq.heappush(heap, (max(key, -min(upper, high)), 0, child))
             else:
                 a, z = tree.first[at], tree.last[at]
-                s = self.score(a, z, q, whole)
-                fits = (s >= max(low, best[0] if len(best) == k else low)) & (s <= high) & ((self.labels[a:z] == label) == same) & (self.ids[a:z] != own)
-                here = np.flatnonzero(fits)
+                s = self.score(a, z, q, whole, plain)
+                here = np.flatnonzero((s >= max(low, best[0] if len(best) == k else low)) & (s <= high))
+                here = here[((self.labels[a:z][here] == label) == same) & (self.ids[a:z][here] != own)]
                 if len(here) > k:
                     here = here[np.lexsort((self.ids[a:z][here], -s[here]))[:k]]
-                for score, i in zip(s[here].tolist(), self.ids[a:z][here].tolist(), strict=True):
+                for score, i in zip(map(int, s[here].tolist()), self.ids[a:z][here].tolist(), strict=True):
                     heapq.heappush(heap, (-score, 1, i))
                     heapq.heappush(best, score)
                     if len(best) > k:
