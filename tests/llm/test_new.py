@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from memlake.llm import mixing, negatives, phrases
+from memlake.llm import mixing, negatives, phrases, secrets
 
 VECTORS = "vec_id long, label int, vec array<long>, anchor boolean, rank string, score string"
 
@@ -57,10 +57,10 @@ def test_no_vectors(spark):
 def test_tree_visits_only_the_annulus():
     """In two dimensions the traversal leaves most leaves alone, and finds what a full scan finds."""
     rng = np.random.default_rng(3)
-    x = rng.integers(-1000, 1000, (20_000, 2))
+    x = rng.integers(-1000, 1000, (80_000, 2))
     tree = negatives.Searcher(np.arange(len(x)), np.zeros(len(x), np.int64), [r.tobytes() for r in x.astype("<i8")], float((x * x).sum(axis=1).max()))
     leaves, score = [], tree.score
-    tree.score = lambda a, z, q, whole: leaves.append(a) or score(a, z, q, whole)
+    tree.score = lambda a, z, *rest: leaves.append(a) or score(a, z, *rest)
     q = np.array([[300, -400]])
     q2, f, d = tree.ask(q.astype(float))
     got = tree.window(q[0].astype(float), q[0].astype("<i8").tobytes(), q2[0], f[0], d[0], -1, 1, False, -50_000, 200_000, 10)
@@ -183,9 +183,22 @@ def test_collocations(spark, longest, least, top, share, block):
     rows = [(k, text(rng.randint(0, 60)), ("en", "de", None, "und")[k % 4], "a", "b", "c") for k in range(120)]
     rows += [rows[0], rows[0], (None, text(50), "en", None, None, None), (500, None, "en", None, None, None), (501, "", None, None, None, None), (502, text(5000), "en", None, None, None)]
     got = phrases.collocations(spark.createDataFrame(rows, TEXTS).repartition(3), longest, least, top, share, 19, block)
+    assert dict(got.dtypes)["rank"] == "bigint"
     assert sorted(map(tuple, got.collect())) == collocated(rows, longest, least, top, share)
 
 
 def test_no_texts(spark):
     assert phrases.collocations(spark.createDataFrame([], TEXTS)).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, None, None, "", "", "")], TEXTS)).count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    """Time in proportion to the matches, and the same places and text as one by one."""
+    n = 50_000
+    unit = "é password=abcdef1 "
+    df = spark.createDataFrame([(1, unit * n), (2, unit * 300 + "end"), (3, None), (4, "")], "doc_id long, text string")
+    out = secrets.with_secrets(df)
+    spans = {r["doc_id"]: (r["n"], r["first"], r["last"]) for r in out.selectExpr("doc_id", "size(base) as n", "base[0].start as first", "try_element_at(base, -1).end as last").where("n > 0").collect()}
+    assert spans == {1: (n, 2, n * len(unit) - 1), 2: (300, 2, 300 * len(unit) - 1)}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redacted(out).collect()}
+    assert masked == {1: "é [SECRET] " * n, 2: "é [SECRET] " * 300 + "end", 3: None, 4: ""}
