@@ -7,9 +7,9 @@ again. Blocks are allocated one after another to the source of the highest
 quotient v / (2s + 1), where v is its target in blocks and s what it has got.
 Seats in this order fill the shards, so each shard's quotas are integers near
 the weights. A source's seats take its blocks in a seeded permutation, again
-and again if there are more seats than blocks. What the quota's rounding leaves
-to the target's whole words, one block's words at most, is cut from the last
-seats or taken by further ones.
+and again if there are more seats than blocks. What the quota's rounding and the
+short last block leave to the target's whole words, mostly less than a block's
+words and never many blocks, is cut from the last seats or taken by further ones.
 
 Texts are never exchanged, only sizes. Sources can be many: the shares come
 from rounds of sums over the sources, the seats' order from a distributed sort,
@@ -92,12 +92,7 @@ def _with_targets(sources: DataFrame, most: int) -> DataFrame:
             break
         left, of = now
     capped = (most * F.col("source_size")).cast("double")
-    return sources.withColumn("target", F.when(over(), capped).otherwise(F.col("weight") * F.lit(float(left)) / F.lit(float(of)))) if of else sources.withColumn("target", capped)
-
-
-def _words_before(p: str, last: str) -> str:
-    """Words of the blocks at the places before p, where the last block, which is `short` words shorter, has the place `last`."""
-    return f"({p} * _block - if({last} < {p}, n * _block - source_size, 0L))"
+    return sources.withColumn("target", F.when(over(), capped).otherwise(F.col("weight") * F.lit(left / of))) if of else sources.withColumn("target", capped)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> Mix:
@@ -127,26 +122,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     order = _ranked(quotients, [F.desc("_q"), "sid", "seat"], "_r", "quotients").where(F.col("_r") < n_seats)
     seats = materialize(order.select("sid", "seat", F.floor(F.col("_r") * shards / max(n_seats, 1)).cast("int").alias("shard")), "seats")
     quotas = seats.groupBy("sid").agg(F.count("*").alias("quota"))
-    last = F.pandas_udf(lambda sid, n: _last(sid, n, seed), "long")
-    words = f"(quota div greatest(n, 1L)) * source_size + {_words_before('(quota % greatest(n, 1L))', '_last')}"
     taking = (
         claimed.join(quotas, "sid", "left").withColumn("quota", F.coalesce("quota", F.lit(0).cast("long")))
-        .withColumn("_last", last("sid", "n")).withColumn("_block", F.lit(block).cast("long"))
-        .withColumn("_w", F.expr(words))
-        .withColumn("take", F.expr("least(greatest(cast(floor(target + 0.5D) as bigint), _w - _block), _w + _block)"))
-        .withColumn("take", F.least(F.greatest("take", F.lit(0)), most * F.col("source_size")).cast("long"))
+        .withColumn("take", F.least(F.floor(F.col("target") + 0.5), most * F.col("source_size")).cast("long"))
     )
     held = materialize(taking.select("sid", "source", "weight", "source_size", "target", "n", "quota", "take", "_rows"), "quotas")
     return Mix(_placed(rows, held, n_sources, seed), held, seats, block, seed, shards)
 
 
-def _last(sid, n, seed: int):
-    import pandas as pd
-
-    n = n.to_numpy(np.int64)
-    return pd.Series(permuted(np.maximum(n - 1, 0), np.maximum(n, 1), _seeds(sid.to_numpy(np.int64), seed)))
-
-
 def _seeds(sid: np.ndarray, seed: int) -> np.ndarray:
     return mixed(sid.astype(np.uint64) + np.uint64(seed << 32))
 

@@ -139,6 +139,19 @@ def test_permuted_is_a_permutation():
         assert mixing.permuted(p, np.full(n, n), np.full(n, 7, np.uint64), back=True).tolist() == x.tolist()
 
 
+def test_mixing_takes_targets_to_the_word(spark):
+    """Here rounding and the short last block leave 95 words, more than a block has."""
+    sizes = {"a": 583, "b": 90}
+    made = mixing.mix(spark.createDataFrame([(k, "w " * n, s, None, None) for k, (s, n) in enumerate(sizes.items())], DOCS))
+    want = targets(sizes)
+    assert {r["source"]: r["take"] for r in made.sources.collect()} == {s: int(want[s] + Fraction(1, 2)) for s in sizes}
+    taken = {r["doc_id"]: r["taken"] for r in mixing.taken(made).collect()}
+    words = Counter()
+    for r in mixing.spans(made).collect():
+        words[r["doc_id"]] += r["words"]
+    assert taken == words == {k: int(want[s] + Fraction(1, 2)) for k, s in enumerate(sizes)}
+
+
 def test_no_documents_to_mix(spark):
     made = mixing.mix(spark.createDataFrame([], DOCS))
     assert mixing.taken(made).count() == mixing.spans(made).count() == 0
