@@ -94,7 +94,7 @@ def percentile_latency(spark, d):
 @q("project_activity", "SELECT project, CAST(MAX(created_at) AS VARCHAR) AS last_seen FROM chunks WHERE project IS NOT NULL GROUP BY 1 ORDER BY MAX(created_at) DESC, project LIMIT 5")
 def project_activity(spark, d):
     last = chunks(spark, d).where("project is not null").groupBy("project").agg(F.max("created_at").alias("t"))
-    return last.orderBy(F.desc("t"), "project").limit(5).select("project", F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_seen"))
+    return last.orderBy(F.desc("t"), "project").limit(5).select("project", F.col("t").cast("string").alias("last_seen"))
 
 
 @q("coverage", "SELECT c.content_class, COUNT(DISTINCT s.chunk_id) AS covered FROM chunks c JOIN chunks s ON s.session_id = c.session_id AND s.k = c.k AND s.content_type = 'click' GROUP BY 1")

@@ -274,3 +274,14 @@ def test_clusters(spark):
     assert rows(clusters.paced(events, "key", "us", 1.0, 2), "key", "us", "allowed") == [("j", 5, True), ("k", 0, True), ("k", 1, True), ("k", 2, False), ("k", 2_000_000, True)]
     log = spark.createDataFrame([("f", 10), ("f", 30), ("g", 99)], "source string, at int")
     assert rows(clusters.rewound(log, spark.createDataFrame([("f", 20)], "source string, end int"), "source", "at"), "source", "at") == [("f", 10), ("g", 99)]
+
+
+def test_last_seen_without_trailing_zeros(spark, tmp_path):
+    from memlake import registry
+
+    ts = ["2024-01-01 00:00:00.250000", "2024-01-01 00:00:01", "2024-01-01 00:00:02.000001"]
+    rows = [(k, t, k, "view", 1.0, f'{{"k": {10 * k}}}') for k, t in enumerate(ts)]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["project_activity"](spark, str(tmp_path)).collect()]
+    assert got == [("p2", ts[2]), ("p1", ts[1]), ("p0", "2024-01-01 00:00:00.25")]
