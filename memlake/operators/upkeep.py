@@ -33,6 +33,32 @@ def group_mentions(groups: DataFrame, mentions: DataFrame) -> DataFrame:
     return groups.select("canonical").distinct().join(seen, "canonical", "left").fillna(0, ["chunks"])
 
 
+def alias_mentions(entities: DataFrame, aliases: DataFrame, mentions: DataFrame) -> DataFrame:
+    """canonical, chunks: as `group_mentions` of `alias_groups`, without a row for each member of each entity.
+
+    Entities whose aliases are the same names have the same members but for
+    themselves, so that chunks are counted once for each set of names; what an
+    entity has beyond that is what mentions it alone. Chunks of a name come
+    together before names meet sets, so entities of one name make no pairs.
+    """
+    named = entities.select("id", F.struct("entity_type", F.lower("name").alias("n")).alias("_n"))
+    own = aliases.join(entities.select("id", "entity_type"), "id").where("alias is not null").select("id", F.struct("entity_type", F.lower("alias").alias("n")).alias("_n"))
+    sets = materialize(own.groupBy("id").agg(F.array_sort(F.collect_set("_n")).alias("_names")), "alias-sets")
+    names = materialize(sets.select("_names").distinct().withColumn("_c", F.monotonically_increasing_id()), "names")
+    asked = sets.join(names, "_names").select("id", "_names", "_c")
+    each = names.select("_c", F.explode("_names").alias("_n"))
+    seen = mentions.where("chunk_id is not null").select(F.col("entity_id").alias("id"), "chunk_id")
+    heard = named.join(each.select("_n").distinct(), "_n", "left_semi").join(seen, "id").select("_n", "chunk_id").distinct()
+    heard = materialize(heard.join(each, "_n").select("_c", "chunk_id").distinct(), "heard")
+    # entities that are no members of their own set add the chunks that the set has not
+    inside = entities.join(asked, "id", "left").select("id", "_c", F.coalesce(F.array_contains("_names", F.struct("entity_type", F.lower("name").alias("n"))), F.lit(False)).alias("_in"))
+    alone = inside.groupBy("id").agg(F.max("_c").alias("_c"), F.bool_or("_in").alias("_in")).where("not _in")
+    extra = alone.join(seen, "id").distinct().join(heard, ["_c", "chunk_id"], "left_anti").groupBy("id").agg(F.count("*").alias("_x"))
+    common = asked.select("id", "_c").join(heard.groupBy("_c").agg(F.count("*").alias("_y")), "_c")
+    total = entities.select("id").distinct().join(extra, "id", "left").join(common, "id", "left")
+    return total.select(F.col("id").alias("canonical"), (F.coalesce("_x", F.lit(0)) + F.coalesce("_y", F.lit(0))).cast("long").alias("chunks"))
+
+
 def by_alias(asked: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
     """asked, id, name of the entities that an alias in any case leads to. asked: asked; aliases: id, alias."""
     return asked.join(aliases, F.lower("asked") == F.lower("alias")).select("asked", "id").distinct().join(entities.select("id", "name"), "id")

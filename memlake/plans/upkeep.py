@@ -87,7 +87,7 @@ s AS (SELECT id AS canonical, id AS member FROM entities UNION SELECT e.id, m.id
 SELECT canonical, COUNT(DISTINCT chunk_id) AS chunks FROM s LEFT JOIN mentions ON entity_id = member GROUP BY 1""")
 def alias_groups(spark, d):
     a = table(spark, d, "part").where("p_partkey % 10 = 0").select(_name("part", "p_partkey").alias("id"), F.upper("p_name").alias("alias"))
-    return u.group_mentions(u.alias_groups(entities(spark, d), a), mentions(spark, d))
+    return u.alias_mentions(entities(spark, d), a, mentions(spark, d))
 
 
 @q("alias_lookup", """, a AS (SELECT 'nation:' || n_nationkey AS id, 'Land ' || n_nationkey AS alias FROM nation) SELECT asked, e.id, e.name FROM (SELECT DISTINCT 'LAND ' || (s_suppkey % 40) AS asked FROM supplier) JOIN a ON lower(asked) = lower(alias) JOIN entities e ON e.id = a.id""")

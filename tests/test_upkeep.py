@@ -145,3 +145,22 @@ def test_silhouette(spark):
     df = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [2.0, 0.0]), (3, 1, [0.0, 1.0]), (4, 1, [0.0, 5.0]), (5, 2, [1.0, 1.0]), (6, 1, [0.0, 0.0]), (7, 1, None), (8, None, [1.0, 0.0])], "id long, l int, v array<double>")
     got = {r["id"]: round(r["silhouette"], 6) for r in u.silhouette(df, "id", "l", "v").collect()}
     assert got == {1: 1.0, 2: 1.0, 3: 1.0, 4: 1.0, 5: 0.0}
+
+
+def test_alias_mentions(spark):
+    """As by pairs of entity and member; 3,000 entities of one name make no nine million of them."""
+    import random
+
+    from memlake.operators import upkeep
+
+    r = random.Random(3)
+    entities = [(k, r.choice("pq"), r.choice(["Oak", "oak", "elm", "ASH", None])) for k in range(40)]
+    aliases = [(r.randrange(45), r.choice(["OAK", "Elm", "fir", None])) for _ in range(30)]
+    seen = [(r.randrange(42), r.choice([*range(12), None])) for _ in range(90)]
+    e, a = spark.createDataFrame(entities, "id long, entity_type string, name string"), spark.createDataFrame(aliases, "id long, alias string")
+    m = spark.createDataFrame(seen, "entity_id long, chunk_id long")
+    want = sorted(map(tuple, upkeep.group_mentions(upkeep.alias_groups(e, a), m).collect()))
+    assert sorted(map(tuple, upkeep.alias_mentions(e, a, m).collect())) == want
+    big = spark.range(3000).selectExpr("id", "'p' as entity_type", "'Oak' as name")
+    got = upkeep.alias_mentions(big, big.selectExpr("id", "'OAK' as alias"), big.selectExpr("id as entity_id", "id % 700 as chunk_id"))
+    assert [tuple(x) for x in got.groupBy("chunks").count().collect()] == [(700, 3000)]
