@@ -33,21 +33,27 @@ def name_table(names: DataFrame, key: str, name: str, kind: str | None = None, s
     return rows.groupBy("phrase", "first", "n").agg(F.array_sort(F.collect_set(key)).alias("ids"))
 
 
-def _chosen(once: bool, kind: pa.DataType):
+def _chosen(once: bool, owner: pa.DataType, kind: pa.DataType):
+    """Goes through places in order (owner, at, longest first), a batch at a time; only the owner at hand is held from one batch to the next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, end, seen = object(), 0, set()
         for batch in batches:
-            owners, out = [], []
-            for k, found in enumerate(batch.column(1).to_pylist()):
-                end, seen = 0, set()
-                for place, length, ids in sorted(((x["at"], x["n"], x["ids"]) for x in found), key=lambda x: (x[0], -x[1])):
-                    free = [i for i in ids if not (once and i in seen)]
-                    if place >= end and free:
+            own, at, n, ids = (batch.column(c).to_pylist() for c in range(4))
+            rows, found = [], []
+            for k, (o, place, length, these) in enumerate(zip(own, at, n, ids, strict=True)):
+                if o != now:
+                    now, end, seen = o, 0, set()
+                if place >= end:
+                    free = next((i for i in these if i not in seen), None) if once else these[0]
+                    if free is not None:
                         end = place + length
-                        seen.add(free[0])
-                        owners.append(k)
-                        out.append((place, length, free[0]))
-            at, n, ids = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, kind)], names=["owner", "at", "n", "id"])
+                        if once:
+                            seen.add(free)
+                        rows.append(k)
+                        found.append(free)
+            kept = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(kept) for c in range(3)), pa.array(found, kind)], names=["owner", "at", "n", "id"])
 
     return run
 
@@ -63,16 +69,20 @@ def name_spans(texts: DataFrame, owner: str, text: str, names: DataFrame, once:
     """
     names = materialize(names, "names")
     firsts = names.groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
-    few = firsts.count() <= BROADCAST
-    placed = texts.select(F.col(owner).alias("owner"), words_of(F.col(text), word).alias("_w")).select("owner", "_w", F.posexplode("_w").alias("_at", "first"))
-    # the words from a place on, as many as the longest name has that begins so
-    runs = placed.join(F.broadcast(firsts) if few else firsts, "first").select(
-        "owner", F.col("_at").cast("long").alias("at"), F.explode(F.transform(F.filter("lengths", lambda n: F.col("_at") + n <= F.size("_w")), lambda n: F.array_join(F.slice("_w", F.col("_at") + 1, n), " "))).alias("phrase")
+    count, longest = names.agg(F.countDistinct("first"), F.coalesce(F.max("n"), F.lit(1))).first()
+    words = texts.select(F.col(owner).alias("owner"), words_of(F.col(text), word).alias("_w"))
+    # each place with as many words as the longest name has: a text's words are never copied whole to each of its places
+    place = lambda i: F.struct(i.alias("at"), F.slice("_w", i + 1, F.lit(longest)).alias("w"))
+    placed = words.where("size(_w) > 0").select("owner", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - 1), place)).alias("_p"))
+    placed = placed.select("owner", F.col("_p.at").cast("long").alias("at"), F.col("_p.w").alias("_w"), F.col("_p.w")[0].alias("first"))
+    runs = placed.join(F.broadcast(firsts) if count <= BROADCAST else firsts, "first").select(
+        "owner", "at", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.size("_w")), lambda n: F.array_join(F.slice("_w", 1, n), " "))).alias("phrase")
     )
-    hits = runs.join(names.select("phrase", F.col("n").cast("long").alias("n"), "ids"), "phrase")
-    # places of names in one text: never more than its words times the lengths of names
-    gathered = hits.groupBy("owner").agg(F.collect_list(F.struct("at", "n", "ids")).alias("found"))
-    owners, ids = (x.dataType for x in (gathered.schema["owner"], names.schema["ids"]))
+    held = F.col("ids") if once else F.slice("ids", 1, 1).alias("ids")
+    hits = runs.join(names.select("phrase", F.col("n").cast("long").alias("n"), held), "phrase").select("owner", "at", "n", "ids")
+    kinds = [hits.schema[c].dataType for c in ("owner", "ids")]
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return gathered.mapInArrow(_chosen(once, to_arrow_type(ids.elementType)), f"owner {owners.simpleString()}, at long, n long, id {ids.elementType.simpleString()}")
+    chosen = _chosen(once, to_arrow_type(kinds[0]), to_arrow_type(kinds[1].elementType))
+    ordered = hits.repartition("owner").sortWithinPartitions("owner", "at", F.desc("n"))
+    return ordered.mapInArrow(chosen, f"owner {kinds[0].simpleString()}, at long, n long, id {kinds[1].elementType.simpleString()}")

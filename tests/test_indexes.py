@@ -95,3 +95,11 @@ def test_name_spans(spark, once):
     for r in name_spans(spark.createDataFrame(texts, "d long, t string, at string").repartition(3), "d", "t", table, once).collect():
         got.setdefault(r["owner"], []).append((r["at"], r["n"], r["id"]))
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, t, _ in texts if (v := chosen(t or "", {p: sorted(i) for p, i in by.items()}, once))}
+
+
+def test_name_spans_of_a_long_text(spark):
+    """Each place once held all words of its text: here some 30 GB."""
+    names = name_table(spark.createDataFrame([(1, "red fox"), (2, "red fox den")], "id long, name string"), "id", "name")
+    texts = spark.createDataFrame([(1, "red fox " * 30_000), (2, "red fox den"), (None, "a red fox")], "d long, t string")
+    got = name_spans(texts, "d", "t", names).groupBy("owner", "id").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1, 30_000), (2, 2, 1), (None, 1, 1)}
