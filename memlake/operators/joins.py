@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,15 +50,65 @@ def in_interval(points: DataFrame, intervals: DataFrame, key: list[str], at: str
 LARGE = 1000
 
 
+#: Members of a block, and groups that two blocks are compared in at a time.
+BLOCK, COLUMNS = 1024, 4096
+
+
+def _dense_pairs(own: DataFrame, group: str, member: str, members: int) -> DataFrame:
+    """As `pairs_within`, for members that mostly have groups in common: blocks of members as rows of zeros and ones, multiplied block by block.
+
+    Bounded by a block with a block in a task, and no pair is exchanged; the
+    work is by pairs of members, whatever the number of groups they share.
+    """
+    parts = max(1, -(-members // BLOCK))
+    dealt = own.groupBy(member).agg(F.collect_list(group).alias("_g")).withColumn("_k", F.pmod(F.xxhash64(member), F.lit(parts)).cast("int"))
+    left = dealt.select(F.col(member).alias("_m"), "_g", F.col("_k").alias("_i"), F.explode(F.sequence(F.col("_k"), F.lit(parts - 1))).alias("_j"))
+    right = dealt.select(F.col(member).alias("_m"), "_g", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_i"), F.col("_k").alias("_j"))
+    kind = own.schema[member].dataType.simpleString()
+
+    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        shared = np.zeros((len(x), len(y)), np.float32)
+        if len(x) and len(y):
+            sizes = [np.fromiter(map(len, f["_g"]), np.int64, len(f)) for f in (x, y)]
+            codes, known = pd.factorize(np.concatenate([*x["_g"], *y["_g"]]))
+            cut = int(sizes[0].sum())
+            sides = [(np.repeat(np.arange(len(s)), s), c) for s, c in zip(sizes, (codes[:cut], codes[cut:]), strict=True)]
+            for first in range(0, len(known), COLUMNS):
+                held = []
+                for (rows, c), s in zip(sides, sizes, strict=True):
+                    here = (c >= first) & (c < first + COLUMNS)
+                    m = np.zeros((len(s), min(COLUMNS, len(known) - first)), np.float32)
+                    m[rows[here], c[here] - first] = 1
+                    held.append(m)
+                shared += held[0] @ held[1].T
+        i, j = np.nonzero(shared)
+        a, b, n = x["_m"].to_numpy()[i], y["_m"].to_numpy()[j], shared[i, j].astype(np.int64)
+        if key[0] == key[1]:
+            once = (a < b).astype(bool)
+            return pd.DataFrame({"a": a[once], "b": b[once], "n": n[once]})
+        swap = (a > b).astype(bool)
+        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "n": n})
+
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(compare, f"a {kind}, b {kind}, n long")
+
+
 def pairs_within(df: DataFrame, group: str, member: str, kind: Column | None = None) -> DataFrame:
     """a, b, n: how many groups have both members, a < b. Members of a group are taken once each.
 
     With `kind`, a column made of the member, only pairs of two kinds are made.
     One side of a group of more than LARGE members is dealt into parts, each
     with a copy of the other, so that it is spread over as many tasks; small
-    groups are copied to one.
+    groups are copied to one. Where groups make more pairs than there are pairs
+    of members, as a few groups that hold most members do, members are compared
+    block by block instead.
     """
     own = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct()
+    if kind is None:
+        # rows of a group stand for its members: what is chosen by them is the way, not the result
+        members = df.agg(F.approx_count_distinct(member)).first()[0]
+        made = df.groupBy(group).agg(F.least(F.count("*"), F.lit(members)).cast("double").alias("_n")).where(F.col(group).isNotNull()).agg(F.sum(F.col("_n") * (F.col("_n") - 1))).first()[0]
+        if (made or 0) > 2 * members * members:
+            return _dense_pairs(own, group, member, members)
     large = own.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE)
     own = own.join(large, group, "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_n") / LARGE), F.lit(1)).cast("int"))
     own = own.withColumn("_kind", F.lit(None).cast("string") if kind is None else kind)

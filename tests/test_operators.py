@@ -294,3 +294,20 @@ def test_last_seen_without_trailing_zeros(spark, tmp_path):
     e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
     got = [tuple(r) for r in registry.QUERIES["project_activity"](spark, str(tmp_path)).collect()]
     assert got == [("p2", ts[2]), ("p1", ts[1]), ("p0", "2024-01-01 00:00:00.25")]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pairs_of_members_that_share_most_groups(spark, kind, monkeypatch):
+    """As counted by hand, and no join by group."""
+    rng = np.random.default_rng(4)
+    rows = {(int(g), int(m)) for g, m in zip(rng.integers(0, 9, 900), rng.integers(0, 50, 900), strict=True)}
+    df = spark.createDataFrame([*rows, *list(rows)[:50], (None, 3), (4, None)], "g long, m long").selectExpr(f"cast(g as {kind}) g", f"cast(m as {kind}) m")
+    monkeypatch.setattr(joins, "BLOCK", 16)
+    monkeypatch.setattr(joins, "COLUMNS", 4)
+    got = {(r["a"], r["b"]): r["n"] for r in joins.pairs_within(df, "g", "m").collect()}
+    of = defaultdict(set)
+    for g, m in rows:
+        of[m if kind == "long" else str(m)].add(g)
+    assert got == {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and of[a] & of[b]}
+    plan = joins.pairs_within(spark.range(500).selectExpr("id % 100 as m", "id div 100 as g"), "g", "m")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
