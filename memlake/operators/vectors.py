@@ -72,6 +72,17 @@ def _distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
         return np.round(-(a @ b.T) / (np.sqrt((a * a).sum(axis=1))[:, None] * np.sqrt((b * b).sum(axis=1))[None, :]), DIGITS)
 
 
+def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least of each row, ties by column, NaN never: only what is not above the k-th value is sorted."""
+    last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(d), np.inf)
+    rows, places = np.nonzero(d <= np.where(np.isnan(last), np.inf, last)[:, None])
+    order = np.lexsort((places, d[rows, places], rows))
+    rows, places = rows[order], places[order]
+    first = np.searchsorted(rows, np.arange(len(d)))
+    kept = np.arange(len(rows)) - first[rows] < k
+    return rows[kept], places[kept]
+
+
 def search(df: DataFrame, asked: DataFrame, key: str, vector: str, k: int, kind: str = "cosine", itself: bool = True) -> DataFrame:
     """asked, key, distance, rank (1 to k): for each row of `asked` the k rows of `df` of least distance, ties by key; exact.
 
@@ -91,10 +102,8 @@ def search(df: DataFrame, asked: DataFrame, key: str, vector: str, k: int, kind:
         own, found = a[key].to_numpy(), b[key].to_numpy()
         if not itself:
             d[own[:, None] == found[None, :]] = np.nan
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(own)), best.shape[1])
-        made = pd.DataFrame({"asked": own[rows], key: found[best.ravel()], "distance": d[rows, best.ravel()]})
-        return made[made["distance"].notna()]
+        rows, places = _least(d, k)
+        return pd.DataFrame({"asked": own[rows], key: found[places], "distance": d[rows, places]})
 
     found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(compare, f"asked long, {key} long, distance double")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy("distance", key))

@@ -311,3 +311,13 @@ def test_pairs_of_members_that_share_most_groups(spark, kind, monkeypatch):
     assert got == {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and of[a] & of[b]}
     plan = joins.pairs_within(spark.range(500).selectExpr("id % 100 as m", "id div 100 as g"), "g", "m")._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("k", [1, 3, 7, 9])
+def test_least_of_each_row_by_place(k):
+    """As a stable sort of whole rows, with ties, NaN and infinite values."""
+    rng = np.random.default_rng(6)
+    d = rng.integers(0, 4, (200, 7)).astype(float)
+    d[rng.random(d.shape) < 0.2], d[rng.random(d.shape) < 0.1], d[0] = np.nan, np.inf, np.nan
+    want = [(r, c) for r in range(len(d)) for c in np.argsort(d[r], kind="stable")[:k].tolist() if not np.isnan(d[r, c])]
+    assert list(zip(*(x.tolist() for x in vectors._least(d, k)), strict=True)) == want
