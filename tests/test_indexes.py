@@ -98,7 +98,7 @@ def test_name_spans(spark, once):
 
 
 def test_name_spans_of_a_long_text(spark):
-    """Each place once held all words of its text: here some 30 GB."""
+    """Each place once held all words of its text."""
     names = name_table(spark.createDataFrame([(1, "red fox"), (2, "red fox den")], "id long, name string"), "id", "name")
     texts = spark.createDataFrame([(1, "red fox " * 30_000), (2, "red fox den"), (None, "a red fox")], "d long, t string")
     got = name_spans(texts, "d", "t", names).groupBy("owner", "id").count().collect()
