@@ -18,9 +18,11 @@ similar: that and the sizes prune without loss. Then
 1. in each group every class is paired with the first that it could be similar
    to, in one of a few orders, so copies make stars and not all pairs; the pairs
    are verified on the whole texts, and components are labelled;
-2. in each group every label's nearest class of another label is verified too;
+2. in each group every label's nearest class of another label is verified too,
+   and labels are made anew;
 3. what could still be similar and is not connected is verified pair by pair,
-   each pair in the one group that is the first that both are in.
+   each pair in the one group that is the first that both are in. Members are
+   named for that only now, as most that had a partner before have its label.
 """
 
 from __future__ import annotations
@@ -473,8 +475,8 @@ def _labels_of(ids: np.ndarray, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]
     return np.where(hit, order[where], -1), np.where(hit, labels[order][where], ids)
 
 
-def _nearest_unlike(found: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """bucket, a, b: for each label of a group its nearest pair with another label; and bucket, a with null b: members that have such a partner.
+def _possible_unlike(found: DataFrame, labels: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """bucket, a, b: for each label of a group its nearest pair with another label; or, unless `nearest`, bucket, a with null b: members that have such a partner.
 
     labels: id, component_id, bits of the classes. The bits prune pairs that sizes and cells could not.
     """
@@ -502,7 +504,9 @@ def _nearest_unlike(found: DataFrame, labels: DataFrame, percent: int) -> DataFr
             d = parities.apart(row[at[i]], row[at[j]])
             near = d <= most_apart(members.sizes[at[i]], members.sizes[at[j]], percent)
             i, j, d = i[near], j[near], d[near]
-            open_[at[i]] = open_[at[j]] = True
+            if not nearest:
+                open_[at[i]] = open_[at[j]] = True
+                continue
             group = np.tile(np.searchsorted(first, i, side="right") - 1, 2)
             x, y, d = np.append(i, j), np.append(j, i), np.tile(d, 2)
             order = np.lexsort((turn[x] ^ turn[y], d, label[at[x]], group))
@@ -678,13 +682,13 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     labels = connected_components(nodes, links)
     # nearest of other labels
     bits = reps.select(F.col("class").alias("id"), "bits")
-    near = materialize(_nearest_unlike(found, labels.join(bits, "id"), percent), "near")
-    more = materialize(verify(known, reps, near.where("b is not null").select("a", "b").distinct(), k, percent), "links")
+    near = _possible_unlike(found, labels.join(bits, "id"), percent, True).select("a", "b").distinct()
+    more = materialize(verify(known, reps, near, k, percent), "links")
     if not more.isEmpty():
         links = links.union(more)
         labels = connected_components(nodes, links)
     # what is left
-    left = near.where("b is null").select("bucket", F.col("a").alias("id"))
+    left = materialize(_possible_unlike(found, labels.join(bits, "id"), percent, False).select("bucket", F.col("a").alias("id")), "left")
     about = materialize(_prefixes(known, reps.join(left.select(F.col("id").alias("class")).distinct(), "class"), frequent, k, percent), "prefixes")
     rows = left.join(labels, "id").join(about, "id").select("bucket", "id", F.col("component_id").alias("label"), "bits", "tokens")
     more = materialize(verify(known, reps, _unconnected(found, rows, percent), k, percent), "links")

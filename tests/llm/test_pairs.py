@@ -81,6 +81,27 @@ def test_jaccard_groups_of_near_copies(spark, monkeypatch, long):
     assert got == {k: of(k) for k in sets}
 
 
+def test_jaccard_last_round_names_unconnected_members_only(spark, monkeypatch):
+    """Members of a group that the second round has given one label do not come to the third."""
+    for name, value in (("OFTEN", 3), ("IN_BLOCK", 1), ("ORDERS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng, rows, named = np.random.default_rng(5), [], []
+    for base in range(4):
+        words = [f"b{base}w{k}" for k in range(30 + 15 * base)]
+        for _ in range(60):
+            w = list(words)
+            for at in rng.choice(len(w), rng.integers(0, 4), replace=False):
+                w[at] = f"x{rng.integers(0, 6)}"
+            rows.append((len(rows), " ".join(w)))
+    last = jaccard._unconnected
+    monkeypatch.setattr(jaccard, "_unconnected", lambda found, rows, percent: named.append(rows) or last(found, rows, percent))
+    jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).count()
+    labels = defaultdict(set)
+    for r in named[0].collect():
+        labels[r["bucket"]].add(r["label"])
+    assert labels and all(len(x) > 1 for x in labels.values())
+
+
 def test_jaccard_entries_of_long_texts():
     """Sets whose tokens are all frequent have as many entries as their prefix is long; those of up to LONG tokens have combinations."""
     s = np.sort(np.random.default_rng(1).integers(0, 1 << 62, 100_000).astype(np.uint64))
