@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.storage import materialize
+
 
 def resolve_aliases(asked: DataFrame, alias: DataFrame, key: str) -> DataFrame:
     """`asked` with found: the id that `key` was merged into, one hop, or itself; alias: old_id, new_id."""
@@ -92,30 +94,66 @@ def _dense_pairs(own: DataFrame, group: str, member: str, members: int) -> DataF
     return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(compare, f"a {kind}, b {kind}, n long")
 
 
+def _pairs_of_small(own: DataFrame, group: str) -> DataFrame:
+    """a, b, _kind, _other of groups that are gathered as an array each: group, _m, _kind, in any number of rows."""
+    held = own.groupBy(group).agg(F.array_sort(F.collect_set(F.struct("_m", "_kind") if "_kind" in own.columns else "_m")).alias("_l"))
+    first = held.where("size(_l) > 1").select("_l", F.posexplode("_l").alias("_at", "_x"))
+    pairs = first.select("_x", F.explode(F.slice("_l", F.col("_at") + 2, F.greatest(F.size("_l") - F.col("_at") - 1, F.lit(0)))).alias("_y"))
+    if "_kind" not in own.columns:
+        return pairs.select(F.col("_x").alias("a"), F.col("_y").alias("b"))
+    return pairs.where("_x._kind <> _y._kind").select(F.col("_x._m").alias("a"), F.col("_y._m").alias("b"))
+
+
+def _pairs_of_large(own: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    """The same of large groups, joined in parts; sizes: group, _parts."""
+    own = own.distinct().join(sizes, group)
+    kinds = "_kind" in own.columns
+    left = own.select(group, F.col("_m").alias("a"), *([F.col("_kind")] if kinds else []), F.pmod(F.xxhash64("_m"), F.col("_parts")).cast("int").alias("_part"))
+    right = own.select(group, F.col("_m").alias("b"), *([F.col("_kind").alias("_other")] if kinds else []), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return left.join(right, [group, "_part"]).where("a < b and _kind <> _other" if kinds else "a < b").select("a", "b")
+
+
+def _coded(column: Column) -> Column:
+    return F.xxhash64(column)
+
+
 def pairs_within(df: DataFrame, group: str, member: str, kind: Column | None = None) -> DataFrame:
     """a, b, n: how many groups have both members, a < b. Members of a group are taken once each.
 
     With `kind`, a column made of the member, only pairs of two kinds are made.
-    One side of a group of more than LARGE members is dealt into parts, each
-    with a copy of the other, so that it is spread over as many tasks; small
-    groups are copied to one. Where groups make more pairs than there are pairs
-    of members, as a few groups that hold most members do, members are compared
-    block by block instead.
+    A group is gathered as an array, and its pairs are counted. One side of a
+    group of more than LARGE rows is dealt into parts instead, each with a copy
+    of the other, so that it is spread over as many tasks. Members that are no
+    whole numbers are counted by their hashes, of which a table is written
+    first; if two members share one, by themselves. Where groups make more pairs
+    than there are pairs of members, as a few groups that hold most members do,
+    members are compared block by block instead.
     """
-    own = df.where(F.col(group).isNotNull() & F.col(member).isNotNull()).select(group, member).distinct()
+    rows = df.where(F.col(group).isNotNull() & F.col(member).isNotNull())
+    # how many groups have how many rows: what is chosen by them is the way, not the result
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    times = {r["_n"]: r["count"] for r in sizes.groupBy("_n").count().collect()}
+    whole, names = rows.schema[member].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"), None
+    if not whole:
+        names = materialize(rows.select(F.col(member).alias("_name")).groupBy(_coded(F.col("_name")).alias("_m")).agg(F.min("_name").alias("_name"), F.max("_name").alias("_last")), "members")
+        if not names.where("_name <> _last").isEmpty():
+            names = None
     if kind is None:
-        # rows of a group stand for its members: what is chosen by them is the way, not the result
-        members = df.agg(F.approx_count_distinct(member)).first()[0]
-        made = df.groupBy(group).agg(F.least(F.count("*"), F.lit(members)).cast("double").alias("_n")).where(F.col(group).isNotNull()).agg(F.sum(F.col("_n") * (F.col("_n") - 1))).first()[0]
-        if (made or 0) > 2 * members * members:
-            return _dense_pairs(own, group, member, members)
-    large = own.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE)
-    own = own.join(large, group, "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_n") / LARGE), F.lit(1)).cast("int"))
-    own = own.withColumn("_kind", F.lit(None).cast("string") if kind is None else kind)
-    left = own.select(group, "_kind", F.col(member).alias("a"), F.pmod(F.xxhash64(member), F.col("_parts")).cast("int").alias("_part"))
-    right = own.select(group, F.col("_kind").alias("_other"), F.col(member).alias("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
-    pairs = left.join(right, [group, "_part"]).where("a < b" if kind is None else "a < b and _kind <> _other")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+        members = rows.agg(F.approx_count_distinct(member)).first()[0] if names is None else names.count()
+        made = sum(float(k) * min(n, members) * (min(n, members) - 1) for n, k in times.items())
+        if made > 2 * members * members:
+            return _dense_pairs(rows.select(group, member).distinct(), group, member, members)
+    own = rows.select(group, (F.col(member) if names is None else _coded(F.col(member))).alias("_m"), *([kind.alias("_kind")] if kind is not None else []))
+    if max(times, default=0) <= LARGE:
+        pairs = _pairs_of_small(own, group)
+    else:
+        large = materialize(sizes.where(F.col("_n") > LARGE).select(group, F.ceil(F.col("_n") / LARGE).cast("int").alias("_parts")), "large")
+        pairs = _pairs_of_small(own.join(large, group, "left_anti"), group).union(_pairs_of_large(own, group, large))
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    if names is None:
+        return counted
+    named = counted.join(names.select(F.col("_m").alias("a"), F.col("_name").alias("_a")), "a").join(names.select(F.col("_m").alias("b"), F.col("_name").alias("_b")), "b")
+    return named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "n")
 
 
 def jaccard_within(df: DataFrame, group: str, member: str) -> DataFrame:

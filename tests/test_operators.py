@@ -313,6 +313,25 @@ def test_pairs_of_members_that_share_most_groups(spark, kind, monkeypatch):
     assert "CoGroup" in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("collide", [False, True])
+@pytest.mark.parametrize("kind", [False, True])
+def test_pairs_are_counted_by_hashes_of_members(spark, kind, collide, monkeypatch):
+    """As counted by hand: small groups and large ones, rows that repeat, nulls, hashes that two members share; what is exchanged for a pair has no texts."""
+    rng = np.random.default_rng(8)
+    rows = [(int(g), f"{'ab'[m % 2]}:{m}") for g, m in zip(rng.integers(0, 300, 1500), rng.integers(0, 400, 1500), strict=True)] + [(7, f"a:{m}") for m in range(60)]
+    df = spark.createDataFrame([*rows, *rows[:50], (None, "a:2"), (4, None)], "g long, m string")
+    monkeypatch.setattr(joins, "LARGE", 20)
+    if collide:
+        monkeypatch.setattr(joins, "_coded", lambda c: F.length(c).cast("long"))
+    found = joins.pairs_within(df, "g", "m", kind=F.substring("m", 1, 1) if kind else None)
+    of = defaultdict(set)
+    for g, m in rows:
+        of[m].add(g)
+    assert {(r["a"], r["b"]): r["n"] for r in found.collect()} == {(a, b): len(of[a] & of[b]) for a in of for b in of if a < b and of[a] & of[b] and not (kind and a[0] == b[0])}
+    keys = {f.dataType.typeName() for f in spark.createDataFrame([], found.schema).schema if f.name in "ab"}
+    assert keys == {"string"} and ("xxhash64(m" in found._jdf.queryExecution().optimizedPlan().toString()) != collide
+
+
 @pytest.mark.parametrize("k", [1, 3, 7, 9])
 def test_least_of_each_row_by_place(k):
     """As a stable sort of whole rows, with ties, NaN and infinite values."""
