@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from memlake.operators import textindex
 from memlake.operators.spans import name_spans, name_table
 from memlake.operators.textindex import TextIndex, add_part
 from memlake.operators.vectorindex import VectorIndex
@@ -44,6 +45,26 @@ def test_text_index_reads_what_is_asked(spark, tmp_path):
     assert re.search(r"bucket#\d+ (IN \(\d+\)|= \d+)", filters)
 
 
+def test_text_index_rows_hold_many_texts(spark, tmp_path, monkeypatch):
+    """Counts and sizes by term as in plain Python, for slices of any size; a term has a row for each slice, not for each text."""
+    rng = random.Random(4)
+    texts = {k: " ".join(rng.choice(["alpha", "Beta", "été", "x1", "日本語", "🙂b"]) for _ in range(rng.randint(0, 9))) for k in range(200)} | {200: None, 201: "ab", 202: "z" * 500}
+    docs = spark.createDataFrame(sorted(texts.items()), "k long, t string").coalesce(1)
+    runs = lambda t: [t[i : i + 3] for i in range(len(t) - 2)]
+    for size in (1, 300, 1 << 21):
+        monkeypatch.setattr(textindex, "AT_A_TIME", size)
+        for kind, split in ((textindex._words, lambda t: re.findall("[a-z0-9]+", t)), (textindex._trigrams, runs)):
+            got = textindex._postings(docs, "k", "t", kind).collect()
+            flat = [(r["term"], *x) for r in got for x in zip(r["key"], r["tf"], r["size"], strict=True)]
+            want = [(w, k, words.count(w), len(words)) for k, t in texts.items() for words in [split((t or "").lower())] for w in set(words)]
+            assert sorted(flat) == sorted(want)
+        assert size < 1 << 21 or len(got) == len({r["term"] for r in got})
+    add_part(docs, str(tmp_path / "x"), 0, "k", "t")
+    for kind in ("postings", "trigrams"):
+        rows = spark.read.parquet(str(tmp_path / "x" / kind))
+        assert rows.count() == rows.select("term").distinct().count()
+
+
 def test_vector_lists(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((12, 16))
