@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,6 +181,11 @@ def mean_vectors(df: DataFrame, group: str, vector: str) -> DataFrame:
     return parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
+#: Runs whose hashes a worker holds before it starts anew, the longest that it holds, and runs of a text that are hashed at a time; bounds on
+#: memory, without effect on results.
+CACHED, LONGEST, RUNS = 1 << 16, 256, 1 << 16
+
+
 def hashed_bits(df: DataFrame, key: str, text: str, width: int = 4) -> DataFrame:
     """key, simhash (long), n_tokens: bits that most hashed runs of `width` tokens have; of fewer, single tokens; ties to 1.
 
@@ -187,21 +194,31 @@ def hashed_bits(df: DataFrame, key: str, text: str, width: int = 4) -> DataFrame
     """
     from memlake.functions.text import plain_tokens
 
-    def of(tokens: list[str], known: dict[str, bytes]) -> int:
+    known: dict[str, bytes] = {}  # runs that come again
+
+    def digest(run: str) -> bytes:
+        h = known.get(run)
+        if h is None:
+            h = hashlib.blake2b(run.encode(), digest_size=8).digest()
+            if len(run) <= LONGEST:
+                if len(known) >= CACHED:
+                    known.clear()
+                known[run] = h
+        return h
+
+    def of(tokens: list[str]) -> int:
         if not tokens:
             return -1
-        runs = [f"sh:{' '.join(tokens[k : k + width])}" for k in range(len(tokens) - width + 1)] or [f"tok:{t}" for t in tokens]
-        for r in runs:
-            if r not in known:
-                known[r] = hashlib.blake2b(r.encode(), digest_size=8).digest()
-        hashes = np.frombuffer(b"".join([known[r] for r in runs]), np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(hashes, axis=1).sum(axis=0) * 2 >= len(runs)
-        return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known: dict[str, bytes] = {}  # runs that come again in the batch
-            lists = [[] if t is None else list(t) for t in b["t"]]
-            yield pd.DataFrame({key: b[key], "simhash": [of(t, known) for t in lists], "n_tokens": [len(t) for t in lists]})
-
-    return df.select(key, plain_tokens(F.col(text)).alias("t")).mapInPandas(run, f"{key} long, simhash long, n_tokens long")
+        made = (f"sh:{' '.join(tokens[k : k + width])}" for k in range(len(tokens) - width + 1)) if len(tokens) >= width else (f"tok:{t}" for t in tokens)
+        counts, n = np.zeros(64, np.int64), 0
+        while some := list(islice(made, RUNS)):
+            counts += np.unpackbits(np.frombuffer(b"".join(map(digest, some)), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            n += len(some)
+        return int.from_bytes(np.packbits(counts * 2 >= n).tobytes(), "big", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(of(t := x.as_py() or []), len(t)) for x in batch.column(1)]  # the tokens of one text at a time
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[k] for m in made], pa.int64()) for k in (0, 1))], names=[key, "simhash", "n_tokens"])
+
+    return df.select(F.col(key).cast("long").alias(key), plain_tokens(F.col(text)).alias("t")).mapInArrow(run, f"{key} long, simhash long, n_tokens long")

@@ -332,6 +332,24 @@ def test_pairs_are_counted_by_hashes_of_members(spark, kind, collide, monkeypatc
     assert keys == {"string"} and ("xxhash64(m" in found._jdf.queryExecution().optimizedPlan().toString()) != collide
 
 
+def test_hashed_bits_of_runs_in_parts(spark, monkeypatch):
+    """As of whole lists of runs, whatever is held and however many are hashed at a time."""
+    rng = np.random.default_rng(3)
+    texts = {k: " ".join(f"w{x}" for x in rng.integers(0, 30, n)) for k, n in enumerate([0, 1, 3, 4, 5, 40, 90])} | {7: None, 8: "v" * 400 + " x y z", 9: "the"}
+    df = spark.createDataFrame(sorted(texts.items()), "k long, t string").coalesce(1)
+
+    def bits(words):
+        runs = [f"sh:{' '.join(words[i : i + 4])}" for i in range(len(words) - 3)] or [f"tok:{w}" for w in words]
+        rows = [np.unpackbits(np.frombuffer(hashlib.blake2b(r.encode(), digest_size=8).digest(), np.uint8)) for r in runs]
+        return int.from_bytes(np.packbits(np.sum(rows, axis=0, dtype=int) * 2 >= len(runs)).tobytes(), "big", signed=True) if runs else -1
+
+    words = {k: [w for w in (t or "").split() if w not in text.STOP_WORDS] for k, t in texts.items()}
+    for name, value in (("CACHED", 3), ("LONGEST", 12), ("RUNS", 5)):
+        monkeypatch.setattr(vectors, name, value)
+    got = {r["k"]: (r["simhash"], r["n_tokens"]) for r in vectors.hashed_bits(df, "k", "t").collect()}
+    assert got == {k: (bits(w), len(w)) for k, w in words.items()}
+
+
 @pytest.mark.parametrize("k", [1, 3, 7, 9])
 def test_least_of_each_row_by_place(k):
     """As a stable sort of whole rows, with ties, NaN and infinite values."""
