@@ -48,6 +48,8 @@ def constant(values: list[float]) -> Column:
 
 #: Vectors of a block of those asked for and of those searched; a task compares one block with one block.
 ASKED, SEARCHED = 1024, 8192
+#: Distances of a block that a task holds at a time.
+HELD = 1 << 20
 #: Digits of distances that decide on order; what differs less is a tie, which the key breaks.
 DIGITS = 9
 
@@ -100,12 +102,16 @@ def search(df: DataFrame, asked: DataFrame, key: str, vector: str, k: int, kind:
         b = b.sort_values(key, kind="stable", ignore_index=True)
         if not len(a) or not len(b):
             return pd.DataFrame({"asked": [], key: [], "distance": []})
-        d = _distances(np.stack(a[vector]).astype(float), np.stack(b[vector]).astype(float), kind)
-        own, found = a[key].to_numpy(), b[key].to_numpy()
-        if not itself:
-            d[own[:, None] == found[None, :]] = np.nan
-        rows, places = _least(d, k)
-        return pd.DataFrame({"asked": own[rows], key: found[places], "distance": d[rows, places]})
+        x, y = np.stack(a[vector]).astype(float), np.stack(b[vector]).astype(float)
+        own, found, made = a[key].to_numpy(), b[key].to_numpy(), []
+        step = max(1, HELD // len(y))
+        for at in range(0, len(x), step):
+            d = _distances(x[at : at + step], y, kind)
+            if not itself:
+                d[own[at : at + step, None] == found[None, :]] = np.nan
+            rows, places = _least(d, k)
+            made.append((own[at + rows], found[places], d[rows, places]))
+        return pd.DataFrame(dict(zip(("asked", key, "distance"), map(np.concatenate, zip(*made, strict=True)), strict=True)))
 
     found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(compare, f"asked long, {key} long, distance double")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy("distance", key))
@@ -119,10 +125,14 @@ def within(df: DataFrame, asked: DataFrame, key: str, vector: str, least: str) -
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"asked": [], key: [], "likeness": []})
-        c = -_distances(np.stack(a[vector]).astype(float), np.stack(b[vector]).astype(float), "cosine")
-        own, found = a[key].to_numpy(), b[key].to_numpy()
-        i, j = np.nonzero((c >= b[least].to_numpy()[None, :]) & (own[:, None] != found[None, :]))
-        return pd.DataFrame({"asked": own[i], key: found[j], "likeness": c[i, j]})
+        x, y = np.stack(a[vector]).astype(float), np.stack(b[vector]).astype(float)
+        own, found, made = a[key].to_numpy(), b[key].to_numpy(), []
+        step = max(1, HELD // len(y))
+        for at in range(0, len(x), step):
+            c = -_distances(x[at : at + step], y, "cosine")
+            i, j = np.nonzero((c >= b[least].to_numpy()[None, :]) & (own[at : at + step, None] != found[None, :]))
+            made.append((own[at + i], found[j], c[i, j]))
+        return pd.DataFrame(dict(zip(("asked", key, "likeness"), map(np.concatenate, zip(*made, strict=True)), strict=True)))
 
     return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(compare, f"asked long, {key} long, likeness double")
 

@@ -350,6 +350,20 @@ def test_hashed_bits_of_runs_in_parts(spark, monkeypatch):
     assert got == {k: (bits(w), len(w)) for k, w in words.items()}
 
 
+@pytest.mark.parametrize("itself", [False, True])
+def test_search_holds_few_distances(spark, itself, monkeypatch):
+    """A block is compared in parts of few rows, with the same results."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-2, 3, (70, 6)).astype(float)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>").coalesce(1)
+    asked = df.where("k % 3 = 0").withColumn("least", F.lit(0.7))
+    search = lambda: sorted(tuple(r) for r in vectors.search(df, asked, "k", "v", 5, itself=itself).select("asked", "k", "rank").collect())
+    within = lambda: sorted((r["asked"], r["k"]) for r in vectors.within(df.withColumn("least", F.lit(0.7)), asked, "k", "v", "least").collect())
+    whole = search(), within()
+    monkeypatch.setattr(vectors, "HELD", 200)
+    assert (search(), within()) == whole and whole[0] and whole[1]
+
+
 @pytest.mark.parametrize("k", [1, 3, 7, 9])
 def test_least_of_each_row_by_place(k):
     """As a stable sort of whole rows, with ties, NaN and infinite values."""
