@@ -66,6 +66,10 @@ def entities(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Rows of lineitem that one task groups.
+EACH = 250_000
+
+
 def relations(spark: SparkSession, folder: str) -> DataFrame:
     """source_id, target_id, relation_type, confidence, importance, valid_from, valid_until, source_chunk of the graph's edges."""
     open_ = [F.lit(None).cast("timestamp_ntz").alias(c) for c in ("valid_from", "valid_until")]
@@ -73,7 +77,10 @@ def relations(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("source_id"), F.col("parent_id").alias("target_id"), F.when(F.col("entity_type") == "nation", "part_of").otherwise("based_in").alias("relation_type"),
         F.lit(1.0).alias("confidence"), F.lit(5.0).alias("importance"), *open_, F.lit(None).cast("long").alias("source_chunk"),
     )
-    supplied = table(spark, folder, "lineitem").groupBy("l_partkey", "l_suppkey").agg(
+    items = table(spark, folder, "lineitem")
+    # most pairs are in one row: rows are dealt before they are grouped, so that a task's groups are about EACH at any size
+    parts = max(spark.sparkContext.defaultParallelism, items.count() // EACH)
+    supplied = items.repartition(parts, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(
         F.min("l_discount").alias("least"), F.count("*").alias("n"), F.min("l_shipdate").alias("valid_from"), F.max("l_shipdate").alias("valid_until"), F.min("l_orderkey").alias("source_chunk")
     ).select(
         F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("source_id"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("target_id"),

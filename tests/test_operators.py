@@ -372,3 +372,16 @@ def test_least_of_each_row_by_place(k):
     d[rng.random(d.shape) < 0.2], d[rng.random(d.shape) < 0.1], d[0] = np.nan, np.inf, np.nan
     want = [(r, c) for r in range(len(d)) for c in np.argsort(d[r], kind="stable")[:k].tolist() if not np.isnan(d[r, c])]
     assert list(zip(*(x.tolist() for x in vectors._least(d, k)), strict=True)) == want
+
+
+def test_relations_are_grouped_in_parts_by_rows(spark, monkeypatch):
+    """Rows are dealt to tasks by their number before they are grouped, without a change of results."""
+    from memlake.sources import tables
+
+    folder = "/root/testdata/sf0.001"
+    whole = sorted(map(str, tables.relations(spark, folder).collect()))
+    monkeypatch.setattr(tables, "EACH", 500)
+    rows = tables.relations(spark, folder)
+    parts = tables.table(spark, folder, "lineitem").count() // 500
+    assert parts > 8 and "hashpartitioning(l_partkey#" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and f", {parts}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, rows.collect())) == whole
