@@ -20,6 +20,7 @@ one task. They are counted first, and their windows are dealt by their own hash.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ from memlake.llm.common import Hashes, raw, slices
 WINDOW, ANCHOR = 20, 8
 #: Words of a block; windows that a bucket should have at most; the fewest buckets.
 BLOCK, PER_BUCKET, FEWEST_BUCKETS = 1 << 20, 1 << 18, 1024
+#: Words that are hashed at a time.
+AT_ONCE = 1 << 16
 #: An anchor is heavy if it holds this share of the windows.
 HEAVY = 1 / 4096
 
@@ -68,21 +71,30 @@ def slid_min(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Block:
-    """Windows of some documents, in order of doc_id and start: doc, crc (of the text), start, whole (hash), anchor."""
+    """Windows of some documents, in order of doc_id and start: text (its number, into doc and crc), start, whole (hash), anchor."""
 
     def __init__(self, docs: list[int], crcs: list[int], hashes: list[np.ndarray], window: int):
         order = sorted(range(len(docs)), key=docs.__getitem__)
         lengths = np.array([len(hashes[k]) for k in order])
-        h = np.concatenate([hashes[k] for k in order])
-        n = len(h) - window + 1
-        owner = np.repeat(np.arange(len(order)), lengths)
-        at = np.flatnonzero(owner[:n] == owner[window - 1 :])
-        self.doc = np.array([docs[k] for k in order], dtype=np.int64)[owner[at]]
-        self.crc = np.array([crcs[k] for k in order], dtype=np.uint32)[owner[at]]
-        self.start = (at - (np.cumsum(lengths) - lengths)[owner[at]]).astype(np.uint32)
-        self.whole = mixed(rolled(h, window)[at])
+        counts = lengths - window + 1
+        ends = np.cumsum(counts)
+        self.doc = np.array([docs[k] for k in order], dtype=np.int64)
+        self.crc = np.array([crcs[k] for k in order], dtype=np.uint32)
+        self.text = np.repeat(np.arange(len(order), dtype=np.int32), counts)
+        self.start = np.empty(ends[-1], np.uint32)
+        self.whole, self.anchor = np.empty(ends[-1], np.uint64), np.empty(ends[-1], np.uint64)
         k = min(ANCHOR, window)
-        self.anchor = slid_min(mixed(rolled(h, k)), window - k + 1)[at]
+        # some texts at a time, as hashing takes several times the room of what it makes
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // AT_ONCE, prepend=0))
+        for a, z in itertools.pairwise(np.unique([0, *cuts, len(order)])):
+            h = np.concatenate([hashes[k] for k in order[a:z]])
+            n = len(h) - window + 1
+            owner = np.repeat(np.arange(z - a), lengths[a:z])
+            at = np.flatnonzero(owner[:n] == owner[window - 1 :])
+            into = slice(ends[a] - counts[a], ends[z - 1])
+            self.start[into] = at - (np.cumsum(lengths[a:z]) - lengths[a:z])[owner[at]]
+            self.whole[into] = mixed(rolled(h, window)[at])
+            self.anchor[into] = slid_min(mixed(rolled(h, k)), window - k + 1)[at]
 
 
 def blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Block]:
@@ -100,8 +112,9 @@ def blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Block]:
                 hashes.append(h)
                 total += len(h)
             if total >= BLOCK:
-                yield Block(docs, crcs, hashes, window)
+                made = [Block(docs, crcs, hashes, window)]
                 docs, crcs, hashes, total = [], [], [], 0
+                yield made.pop()  # nothing of it stays here
     if docs:
         yield Block(docs, crcs, hashes, window)
 
@@ -111,11 +124,13 @@ def heavy_anchors(docs: DataFrame, window: int) -> tuple[list[int], int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # an anchor that is heavy overall is heavy in some block
-        for b in blocks(batches, window):
+        def often(b: Block) -> pa.RecordBatch:
             anchors, times = np.unique(b.anchor, return_counts=True)
             few = times >= HEAVY * len(b.anchor)
             columns = [np.append(anchors[few].view(np.int64), 0), np.append(times[few], len(b.anchor)), np.append(np.ones(few.sum(), bool), False)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "n", "real"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "n", "real"])
+
+        return map(often, blocks(batches, window))
 
     counts = docs.mapInArrow(count, "anchor long, n long, real boolean").groupBy("anchor", "real").agg(F.sum("n").alias("n"))
     total = 0
@@ -152,6 +167,55 @@ def _factors(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, of: np.ndarray
     return doc[begin[first]], crc[begin[first]], [made[a:b].tobytes() for a, b in zip(first, np.append(first, len(begin))[1:], strict=True)]
 
 
+def indexed(b: Block, heavy: np.ndarray, bits: int) -> pa.RecordBatch:
+    """bucket, doc_id, crc, data: factors of the windows that the block has before (doc_id is not null), and its index of the others, cut by bucket.
+
+    heavy: sorted. The block's arrays are used up.
+    """
+    # against the own block: all but the first of equal windows are settled
+    order = np.argsort(b.whole, kind="stable")
+    begin = _grouped(b.whole[order])
+    first = np.empty(len(order), np.int32)
+    first[order] = np.repeat(order[begin].astype(np.int32), np.diff(np.append(begin, len(order))))
+    del order, begin
+    later = np.flatnonzero(first != np.arange(len(first), dtype=np.int32))
+    first = first[later]
+    own = (b.doc[b.text[first]] != b.doc[b.text[later]]) | (b.start[first] != b.start[later])
+    later, first = later[own], first[own]
+    text = b.text[later]
+    settled, crcs, factors = _factors(b.doc[text], b.crc[text], b.start[later], b.doc[b.text[first]], b.start[first])
+    left = np.ones(len(b.whole), bool)
+    left[later] = False
+    del later, first, own, text
+    anchor, whole, text, start = (x[left] for x in (b.anchor, b.whole, b.text, b.start))
+    b.anchor = b.whole = b.text = b.start = left = None
+    if len(heavy):
+        held = heavy[np.minimum(np.searchsorted(heavy, anchor), len(heavy) - 1)] == anchor
+        anchor[held] = whole[held]
+        del held
+    # runs of neighbours with one anchor
+    new = np.ones(len(anchor), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(anchor)))
+    anchor, text, start = anchor[begin], text[begin], start[begin]
+    bucket = (mixed(anchor + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    cut = _grouped(bucket[order])
+    index = []
+    for r in np.split(order, cut[1:]) if len(cut) else []:
+        n = length[r]
+        w = whole[np.repeat(begin[r] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        index.append(
+            np.array([len(r)], "<u4").tobytes() + anchor[r].tobytes() + b.doc[text[r]].tobytes() + b.crc[text[r]].astype("<u4").tobytes() + start[r].astype("<u4").tobytes()
+            + n.astype("<u4").tobytes() + w.astype("<u4").tobytes() + (w >> np.uint64(32)).astype("<u2").tobytes()
+        )
+    to = np.concatenate([(mixed(settled.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32), bucket[order[cut]]])
+    none = [None] * len(index)
+    columns = [pa.array(to), pa.array([*settled.tolist(), *none], pa.int64()), pa.array([*crcs.tolist(), *none], pa.int64()), pa.array([*factors, *index], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "doc_id", "crc", "data"])
+
+
 def parsed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, crc (of the text), factors (binary: see FACTOR) of the windows whose words also start earlier; several rows a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -160,39 +224,7 @@ def parsed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bits = max(FEWEST_BUCKETS, total // PER_BUCKET).bit_length()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, window):
-            # against the own block: all but the first of equal windows are settled
-            _, first, group = np.unique(b.whole, return_index=True, return_inverse=True)
-            first = first[group]
-            here = (b.doc[first] != b.doc) | (b.start[first] != b.start)
-            settled, crcs, factors = _factors(*(x[here] for x in (b.doc, b.crc, b.start, b.doc[first], b.start[first])))
-            left = np.flatnonzero(~here)
-            anchor = np.where(np.isin(b.anchor[left], heavy), b.whole[left], b.anchor[left])
-            doc, crc, start, whole = b.doc[left], b.crc[left], b.start[left], b.whole[left]
-            bucket = (mixed(anchor + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int32)
-            # runs of neighbours with one anchor
-            begin = np.flatnonzero(
-                np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1]) | (start[1:] != start[:-1] + 1)])
-            ) if len(left) else left
-            length = np.diff(np.append(begin, len(left)))
-            order = np.argsort(bucket[begin], kind="stable")
-            begin, length = begin[order], length[order]
-            # windows in the order of their runs
-            at = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(len(left))
-            low, high = whole[at].astype("<u4"), (whole[at] >> np.uint64(32)).astype("<u2")
-            cut = _grouped(bucket[begin])
-            ends, last = np.append(cut, len(begin))[1:], np.append(np.cumsum(length), 0)
-            index = []
-            for a, z in zip(cut, ends, strict=True):
-                r, w = begin[a:z], slice(last[a - 1], last[z - 1])
-                index.append(
-                    np.array([z - a], "<u4").tobytes() + anchor[r].tobytes() + doc[r].tobytes() + crc[r].astype("<u4").tobytes() + start[r].astype("<u4").tobytes()
-                    + length[a:z].astype("<u4").tobytes() + low[w].tobytes() + high[w].tobytes()
-                )
-            to = np.concatenate([(mixed(settled.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32), bucket[begin[cut]]])
-            none = [None] * len(index)
-            columns = [pa.array(to), pa.array([*settled.tolist(), *none], pa.int64()), pa.array([*crcs.tolist(), *none], pa.int64()), pa.array([*factors, *index], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "doc_id", "crc", "data"])
+        return map(lambda b: indexed(b, heavy, bits), blocks(batches, window))
 
     def match(indexes: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         parts: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -225,7 +257,7 @@ def parsed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "crc", "factors"])
 
         bucket, held = None, []
-        for batch in batches:
+        for batch in slices(batches):
             settled: list[tuple[int, int, bytes]] = []
             for b, doc, crc, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc is not None:

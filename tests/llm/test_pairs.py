@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from conftest_llm import given
@@ -231,3 +233,22 @@ def test_embeddings_recall():
 
 def test_embeddings_empty(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_windows_of_a_block_take_little_memory():
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 5000, 1 << 14))
+    batches = [pa.record_batch({"doc_id": pa.array(range(65)), "text": pa.array([text] * 65)})]
+    tracemalloc.start()
+    try:
+        block = next(substrings.blocks(iter(batches), 20))
+        made = tracemalloc.get_traced_memory()[1]
+        n = len(block.whole)
+        tracemalloc.reset_peak()
+        index = substrings.indexed(block, np.zeros(0, np.uint64), 11)
+        found = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # hashes of the words and what the block keeps of each window (24 bytes) are 33 MB; here all windows but one text's are settled
+    assert n == 64 * ((1 << 14) - 19) and made < 60e6 and found < 120e6
+    assert sum(k is not None for k in index.column("doc_id").to_pylist()) == 63
