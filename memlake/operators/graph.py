@@ -23,19 +23,38 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int, types: list[str] |
     """start, id, depth: what outgoing edges reach in 1 to `depth` steps on a path that meets no node twice; one row for each depth.
 
     start: id. The edges and what each step reaches are written once, so no
-    step is computed again for the next.
+    step is computed again for the next. Edges that can be the second, third and
+    further ones of a walk are told apart first: where walks end within `depth`
+    edges, there is no cycle, and steps need no paths.
     """
     own = edges.where(F.col("relation_type").isin(*types)) if types else edges
-    own = materialize(own.select("source_id", "target_id").distinct(), "edges")
-    reached = start.select(F.col("id").alias("start"), "id", F.array("id").alias("path"))
+    own = own.where("source_id is not null and target_id is not null").select("source_id", "target_id")
+    later = [materialize(own, "edges")]
+    n = None
+    while len(later) <= depth and n != 0:
+        ends = materialize(later[-1].select(F.col("target_id").alias("source_id")).distinct(), "ends")
+        later.append(materialize(later[-1].join(ends, "source_id", "left_semi"), "later"))
+        last, n = n, later[-1].count()
+        if n == last:  # all that is left is on cycles or behind them
+            break
     found = []
+    if n == 0:
+        reached = start.select(F.col("id").alias("start"), "id")
+        for own in later[:-1]:
+            reached = reached.join(own, reached.id == own.source_id).select("start", F.col("target_id").alias("id")).distinct()
+            found.append(materialize(reached, f"step-{len(found) + 1}"))
+            reached = found[-1]
+        found = [x.withColumn("depth", F.lit(k).cast("long")) for k, x in enumerate(found, 1)]
+        return reduce(DataFrame.union, found)
+    own = materialize(later[0].distinct(), "edges")
+    reached = start.select(F.col("id").alias("start"), "id", F.array("id").alias("path"))
     for n in range(1, depth + 1):
         reached = reached.join(own, reached.id == own.source_id).where(~F.array_contains("path", F.col("target_id"))).select(
             "start", F.col("target_id").alias("id"), F.array_append("path", F.col("target_id")).alias("path")
         )
         reached = materialize(reached, f"step-{n}")
         found.append(reached.select("start", "id", F.lit(n).cast("long").alias("depth")))
-    return reduce(lambda a, b: a.union(b), found).distinct()
+    return reduce(DataFrame.union, found).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:

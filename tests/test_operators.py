@@ -132,6 +132,25 @@ def test_texts(spark):
     assert [r[0] for r in at.select(text.instant(F.col("v"))).collect()] == [1.7e9] * 5 + [None]
 
 
+def test_traverse_without_cycles_keeps_no_paths(spark, monkeypatch):
+    def walked(edges, starts, depth):
+        paths, out = [[s] for s in starts], set()
+        for n in range(1, depth + 1):
+            paths = [[*p, b] for p in paths for a, b in edges if a is not None and a == p[-1] and b is not None and b not in p]
+            out |= {(p[0], p[-1], n) for p in paths}
+        return sorted(out)
+
+    written, real = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(df.columns) or real(df, name))
+    tree = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("a", "b"), (None, "a"), ("e", None), ("d", "f")]
+    for edges, depth, paths in ((tree, 3, False), (tree, 2, True), ([*tree, ("d", "a")], 3, True), ([*tree, ("b", "b")], 4, True), ([], 3, False)):
+        written.clear()
+        df = spark.createDataFrame(edges, "source_id string, target_id string").withColumn("relation_type", F.lit("x"))
+        got = graph.traverse(df, spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string"), depth)
+        assert rows(got, "start", "id", "depth") == walked(edges, ["a", "b"], depth)
+        assert any("path" in c for c in written) == paths
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "a", "x"), ("b", "d", "y")], "source_id string, target_id string, relation_type string")
     start = spark.createDataFrame([("a",)], "id string")
