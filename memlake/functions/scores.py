@@ -46,3 +46,11 @@ FADING = {"constraint": 0.0019, "preference": 0.0077, "life_event": 0.0, "casual
 
 def faded_fact(confidence: Column, importance: Column, days: Column, rate: Column) -> Column:
     return confidence * importance * F.exp(-rate * days)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """As `F.round` of doubles, for very many rows: by whole numbers, and by decimals only where half a unit is near or the number is large."""
+    scaled = x * 10.0**digits
+    whole = F.floor(scaled + 0.5)
+    sure = (F.abs(scaled) < 2.0**30) & (F.abs(scaled - whole) < 0.499999)
+    return F.when(sure, whole / F.lit(10.0**digits)).otherwise(F.round(x, digits))

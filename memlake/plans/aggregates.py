@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memlake.functions.scores import rounded
 from memlake.operators import aggregates as a
 from memlake.operators import joins as j
 from memlake.registry import query
@@ -179,7 +180,7 @@ def alias_surfaces_union(spark, d):
 SELECT a.session_id AS a, b.session_id AS b, round(COUNT(*) / (ANY_VALUE(x.n) + ANY_VALUE(y.n) - COUNT(*)), 6) AS jaccard
 FROM s a JOIN s b ON a.k = b.k AND a.session_id < b.session_id JOIN n x ON x.session_id = a.session_id JOIN n y ON y.session_id = b.session_id GROUP BY 1, 2""")
 def session_jaccard(spark, d):
-    return j.jaccard_within(chunks(spark, d), "k", "session_id").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return j.jaccard_within(chunks(spark, d), "k", "session_id").select("a", "b", rounded(F.col("jaccard"), 6).alias("jaccard"))
 
 
 @query("prev_assistant_asof", f"""WITH {TRANSCRIPT} SELECT t.chunk_id, (SELECT p.chunk_id FROM transcript p WHERE p.conversation_id = t.conversation_id AND p.position < t.position

@@ -404,3 +404,51 @@ def test_relations_are_grouped_in_parts_by_rows(spark, monkeypatch):
     parts = tables.table(spark, folder, "lineitem").count() // 500
     assert parts > 8 and "hashpartitioning(l_partkey#" in (plan := rows._jdf.queryExecution().executedPlan().toString()) and f", {parts}), REPARTITION_BY_NUM" in plan
     assert sorted(map(str, rows.collect())) == whole
+
+
+@pytest.mark.parametrize("dense", [True, False])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_likeness_of_members_exchanges_no_pairs(spark, dense, kind, monkeypatch):
+    """Jaccard, cosine, gap and equality as by hand, in blocks that are written and by group; blocks leave nothing to exchange or join."""
+    rng = np.random.default_rng(5)
+    rows = {(int(g), int(m)) for g, m in zip(rng.integers(0, 9 if dense else 300, 500), rng.integers(0, 50, 500), strict=True)}
+    name = (lambda m: m) if kind == "long" else str
+    df = spark.createDataFrame([*rows, *list(rows)[:50], (None, 3), (4, None), (None, 77)], "g long, m long").selectExpr("g", f"cast(m as {kind}) m")
+    v = {m: [float(x) for x in rng.integers(-2, 3, 2 if m % 7 == 0 else 3)] for m in range(50) if m % 5}
+    v |= {11: [1.0, 0.0, 0.0]} | ({12: [0.0, 0.0, 0.0]} if dense else {m: [1.0, *x[1:]] for m, x in v.items()})
+    h = {m: float(rng.integers(0, 100)) for m in range(50) if m % 9}
+    p = {m: f"p{m % 3}" for m in range(50) if m % 4}
+    facts = spark.createDataFrame([(m, v.get(m), h.get(m), p.get(m)) for m in range(50)], "m long, v array<double>, h double, p string").withColumn("m", F.col("m").cast(kind))
+    monkeypatch.setattr(joins, "BLOCK", 16)
+    monkeypatch.setattr(joins, "COLUMNS", 4)
+    monkeypatch.setattr(joins, "WRITTEN", 1)
+    found = joins.jaccard_within(df, "g", "m", facts, ("v",), ("h",), ("p",))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in plan or "Aggregate" in plan) != dense
+    of = defaultdict(set)
+    for g, m in rows:
+        of[m].add(g)
+
+    def cosine(a, b):
+        if a not in v or b not in v or len(v[a]) != len(v[b]):
+            return None
+        x, y = np.array(v[a]), np.array(v[b])
+        return round(float(x @ y / np.sqrt((x @ x) * (y @ y))), 9) if x.any() and y.any() else "nan"
+
+    want = {}
+    for a in of:
+        for b in of:
+            if name(a) < name(b) and (n := len(of[a] & of[b])):
+                want[name(a), name(b)] = (n / len(of[a] | of[b]), cosine(a, b), abs(h[a] - h[b]) if a in h and b in h else None, a in p and p[a] == p.get(b))
+    got = found.collect()
+    assert {(r["a"], r["b"]): (r["jaccard"], r["v"] if r["v"] is None else "nan" if np.isnan(r["v"]) else round(r["v"], 9), r["h"], r["p"]) for r in got} == want and len(got) == len(want)
+    bare = {(r["a"], r["b"]): r["jaccard"] for r in joins.jaccard_within(df, "g", "m").collect()}
+    counted = {(r["a"], r["b"]) for r in joins.pairs_within(df, "g", "m").collect()}
+    assert bare == {k: x[0] for k, x in want.items()} and counted == set(want)
+
+
+def test_rounded_as_round(spark):
+    x = [0.0000005, 0.1234565, 1.0000005, -0.0000005, -2.5e-6, 2.5e-6, 1e300, float("nan"), None, *(k / 320 for k in range(-400, 400)), *np.random.default_rng(1).normal(size=500).tolist()]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for digits in (2, 6):
+        assert df.where(~F.round("x", digits).eqNullSafe(scores.rounded(F.col("x"), digits))).count() == 0
