@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from memlake.functions import text
+from memlake.functions.scores import rounded
 from memlake.operators import aggregates as a
 from memlake.operators import clusters as c
 from memlake.operators import graph as g
 from memlake.operators import search as s
 from memlake.operators.joins import jaccard_within, normal_key
-from memlake.operators.vectors import cosine, mean_vectors
+from memlake.operators.vectors import mean_vectors
 from memlake.registry import query
 from memlake.sources.tables import CHUNKS, GRAPH, TRANSCRIPT, chunks, entities, micros, relations, table, transcript
 
@@ -112,13 +113,13 @@ FROM sh JOIN s x ON x.session_id = a JOIN s y ON y.session_id = b LEFT JOIN vs v
 def session_similarity(spark, d):
     own = chunks(spark, d)
     facts = own.groupBy("session_id").agg((F.avg(micros("created_at")) / 3_600_000_000).alias("h"), F.min("project").alias("p"), F.min("source_class").alias("plan"))
-    spoken = own.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
-    facts = facts.join(mean_vectors(spoken, "session_id", "embedding"), "session_id", "left")
-    side = lambda x: facts.select(*(F.col(c).alias(x if c == "session_id" else f"{c}_{x}") for c in facts.columns))
-    pairs = jaccard_within(own, "k", "session_id").join(side("a"), "a").join(side("b"), "b")
-    same = lambda c: F.coalesce(F.col(f"{c}_a") == F.col(f"{c}_b"), F.lit(False))
-    like = F.coalesce(cosine("centroid_a", "centroid_b"), F.lit(0.0))
-    return pairs.select("a", "b", F.round(c.session_likeness(like, F.col("jaccard"), F.abs(F.col("h_a") - F.col("h_b")), same("p"), same("plan")), 5).alias("likeness"))
+    spoken = own.select("chunk_id", "session_id").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    # vectors are dealt by their sessions before they are taken apart, so that components are not exchanged
+    facts = facts.join(mean_vectors(spoken.repartition("session_id"), "session_id", "embedding"), "session_id", "left")
+    facts = facts.withColumn("centroid", F.when(F.forall("centroid", lambda x: x.isNotNull()), F.col("centroid")))
+    pairs = jaccard_within(own, "k", "session_id", facts, cosines=("centroid",), gaps=("h",), same=("p", "plan"))
+    like = F.coalesce("centroid", F.lit(0.0))
+    return pairs.select("a", "b", rounded(c.session_likeness(like, F.col("jaccard"), F.col("h"), F.col("p"), F.col("plan")), 5).alias("likeness"))
 
 
 @query("communities")
