@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators import blocks
+
 
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -46,24 +49,54 @@ def constant(values: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in values))
 
 
-#: Vectors of a block of those asked for and of those searched; a task compares one block with one block.
-ASKED, SEARCHED = 1024, 8192
+#: Vectors that a task asks for, and those of a block that it searches at a time.
+ASKED, SEARCHED = 4096, 8192
 #: Distances of a block that a task holds at a time.
 HELD = 1 << 20
 #: Digits of distances that decide on order; what differs less is a tie, which the key breaks.
 DIGITS = 9
 
 
-def _blocks(df: DataFrame, asked: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides dealt so that each block of the one meets each of the other in a group of its own: (keyed frames, names of the group's key)."""
-    sound = F.expr(f"{vector} is not null and size({vector}) > 0 and forall({vector}, x -> x is not null)")
-    parts = [max(1, -(-x.count() // n)) for x, n in ((asked, ASKED), (df, SEARCHED))]
-    sides = []
-    asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))  # columns of its own, where both come from one table
-    for side, own, other, n, m in ((asked, "_q", "_b", *parts), (df, "_b", "_q", *parts[::-1])):
-        dealt = side.where(F.coalesce(sound, F.lit(False))).withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-        sides.append(dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("_d", F.size(vector)))
-    return sides[0], sides[1], ["_q", "_b", "_d"]
+def _written(df: DataFrame, key: str, vector: str, rows: int, name: str) -> list[str]:
+    """Files of the rows whose vector is sound, of at most so many rows each."""
+    sound = df.where(F.coalesce(F.expr(f"{vector} is not null and size({vector}) > 0 and forall({vector}, x -> x is not null)"), F.lit(False)) & F.col(key).isNotNull())
+    # a file is of one partition: not more partitions than blocks
+    return blocks.written(sound.coalesce(max(1, -(-sound.count() // rows))), rows, name)
+
+
+def _of_length(rows: pa.Table, key: str, vector: str, *more: str) -> dict[int, list[np.ndarray]]:
+    """Keys, vectors and more columns of a block's rows by the length of the vector, in order of keys."""
+    rows = rows.take(pc.array_sort_indices(blocks.column(rows, key)))
+    lists = blocks.column(rows, vector)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    ends, flat = np.cumsum(sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    own = [blocks.column(rows, c).to_numpy(zero_copy_only=False) for c in (key, *more)]
+    return {n: [own[0][at := np.flatnonzero(sizes == n)], flat[(ends[at] - n)[:, None] + np.arange(n)], *(c[at] for c in own[1:])] for n in np.unique(sizes).tolist()}
+
+
+def _compared(df: DataFrame, asked: DataFrame, key: str, vector: str, more: tuple[str, ...], found: Callable, schema: str) -> DataFrame:
+    """What `found` makes of asked rows (keys, vectors) and of the blocks that are searched (keys, vectors, `more`), those of one length together.
+
+    Both sides are written once, one side if they are the same, and read by the
+    tasks. A task has up to ASKED rows; only where those are few are the blocks
+    that it searches dealt to several.
+    """
+    columns = [key, vector, *more]
+    files = _written(df.select(F.col(key).cast("long").alias(key), *columns[1:]), key, vector, SEARCHED, "searched")
+    split = max(1, SEARCHED // ASKED) if asked is df else 1
+    sides = files if asked is df else _written(asked.select(F.col(key).cast("long").alias(key), vector), key, vector, ASKED, "asked")
+    many = len(sides) * split
+    parts = min(max(1, len(files)), -(-4 * df.sparkSession.sparkContext.defaultParallelism // max(1, many)))
+
+    def run(k: int) -> Iterator[pa.RecordBatch]:
+        at, part = divmod(k, parts)
+        rows = blocks.block(sides[at // split])
+        each = -(-len(rows) // split)
+        rows = rows.slice(at % split * each, each)
+        if len(rows):
+            yield from found(_of_length(rows, key, vector), (_of_length(blocks.block(f), key, vector, *more) for f in files[part::parts]))
+
+    return blocks.dealt(df.sparkSession, many * parts, run, schema)
 
 
 def _distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
@@ -87,54 +120,103 @@ def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[kept], places[kept]
 
 
+class _Side:
+    """Vectors of one length, what is computed of them once, and their keys."""
+
+    def __init__(self, keys: np.ndarray, vectors: np.ndarray, kind: str):
+        self.keys, self.vectors, self.kind = keys, vectors, kind
+        if kind == "cosine":
+            self.sizes = np.sqrt((vectors * vectors).sum(axis=1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                self.units = (vectors / self.sizes[:, None]).astype(np.float32)
+
+    def nearer(self, rows: slice, other: _Side, most: np.ndarray, k: int, itself: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some rows: rows, places in `other` and distances that are at most the row's of `most`, the k least at least.
+
+        Where each row has a bound, cosines are first taken of unit vectors in
+        single precision, and in double precision only where they can be near
+        enough, as the error of the first is bounded.
+        """
+        x, own = self.vectors[rows], self.keys[rows]
+        dims = x.shape[1]
+        if self.kind == "cosine" and np.isfinite(most).all():
+            least = (-most - (dims + 8) * 2.0**-23 - 10.0**-DIGITS).astype(np.float32)
+            found = np.flatnonzero(self.units[rows] @ other.units.T >= np.nextafter(least, np.float32(-np.inf))[:, None])
+            if len(found) <= 4 * HELD // dims:
+                i, j = np.divmod(found, len(other.keys))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    d = np.round(-np.einsum("ij,ij->i", x[i], other.vectors[j]) / (self.sizes[rows][i] * other.sizes[j]), DIGITS)
+                kept = d <= most[i]
+                if not itself:
+                    kept &= own[i] != other.keys[j]
+                return i[kept], j[kept], d[kept]
+        d = _distances(x, other.vectors, self.kind)
+        if not itself:
+            d[own[:, None] == other.keys[None, :]] = np.nan
+        d[~(d <= most[:, None])] = np.nan
+        i, j = _least(d, k)
+        return i, j, d[i, j]
+
+
+def _kept(best: np.ndarray, keys: np.ndarray, rows: np.ndarray, d: np.ndarray, found: np.ndarray) -> None:
+    """Puts what was found for some rows, in order of rows, among their best distances (NaN where there is none yet) and keys, ties by key."""
+    k, own = best.shape[1], np.unique(rows)
+    if not len(own):
+        return
+    rows, d, found = np.append(rows, np.repeat(own, k)), np.append(d, best[own]), np.append(found, keys[own])
+    order = np.lexsort((found, d, rows))
+    first = np.searchsorted(rows[order], own)
+    taken = order[first[:, None] + np.arange(k)]
+    best[own], keys[own] = d[taken], found[taken]
+
+
 def search(df: DataFrame, asked: DataFrame, key: str, vector: str, k: int, kind: str = "cosine", itself: bool = True) -> DataFrame:
     """asked, key, distance, rank (1 to k): for each row of `asked` the k rows of `df` of least distance, ties by key; exact.
 
-    kind: l2 (squared), hamming (of signs) or cosine (negated). Each task
-    compares a block with a block and keeps k of each asked vector, so that no
-    pairs leave it. Vectors that are null, empty or hold nulls are left out, as
-    are cosines with zero vectors and vectors of another length; without
-    `itself`, a row does not find its own key.
+    kind: l2 (squared), hamming (of signs) or cosine (negated). A task goes
+    through blocks and keeps k of each asked vector, so that no pairs leave it
+    and no vector is exchanged. Rows without a key and vectors that are null,
+    empty or hold nulls are left out, as are cosines with zero vectors and
+    vectors of another length; without `itself`, a row does not find its own key.
     """
-    left, right, at = _blocks(df.select(key, vector), asked.select(key, vector), key, vector)
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(key, kind="stable", ignore_index=True)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"asked": [], key: [], "distance": []})
-        x, y = np.stack(a[vector]).astype(float), np.stack(b[vector]).astype(float)
-        own, found, made = a[key].to_numpy(), b[key].to_numpy(), []
-        step = max(1, HELD // len(y))
-        for at in range(0, len(x), step):
-            d = _distances(x[at : at + step], y, kind)
-            if not itself:
-                d[own[at : at + step, None] == found[None, :]] = np.nan
-            rows, places = _least(d, k)
-            made.append((own[at + rows], found[places], d[rows, places]))
-        return pd.DataFrame(dict(zip(("asked", key, "distance"), map(np.concatenate, zip(*made, strict=True)), strict=True)))
-
-    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(compare, f"asked long, {key} long, distance double")
+
+    def found(asked: dict, searched: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        sides = {n: _Side(*x, kind) for n, x in asked.items()}
+        held = {n: (np.full((len(x.keys), k), np.nan), np.zeros((len(x.keys), k), np.int64)) for n, x in sides.items()}
+        for block in searched:
+            for n in sides.keys() & block.keys():
+                x, y, (best, keys) = sides[n], _Side(*block[n], kind), held[n]
+                step = max(1, HELD // len(y.keys))
+                for at in range(0, len(x.keys), step):
+                    part = slice(at, at + step)
+                    most = np.where(np.isnan(best[part, -1]), np.inf, best[part, -1])
+                    i, j, d = x.nearer(part, y, most, k, itself)
+                    _kept(best[part], keys[part], i, d, y.keys[j])
+        for n, (best, keys) in held.items():
+            i, place = np.nonzero(~np.isnan(best))
+            yield pa.RecordBatch.from_arrays([pa.array(sides[n].keys[i]), pa.array(keys[i, place]), pa.array(best[i, place])], names=["asked", key, "distance"])
+
+    near = _compared(df, asked, key, vector, (), found, f"asked long, {key} long, distance double")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy("distance", key))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def within(df: DataFrame, asked: DataFrame, key: str, vector: str, least: str) -> DataFrame:
     """asked, key, likeness: rows of `df` whose cosine to a row of `asked` is at least their own value of the column `least`; not themselves."""
-    left, right, at = _blocks(df.select(key, vector, least), asked.select(key, vector), key, vector)
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"asked": [], key: [], "likeness": []})
-        x, y = np.stack(a[vector]).astype(float), np.stack(b[vector]).astype(float)
-        own, found, made = a[key].to_numpy(), b[key].to_numpy(), []
-        step = max(1, HELD // len(y))
-        for at in range(0, len(x), step):
-            c = -_distances(x[at : at + step], y, "cosine")
-            i, j = np.nonzero((c >= b[least].to_numpy()[None, :]) & (own[at : at + step, None] != found[None, :]))
-            made.append((own[at + i], found[j], c[i, j]))
-        return pd.DataFrame(dict(zip(("asked", key, "likeness"), map(np.concatenate, zip(*made, strict=True)), strict=True)))
-
-    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(compare, f"asked long, {key} long, likeness double")
+
+    def found(asked: dict, searched: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for block in searched:
+            for n in asked.keys() & block.keys():
+                (own, x), (keys, y, bound) = asked[n], block[n]
+                step = max(1, HELD // len(y))
+                for at in range(0, len(x), step):
+                    c = -_distances(x[at : at + step], y, "cosine")
+                    i, j = np.nonzero((c >= bound[None, :]) & (own[at : at + step, None] != keys[None, :]))
+                    for first in range(0, len(i), blocks.BATCH):
+                        p, q = i[first : first + blocks.BATCH], j[first : first + blocks.BATCH]
+                        yield pa.RecordBatch.from_arrays([pa.array(own[at + p]), pa.array(keys[q]), pa.array(c[p, q])], names=["asked", key, "likeness"])
+
+    return _compared(df, asked, key, vector, (least,), found, f"asked long, {key} long, likeness double")
 
 
 def neighbour_edges(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:

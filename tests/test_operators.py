@@ -452,3 +452,37 @@ def test_rounded_as_round(spark):
     df = spark.createDataFrame([(v,) for v in x], "x double")
     for digits in (2, 6):
         assert df.where(~F.round("x", digits).eqNullSafe(scores.rounded(F.col("x"), digits))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["cosine", "l2", "hamming"])
+def test_search_copies_no_vectors_and_is_exact(spark, kind, monkeypatch):
+    """Distances that single precision cannot tell apart, copies, repeated keys and lengths, over blocks that are written once."""
+    monkeypatch.setattr(vectors, "ASKED", 16)
+    monkeypatch.setattr(vectors, "SEARCHED", 32)
+    monkeypatch.setattr(vectors, "HELD", 100)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 5))[rng.integers(0, 12, 300)] + rng.normal(size=(300, 5)) * 10.0 ** -rng.integers(3, 12, (300, 1))
+    x[40:60], x[70] = x[3], 0
+    rows_ = [(k, r.tolist()) for k, r in enumerate(x)] + [(5, x[9].tolist()), (301, [1.0, 2.0]), (302, [2.0, 1.0]), (None, [1.0] * 5), (303, None), (304, [1e200] * 5)]
+    df = spark.createDataFrame(rows_, "id long, v array<double>").repartition(3)
+    found = vectors.search(df, df, "id", "v", 4, kind, itself=False)
+    assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()
+    sound = [(k, np.array(v)) for k, v in rows_ if k is not None and v is not None]
+    want = {}
+    for a, v in sound:
+        own = want.setdefault(a, [])
+        same = [(k, w) for k, w in sound if k != a and len(w) == len(v)]
+        d = vectors._distances(v[None, :], np.array([w for _, w in same]), kind)[0]
+        own += [(round(float(y), 8), k) for (k, _), y in zip(same, d, strict=True) if not np.isnan(y)]
+    got = defaultdict(list)
+    for r in found.orderBy("asked", "rank").collect():
+        got[r["asked"]].append((round(r["distance"], 8), r["id"]))
+    for a, own in want.items():
+        near = sorted(own)[:4]
+        assert [d for d, _ in got[a]] == [d for d, _ in near] and set(got[a]) <= set(own), (a, got[a], near)
+    whole = sorted(tuple(r) for r in found.collect())
+    monkeypatch.setattr(vectors, "HELD", 1 << 20)
+    monkeypatch.setattr(vectors, "SEARCHED", 1000)
+    monkeypatch.setattr(vectors, "ASKED", 1000)
+    again = sorted(tuple(r) for r in vectors.search(df, df, "id", "v", 4, kind, itself=False).collect())
+    assert [r[:2] for r in again] == [r[:2] for r in whole]
