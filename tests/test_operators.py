@@ -486,3 +486,29 @@ def test_search_copies_no_vectors_and_is_exact(spark, kind, monkeypatch):
     monkeypatch.setattr(vectors, "ASKED", 1000)
     again = sorted(tuple(r) for r in vectors.search(df, df, "id", "v", 4, kind, itself=False).collect())
     assert [r[:2] for r in again] == [r[:2] for r in whole]
+
+
+def test_communities_by_hand(spark, tmp_path, monkeypatch):
+    """Edges to the three nearest and four rounds of labels, as by hand, over blocks that are written once and not copied for each other."""
+    from memlake import registry
+
+    monkeypatch.setattr(vectors, "ASKED", 8)
+    monkeypatch.setattr(vectors, "SEARCHED", 16)
+    rng = np.random.default_rng(7)
+    v = (rng.normal(size=(5, 6))[rng.integers(0, 5, 60)] + rng.normal(size=(60, 6)) / 2).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert "CoGroup" not in vectors.neighbour_edges(df, "vec_id", "embedding", 3)._jdf.queryExecution().optimizedPlan().toString()
+    c = np.round(v @ v.T / np.sqrt((v * v).sum(1)[:, None] * (v * v).sum(1)[None, :]), 9)
+    weight = {}
+    for a in range(60):
+        for b in sorted((b for b in range(60) if b != a), key=lambda b: (-c[a, b], b))[:3]:
+            weight[min(a, b), max(a, b)] = c[a, b]
+    labels = {k: k for k in range(60)}
+    for _ in range(4):
+        votes = {k: defaultdict(float, {labels[k]: 0.5}) for k in labels}
+        for (a, b), w in weight.items():
+            votes[a][labels[b]] += w
+            votes[b][labels[a]] += w
+        labels = {k: max(x, key=lambda m: (round(x[m], 9), -m)) for k, x in votes.items()}
+    assert dict(rows(registry.QUERIES["communities"](spark, str(tmp_path)), "id", "label")) == labels
