@@ -1,23 +1,25 @@
 """Names in texts: the longest spans of words that are a name, from left to right, none over another.
 
-Names are kept by their first word with the lengths that such names have, so
-that a text is only cut into runs of words that can be one: words are joined
-with first words, and the runs of those lengths with the names. What is left
-for a text are the places of its names, which one pass goes through.
+A text is only cut into runs of words that can be a name: a bitmap of hashes,
+of bounded size, says which first words have names of which lengths and which
+runs can be names, so that hardly more than the names in the texts is exchanged
+for the join with the names, which decides. What is left for a text are the
+places of its names, which one pass goes through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.storage import materialize
 
-#: What a word is, and the first words that are broadcast at most.
-WORD, BROADCAST = r"[\p{L}\p{N}_'-]+", 50_000
+#: What a word is; bits of the bitmap for each name, and its longs at most (8 MB): with more names it lets more runs through, the join decides.
+WORD, BITS, LONGS = r"[\p{L}\p{N}_'-]+", 64, 1 << 20
 
 
 def words_of(text: Column, word: str = WORD) -> Column:
@@ -33,6 +35,19 @@ def name_table(names: DataFrame, key: str, name: str, kind: str | None = None, s
     return rows.groupBy("phrase", "first", "n").agg(F.array_sort(F.collect_set(key)).alias("ids"))
 
 
+def _bitmap(names: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """A row with the bits of names' phrases and of their first words with lengths, and the test of a hash against it."""
+    longs = min(LONGS, 1 << max(4, (names.count() * BITS // 64).bit_length()))
+    place = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(longs - 1)).cast("int")
+    bit = lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    hashes = names.select(F.explode(F.array(F.xxhash64("phrase"), F.xxhash64("first", "n"))).alias("h"))
+    held = hashes.groupBy(place(F.col("h")).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b")).toArrow()
+    bits = np.zeros(longs, np.int64)
+    bits[held["at"].to_numpy()] = held["b"].to_numpy()
+    row = names.sparkSession.createDataFrame(pa.table({"_bits": pa.array([bits])}))
+    return F.broadcast(row), lambda h: F.call_function("shiftright", F.col("_bits")[place(h)], bit(h)).bitwiseAND(F.lit(1)) == 1
+
+
 def _chosen(once: bool, owner: pa.DataType, kind: pa.DataType):
     """Goes through places in order (owner, at, longest first), a batch at a time; only the owner at hand is held from one batch to the next."""
 
@@ -68,16 +83,16 @@ def name_spans(texts: DataFrame, owner: str, text: str, names: DataFrame, once:
     that share an owner should not, as their places would be one list.
     """
     names = materialize(names, "names")
-    firsts = names.groupBy("first").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
-    count, longest = names.agg(F.countDistinct("first"), F.coalesce(F.max("n"), F.lit(1))).first()
+    lengths = [r["n"] for r in names.select("n").distinct().orderBy("n").collect()]
+    bits, known = _bitmap(names)
     words = texts.select(F.col(owner).alias("owner"), words_of(F.col(text), word).alias("_w"))
     # each place with as many words as the longest name has: a text's words are never copied whole to each of its places
-    place = lambda i: F.struct(i.alias("at"), F.slice("_w", i + 1, F.lit(longest)).alias("w"))
+    place = lambda i: F.struct(i.alias("at"), F.slice("_w", i + 1, F.lit(max(lengths, default=1))).alias("w"))
     placed = words.where("size(_w) > 0").select("owner", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - 1), place)).alias("_p"))
-    placed = placed.select("owner", F.col("_p.at").cast("long").alias("at"), F.col("_p.w").alias("_w"), F.col("_p.w")[0].alias("first"))
-    runs = placed.join(F.broadcast(firsts) if count <= BROADCAST else firsts, "first").select(
-        "owner", "at", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.size("_w")), lambda n: F.array_join(F.slice("_w", 1, n), " "))).alias("phrase")
-    )
+    n = F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_n")
+    placed = placed.select("owner", F.col("_p.at").cast("long").alias("at"), F.col("_p.w").alias("_w"), n).where("_n <= size(_w)")
+    begun = placed.withColumn("_h", F.xxhash64(F.col("_w")[0], "_n")).join(bits, known(F.col("_h"))).select("owner", "at", F.array_join(F.slice("_w", 1, F.col("_n")), " ").alias("phrase"))
+    runs = begun.withColumn("_h", F.xxhash64("phrase")).join(bits, known(F.col("_h"))).select("owner", "at", "phrase")
     held = F.col("ids") if once else F.slice("ids", 1, 1).alias("ids")
     hits = runs.join(names.select("phrase", F.col("n").cast("long").alias("n"), held), "phrase").select("owner", "at", "n", "ids")
     kinds = [hits.schema[c].dataType for c in ("owner", "ids")]

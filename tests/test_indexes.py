@@ -124,3 +124,20 @@ def test_name_spans_of_a_long_text(spark):
     texts = spark.createDataFrame([(1, "red fox " * 30_000), (2, "red fox den"), (None, "a red fox")], "d long, t string")
     got = name_spans(texts, "d", "t", names).groupBy("owner", "id").count().collect()
     assert {tuple(r) for r in got} == {(1, 1, 30_000), (2, 2, 1), (None, 1, 1)}
+
+
+@pytest.mark.parametrize("longs", [1, 4, 1 << 20])
+def test_name_spans_exchange_only_what_can_be_a_name(spark, longs, monkeypatch):
+    """With more first words than once were broadcast no place is exchanged by its first word, and a full bitmap changes no result."""
+    from memlake.operators import spans
+
+    monkeypatch.setattr(spans, "LONGS", longs)
+    names = name_table(spark.range(50_001).selectExpr("id", "concat('w', id, ' x', id % 7) as name"), "id", "name")
+    texts = spark.createDataFrame([(k, " ".join(f"w{j} x{j % (7 if j % 3 else 5)}" for j in range(k, k + 300))) for k in range(20)], "d long, t string")
+    found = name_spans(texts, "d", "t", names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(first" not in plan and "_bits" in plan
+    want = {(k, 2 * (j - k), j) for k in range(20) for j in range(k, k + 300) if j % 3 or j % 5 == j % 7}
+    assert {(r["owner"], r["at"], r["id"]) for r in found.collect()} == want
+    none = name_spans(texts, "d", "t", name_table(spark.range(0).selectExpr("id", "'a' as name"), "id", "name"))
+    assert none.count() == 0
